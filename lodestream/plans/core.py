@@ -1,9 +1,635 @@
-"""Queries over the core operators."""
+"""Queries over the core operators, each with equivalent SQL where SQL can express it. All run over whole tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from lodestream.functions import arrays as A
+from lodestream.functions import hashing as H
+from lodestream.functions import jsonx, stats
+from lodestream.functions import text as T
+from lodestream.operators import audit as AU
+from lodestream.operators import chat, exam, joins, masking, retrieval, sampling
+from lodestream.operators import preference as P
+from lodestream.session import table
+from lodestream.streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+N = F.count(F.lit(1)).cast("bigint")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def big(c: Column) -> Column:
+    return c.cast("bigint")
+
+
+# SQL fragments -------------------------------------------------------------------------------------------------------
+
+_STRIP = r"regexp_replace({0}, '^[\s\x{{3000}}\x{{00a0}}]+|[\s\x{{3000}}\x{{00a0}}]+$', '', 'g')"
+_HEAD = "CAST('0x' || substr(sha256({0}), 1, 16) AS UBIGINT)"
+
+
+def _any(col: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({col}, '{t}')" for t in terms) + ")"
+
+
+def _count(col: str, terms: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(contains({col}, '{t}') AS INT)" for t in terms) + ")"
+
+
+_TASK = f"CASE WHEN {_any('case_text', T.CONFIRMED)} OR {_count('case_text', T.MANAGEMENT)} > {_count('case_text', T.DIAGNOSTIC)} THEN 'confirmed_management' ELSE 'diagnostic_reasoning' END"
+_LATEST = "SELECT source_id, case_text, original_answer, category, split, loaded_at FROM candidate WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY loaded_at, source_file, source_line) = 1"
+_SIGNS = f"{_any('case_text', T.PATIENT)} AS p, {_any('case_text', T.SYMPTOM)} AS s, {_any('case_text', T.EXAM)} AS e, {_any('case_text', T.TIME)} AS t, {_any('case_text', T.QUESTION)} AS q"
+_MINED = f"""
+WITH c AS ({_LATEST}), g AS (SELECT *, {_SIGNS} FROM c WHERE case_text IS NOT NULL AND original_answer IS NOT NULL), x AS (
+  SELECT *, CASE WHEN length(case_text) < 35 OR length(case_text) > 1800 THEN 'question_length_out_of_range'
+    WHEN length({_STRIP.format('original_answer')}) < 20 THEN 'answer_too_short'
+    WHEN regexp_matches(case_text, '{T.KNOWLEDGE_ONLY}') AND NOT (p OR e) THEN 'knowledge_only_question'
+    WHEN regexp_matches(case_text, '{T.PROVIDER}') THEN 'provider_recommendation_question'
+    WHEN NOT q THEN 'missing_clinical_question_intent' WHEN NOT (p OR s OR e) THEN 'missing_case_evidence' END AS exit_reason,
+    2 * CAST(p AS INT) + 2 * CAST(s AS INT) + 2 * CAST(e AS INT) + CAST(t AS INT) + CAST(q AS INT) + CAST(length(case_text) >= 80 AS INT) + CAST(length(original_answer) >= 80 AS INT) AS points FROM g)
+SELECT source_id, CAST(CASE WHEN exit_reason IS NULL THEN points ELSE 0 END AS BIGINT) AS score,
+  CASE WHEN exit_reason IS NOT NULL THEN exit_reason ELSE concat_ws(',', CASE WHEN p THEN 'patient_context' END, CASE WHEN s THEN 'symptom_context' END, CASE WHEN e THEN 'exam_context' END,
+    CASE WHEN t THEN 'temporal_context' END, CASE WHEN q THEN 'clinical_question' END, CASE WHEN length(case_text) >= 80 THEN 'detailed_case' END, CASE WHEN length(original_answer) >= 80 THEN 'usable_reference_answer' END) END AS reasons,
+  {_TASK} AS task_type, CAST({_HEAD.format("'42:' || source_id")} % 100 AS BIGINT) AS bucket,
+  CASE WHEN {_HEAD.format("'42:' || source_id")} % 100 < 85 THEN 'train' WHEN {_HEAD.format("'42:' || source_id")} % 100 < 95 THEN 'validation' ELSE 'test' END AS new_split
+FROM x
+"""
+
+
+def latest(s: SparkSession, d: str) -> DataFrame:
+    """One candidate row a non-null source_id: the one loaded first."""
+    c = table(s, d, "candidate").where("source_id is not null").select("source_id", "case_text", "original_answer", "category", "split", "loaded_at", "source_file", "source_line")
+    return sampling.keep_first(c, ["source_id"], F.col("loaded_at"), F.col("source_file"), F.col("source_line")).drop("source_file", "source_line")
+
+
+# Mining --------------------------------------------------------------------------------------------------------------
+
+
+@query(_MINED)
+def mine_candidates(s: SparkSession, d: str) -> DataFrame:
+    x = latest(s, d).where("case_text is not null and original_answer is not null")
+    score, reasons = T.score_case(F.col("case_text"), F.col("original_answer"))
+    b = H.bucket(F.col("source_id"))
+    return x.select("source_id", big(score).alias("score"), F.array_join(reasons, ",").alias("reasons"), T.classify_task(F.col("case_text")).alias("task_type"), big(b).alias("bucket"), H.assign_split(b).alias("new_split"))
+
+
+@query(f"WITH m AS ({_MINED}) SELECT CASE WHEN score = 0 THEN reasons WHEN score < 6 THEN 'score_below_threshold' ELSE 'accepted' END AS outcome, count(*) AS n FROM m GROUP BY 1")
+def mining_outcomes(s: SparkSession, d: str) -> DataFrame:
+    why = F.when(F.col("score") == 0, F.col("reasons")).when(F.col("score") < 6, "score_below_threshold").otherwise("accepted")
+    return mine_candidates(s, d).groupBy(why.alias("outcome")).agg(N.alias("n"))
+
+
+@query(f"WITH m AS ({_MINED}) SELECT task_type, new_split, count(*) AS n FROM m GROUP BY ALL")
+def mined_by_split(s: SparkSession, d: str) -> DataFrame:
+    return mine_candidates(s, d).groupBy("task_type", "new_split").agg(N.alias("n"))
+
+
+@query()
+def canonical_ids(s: SparkSession, d: str) -> DataFrame:
+    """Content ids of canonical texts (NFKC, which SQL lacks), first row of each kept."""
+    x = table(s, d, "candidate").where("case_text is not null").select("source_id", "loaded_at", T.canonical(F.col("case_text")).alias("canon"))
+    x = x.where("canon <> ''").withColumn("content_id", H.content_id("case", F.col("canon"))).drop("canon")
+    return sampling.keep_first(x, ["content_id"], F.col("loaded_at"), F.col("source_id")).select("content_id", "source_id")
+
+
+@query("SELECT doc_id, 'doc_' || substr(sha256('42:' || doc_id || ':' || lang), 1, 16) AS stable_id, sha256('42:' || doc_id) AS order_key, CAST(" + _HEAD.format("doc_id || chr(31) || 'position' || chr(31) || '42'") + " % 2 = 0 AS BOOLEAN) AS even_tail FROM documents")
+def stable_ids(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    return table(s, d, "documents").select("doc_id", H.stable_id("doc", i, F.col("lang")).alias("stable_id"), H.order_key(i).alias("order_key"), ((H.stable_number_tail(i, "position") % 2) == 0).alias("even_tail"))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
+def first_wins(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    return x.groupBy("h").agg(F.min("doc_id").alias("doc_id"), N.alias("copies")).drop("h")
+
+
+_LASTJ = "SELECT * FROM judgment WHERE pair_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY created_at DESC NULLS LAST, loaded_at DESC NULLS LAST, attempt DESC NULLS LAST, status DESC NULLS LAST) = 1"
+
+
+@query(f"WITH l AS ({_LASTJ}) SELECT pair_id, created_at, status FROM l")
+def last_wins(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "judgment").where("pair_id is not null").select("pair_id", "created_at", "loaded_at", "attempt", "status")
+    return sampling.keep_last(x, ["pair_id"], F.col("created_at"), F.col("loaded_at"), F.col("attempt"), F.col("status")).select("pair_id", "created_at", "status")
+
+
+@query("""WITH l AS (SELECT * FROM judgment WHERE pair_id IS NOT NULL), f AS (
+  SELECT pair_id, max(created_at) AS last_failed FROM l WHERE status <> 'ok' AND NOT EXISTS (SELECT 1 FROM l AS o WHERE o.pair_id = l.pair_id AND o.status = 'ok') GROUP BY pair_id)
+SELECT pair_id, last_failed FROM f""")
+def compacted_failures(s: SparkSession, d: str) -> DataFrame:
+    j = table(s, d, "judgment").where("pair_id is not null").select("pair_id", "created_at", "status")
+    out = incremental.compact_failures(j.where("status <> 'ok'"), j.where("status = 'ok'"), "pair_id", "created_at")
+    return out.select("pair_id", F.col("created_at").alias("last_failed"))
+
+
+# Quotas and samples --------------------------------------------------------------------------------------------------
+
+_D = "(SELECT doc_id, coalesce(category, 'none') AS category FROM documents)"
+
+
+def docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.coalesce("category", F.lit("none")).alias("category"))
+
+
+_CAP = f"SELECT doc_id, category FROM (SELECT *, sha256('42:' || doc_id) AS k FROM {_D} QUALIFY row_number() OVER (PARTITION BY category ORDER BY k) <= 20) ORDER BY k LIMIT 300"
+
+
+@query(_CAP)
+def category_cap(s: SparkSession, d: str) -> DataFrame:
+    return sampling.category_cap(docs(s, d), "category", "doc_id", 300, 20)
+
+
+@query(f"""WITH a AS ({_CAP}), b AS (SELECT doc_id, category FROM {_D} WHERE doc_id NOT IN (SELECT doc_id FROM a) ORDER BY sha256('43:' || doc_id) LIMIT (SELECT greatest(0, 900 - count(*)) FROM a))
+SELECT doc_id, category, 'capped' AS origin FROM a UNION ALL SELECT doc_id, category, 'backfill' AS origin FROM b""")
+def capped_backfill(s: SparkSession, d: str) -> DataFrame:
+    first = sampling.category_cap(docs(s, d), "category", "doc_id", 300, 20).withColumn("origin", F.lit("capped"))
+    rest = docs(s, d).join(first.select("doc_id"), "doc_id", "left_anti")
+    more = rest.orderBy(H.order_key(F.col("doc_id"), 43)).limit(max(0, 900 - first.count())).withColumn("origin", F.lit("backfill"))
+    return first.unionByName(more)
+
+
+@query(f"""WITH g AS (SELECT category, row_number() OVER (ORDER BY sha256('42:' || category)) AS group_rank FROM (SELECT DISTINCT category FROM {_D})),
+t AS (SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY {_HEAD.format("'42:' || doc_id")}, doc_id) AS turn FROM {_D})
+SELECT doc_id, category, turn, group_rank FROM t JOIN g USING (category)""")
+def round_robin(s: SparkSession, d: str) -> DataFrame:
+    return sampling.round_robin(docs(s, d), "category", "doc_id").select("doc_id", "category", big(F.col("turn")).alias("turn"), big(F.col("group_rank")).alias("group_rank"))
+
+
+_QUOTA = f"""SELECT category, size, CAST(CASE WHEN total <= 240 THEN size ELSE least(size, base + CAST(row_number() OVER (ORDER BY exact - base DESC, category) <= 240 - sum(base) OVER () AS INT)) END AS BIGINT) AS quota FROM (
+  SELECT category, size, total, 240 * size / total AS exact, floor(240 * size / total) AS base FROM (SELECT category, count(*) AS size, CAST(sum(count(*)) OVER () AS DOUBLE) AS total FROM {_D} GROUP BY category))"""
+
+
+@query(_QUOTA)
+def remainder_quotas(s: SparkSession, d: str) -> DataFrame:
+    return sampling.remainder_quotas(docs(s, d), "category", 240)
+
+
+@query(f"WITH q AS ({_QUOTA}), n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sha256('42:' || doc_id), doc_id) AS rn FROM {_D}) SELECT doc_id, category FROM n JOIN q USING (category) WHERE rn <= quota")
+def stratified_sample(s: SparkSession, d: str) -> DataFrame:
+    return sampling.stratified(docs(s, d), "category", "doc_id", 240)
+
+
+@query("SELECT * FROM (VALUES ('controlled_negative', CAST(105 AS BIGINT)), ('model_vs_model', CAST(369 AS BIGINT)), ('target_vs_model', CAST(580 AS BIGINT))) AS t(name, quota)")
+def type_quotas(s: SparkSession, d: str) -> DataFrame:
+    w = s.createDataFrame([("target_vs_model", 0.55), ("model_vs_model", 0.35), ("controlled_negative", 0.1)], "name string, weight double")
+    return sampling.weight_quotas(w, 1054)
+
+
+@query(f"SELECT doc_id, source FROM documents WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY {_HEAD.format(chr(39) + '42:' + chr(39) + ' || doc_id || ' + chr(39) + ':pick' + chr(39))}, doc_id) <= 5")
+def top_by_hash(s: SparkSession, d: str) -> DataFrame:
+    return sampling.top_by_hash(table(s, d, "documents").where("source is not null").select("doc_id", "source"), "source", "doc_id", 5, "pick")
+
+
+@query(f"""WITH t AS (SELECT source_id, max(target.evidence_sufficiency) AS level FROM audited WHERE source_id IS NOT NULL GROUP BY source_id), w AS (SELECT * FROM (VALUES ('partial', 0.55), ('insufficient', 0.25), ('sufficient', 0.19), ('conflicting', 0.01)) v(level, w)),
+n AS (SELECT t.*, coalesce(round_even(400 * w.w, 0), 0) AS quota, row_number() OVER (PARTITION BY t.level ORDER BY {_HEAD.format("'42:' || source_id || ':pick'")}, source_id) AS rn FROM t LEFT JOIN w USING (level)),
+a AS (SELECT source_id, level, 'quota' AS how FROM n WHERE rn <= quota), b AS (SELECT source_id, level, 'fill' AS how FROM n WHERE rn > quota ORDER BY {_HEAD.format("'42:' || source_id || ':fill'")}, source_id LIMIT (SELECT greatest(0, 400 - count(*)) FROM a))
+SELECT * FROM a UNION ALL SELECT * FROM b""")
+def weighted_fill(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "audited").where("source_id is not null").groupBy("source_id").agg(F.max("target.evidence_sufficiency").alias("level"))
+    return sampling.weighted_fill(x, "level", "source_id", 400, {"partial": 0.55, "insufficient": 0.25, "sufficient": 0.19, "conflicting": 0.01})
+
+
+_CONF = "SELECT pair_id, split, parsed_judgment.confidence AS q FROM (" + _LASTJ + ") WHERE status = 'ok' AND parsed_judgment.confidence BETWEEN 0 AND 1 AND NOT isnan(parsed_judgment.confidence) AND split IS NOT NULL"
+
+
+@query(f"""WITH r AS (SELECT pair_id, split, row_number() OVER (PARTITION BY split ORDER BY q DESC, pair_id) AS up, count(*) OVER (PARTITION BY split) AS n FROM ({_CONF}))
+SELECT a.split, a.up AS pair_no, a.pair_id AS best, b.pair_id AS worst FROM r AS a JOIN r AS b ON a.split = b.split AND b.up = a.n - a.up + 1 WHERE 2 * a.up <= a.n""")
+def best_with_worst(s: SparkSession, d: str) -> DataFrame:
+    x = _last_judgments(s, d).where("status = 'ok' and split is not null").select("pair_id", "split", F.col("j.confidence").alias("q")).where(F.col("q").between(0.0, 1.0) & ~F.isnan("q"))
+    return sampling.best_with_worst(x, "split", "pair_id", F.col("q")).select("split", big(F.col("pair_no")).alias("pair_no"), "best", "worst")
+
+
+# Joins and sets ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT source_id FROM candidate WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM audited WHERE source_id IS NOT NULL AND validation_status = 'accepted')")
+def pending_requests(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "candidate").where("source_id is not null").select("source_id")
+    return joins.pending(c, table(s, d, "audited"), "source_id", F.col("validation_status") == "accepted")
+
+
+@query(f"""WITH c AS ({_LATEST}), a AS (SELECT source_id, max(split) AS split, max(category) AS category FROM audited GROUP BY source_id)
+SELECT a.source_id, CASE WHEN c.source_id IS NULL THEN 'source_not_found' ELSE concat_ws(',', CASE WHEN a.split IS DISTINCT FROM c.split THEN 'split_mismatch' END, CASE WHEN a.category IS DISTINCT FROM c.category THEN 'category_mismatch' END) END AS issues
+FROM a LEFT JOIN c ON a.source_id = c.source_id""")
+def metadata_audit(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "audited").groupBy("source_id").agg(F.max("split").alias("split"), F.max("category").alias("category"))
+    x = joins.audited_join(a, latest(s, d).select("source_id", "split", "category"), "source_id", ["split", "category"])
+    return x.select("source_id", F.array_join("issues", ",").alias("issues"))
+
+
+@query("SELECT c.c_custkey, coalesce(n.c_mktsegment, c.c_mktsegment) AS c_mktsegment FROM customer c LEFT JOIN (SELECT c_custkey, 'CHANGED' AS c_mktsegment FROM customer WHERE c_acctbal < 0) n USING (c_custkey)")
+def keyed_upsert(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "customer")
+    return joins.upsert(c.select("c_custkey", "c_mktsegment"), c.where("c_acctbal < 0").select("c_custkey", F.lit("CHANGED").alias("c_mktsegment")), "c_custkey")
+
+
+@query("""SELECT source_id, 'left' AS side FROM (SELECT DISTINCT source_id FROM audited WHERE source_id IS NOT NULL EXCEPT SELECT source_id FROM candidate)
+UNION ALL SELECT source_id, 'right' AS side FROM (SELECT DISTINCT source_id FROM candidate WHERE source_id IS NOT NULL EXCEPT SELECT source_id FROM audited)""")
+def key_differences(s: SparkSession, d: str) -> DataFrame:
+    a, c = (table(s, d, t).where("source_id is not null") for t in ("audited", "candidate"))
+    return joins.key_differences(a, c, "source_id")
+
+
+@query("SELECT c_custkey AS k, c_name AS name, NULL AS s_acctbal FROM customer UNION ALL SELECT -s_suppkey - 1, s_name, s_acctbal FROM supplier")
+def merge_unique(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    b = table(s, d, "supplier").select((-F.col("s_suppkey") - 1).alias("k"), F.col("s_name").alias("name"), "s_acctbal")
+    return joins.merge_unique([a, b], "k")
+
+
+@query("SELECT DISTINCT category FROM audited WHERE split = 'train' AND category IN (SELECT category FROM audited WHERE split = 'test')")
+def shared_categories(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "audited")
+    return joins.shared_keys(a.where("split = 'train'"), a.where("split = 'test'"), "category")
+
+
+@query("SELECT source_id, count(*) AS n FROM candidate WHERE source_id IS NOT NULL GROUP BY source_id HAVING count(*) > 1")
+def repeated_sources(s: SparkSession, d: str) -> DataFrame:
+    return joins.repeated_keys(table(s, d, "candidate").where("source_id is not null"), "source_id").select("source_id", big(F.col("rows")).alias("n"))
+
+
+# Evidence ------------------------------------------------------------------------------------------------------------
+
+_EV = f"""WITH c AS (SELECT source_id, max(case_text) AS case_text FROM candidate WHERE case_text IS NOT NULL GROUP BY source_id), a AS (SELECT DISTINCT source_id, target.evidence AS ev, target.critical_evidence_ids AS crit FROM audited WHERE target.evidence IS NOT NULL),
+x AS (SELECT a.*, c.case_text FROM a JOIN c ON a.source_id = c.source_id)"""
+
+
+def evidence(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "candidate").where("case_text is not null").groupBy("source_id").agg(F.max("case_text").alias("case_text"))
+    a = table(s, d, "audited").select("source_id", F.col("target.evidence").alias("ev"), F.col("target.critical_evidence_ids").alias("crit")).where("ev is not null").distinct()
+    return a.join(c, "source_id")
+
+
+@query(_EV + """ SELECT source_id, CAST(len(list_filter(ev, lambda e: e.span IS NOT NULL)) AS BIGINT) AS spans, CAST(len(list_filter(ev, lambda e: e.span IS NOT NULL AND contains(case_text, e.span))) AS BIGINT) AS grounded,
+CAST(len(list_filter(ev, lambda e: length(e.span) > 0 AND (length(case_text) - length(replace(case_text, e.span, ''))) / length(e.span) > 1)) AS BIGINT) AS ambiguous FROM x""")
+def evidence_grounding(s: SparkSession, d: str) -> DataFrame:
+    x = evidence(s, d)
+    spans = A.spans_of(F.col("ev"))
+    hits = F.filter(A.grounded(spans, F.col("case_text")), lambda b: b)
+    twice = F.filter(spans, lambda t: T.occurrences(F.col("case_text"), t) > 1)
+    return x.select("source_id", *[big(F.size(c)).alias(n) for c, n in ((spans, "spans"), (hits, "grounded"), (twice, "ambiguous"))])
+
+
+@query("""WITH a AS (SELECT DISTINCT source_id, target.evidence AS ev FROM audited WHERE target.evidence IS NOT NULL), u AS (SELECT row_number() OVER () AS rid, source_id, ev FROM a),
+s AS (SELECT rid, e.span_start AS a, e.span_end AS b FROM (SELECT rid, unnest(ev) AS e FROM u) WHERE e.span_start IS NOT NULL AND e.span_end IS NOT NULL),
+o AS (SELECT rid, bool_or(nxt < b) AS hit FROM (SELECT rid, b, lead(a) OVER (PARTITION BY rid ORDER BY a, b) AS nxt FROM s) GROUP BY rid)
+SELECT source_id, coalesce(hit, false) AS overlapping FROM u LEFT JOIN o USING (rid)""")
+def overlapping_spans(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "audited").select("source_id", F.col("target.evidence").alias("ev")).where("ev is not null").distinct()
+    return a.select("source_id", A.overlapping(F.col("ev")).alias("overlapping"))
+
+
+@query("""WITH a AS (SELECT DISTINCT source_id, target.evidence AS ev, coalesce(target.critical_evidence_ids, []) AS crit FROM audited WHERE target.evidence IS NOT NULL), b AS (
+SELECT source_id, list_transform(ev, lambda e: e.id) AS ids, crit, list_transform(list_filter(ev, lambda e: e.importance = 'critical'), lambda e: e.id) AS marked FROM a)
+SELECT source_id, len(list_distinct(ids)) = len(ids) AND len(list_distinct(crit)) = len(crit) AND len(list_filter(crit, lambda i: NOT list_contains(marked, i))) = 0 AND len(list_filter(marked, lambda i: NOT list_contains(crit, i))) = 0 AS consistent FROM b""")
+def critical_consistency(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "audited").select("source_id", F.col("target.evidence").alias("ev"), F.coalesce("target.critical_evidence_ids", F.array().cast("array<string>")).alias("crit")).where("ev is not null").distinct()
+    return a.select("source_id", A.critical_consistent(F.col("ev"), F.col("crit")).alias("consistent"))
+
+
+_PRED = "list_filter(spans, lambda x: ascii(substr(sha256('42:' || x), 1, 1)) < 100)"
+
+
+def _predicted(spans: Column) -> Column:
+    """A stand-in for predicted spans: those whose digest starts below d."""
+    return F.filter(spans, lambda x: F.substring(H.order_key(x), 1, 1) < "d")
+
+
+@query(_EV + f""", y AS (SELECT source_id, list_transform(list_filter(ev, lambda e: e.span IS NOT NULL), lambda e: e.span) AS spans FROM x), z AS (SELECT len(spans) AS g, len({_PRED}) AS p FROM y)
+SELECT CAST(sum(g) AS BIGINT) AS gold, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(p) AS BIGINT) AS overlap, round_even(sum(p) / sum(p), 6) AS precision_micro, round_even(sum(p) / sum(g), 6) AS recall_micro, round_even(2 * sum(p) / (sum(p) + sum(g)), 6) AS f1_micro FROM z""")
+def micro_spans(s: SparkSession, d: str) -> DataFrame:
+    x = evidence(s, d).select(A.spans_of(F.col("ev")).alias("g")).withColumn("p", _predicted(F.col("g")))
+    x = x.agg(F.sum(F.size("g")).alias("gold"), F.sum(F.size("p")).alias("predicted"), F.sum(A.multiset_overlap(F.col("g"), F.col("p"))).alias("overlap"))
+    o, p, g = F.col("overlap"), F.col("predicted"), F.col("gold")
+    return x.select(big(g).alias("gold"), big(p).alias("predicted"), big(o).alias("overlap"), stats.rate(o, p).alias("precision_micro"), stats.rate(o, g).alias("recall_micro"), stats.rate(2 * o, p + g).alias("f1_micro"))
+
+
+@query(_EV + f""", y AS (SELECT source_id, list_distinct(list_transform(list_filter(ev, lambda e: e.span IS NOT NULL), lambda e: e.span)) AS spans FROM x), z AS (SELECT source_id, len(spans) AS g, len({_PRED}) AS p FROM y),
+r AS (SELECT source_id, CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END AS pr, CASE WHEN g > 0 THEN p / g ELSE 1.0 END AS rc FROM z) SELECT source_id, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 6) AS f1 FROM r""")
+def set_f1(s: SparkSession, d: str) -> DataFrame:
+    g = A.spans_of(F.col("ev"))
+    return evidence(s, d).select("source_id", F.round(A.overlap_f1(_predicted(g), g), 6).alias("f1"))
+
+
+@query()
+def audit_rows(s: SparkSession, d: str) -> DataFrame:
+    x = AU.audit(table(s, d, "audited"), table(s, d, "candidate"))
+    return x.select("source_id", "split", "status", *[F.array_join(c, "|").alias(c) for c in ("errors", "review", "warnings")])
+
+
+@query()
+def audit_report(s: SparkSession, d: str) -> DataFrame:
+    return AU.issue_report(AU.audit(table(s, d, "audited"), table(s, d, "candidate")))
+
+
+@query()
+def masked_variants(s: SparkSession, d: str) -> DataFrame:
+    return masking.mask_variants(table(s, d, "audited"), table(s, d, "candidate"))
+
+
+# Preference ----------------------------------------------------------------------------------------------------------
+
+
+def _last_judgments(s: SparkSession, d: str) -> DataFrame:
+    """The last row of each pair, by key columns only; its judgment is joined back by them."""
+    j = table(s, d, "judgment").where("pair_id is not null")
+    keys = ["created_at", "loaded_at", "attempt", "status"]
+    x = j.select("pair_id", "source_id", "split", "judge_model", *keys, F.col("parsed_judgment").alias("j"))
+    top = F.max(F.struct(*keys)).over(_by_pair())
+    same = [F.col(k).eqNullSafe(F.col(f"_t.{k}")) for k in keys]
+    x = x.withColumn("_t", top).where(same[0] & same[1] & same[2] & same[3]).drop("_t")
+    return x.dropDuplicates(["pair_id"])
+
+
+def _by_pair():  # noqa: ANN202
+    from pyspark.sql import Window
+
+    return Window.partitionBy("pair_id")
+
+
+_LIMITS = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in P.SCORES.items()) + "}"
+_NAMES = "[" + ", ".join(f"'{k}'" for k in sorted(P.SCORES)) + "]"
+_TOTAL = "list_sum(map_values(j.scores.{0}))"
+_BADSIDE = f"(j.scores.{{0}} IS NULL OR list_sort(map_keys(j.scores.{{0}})) <> {_NAMES} OR len(list_filter(map_entries(j.scores.{{0}}), lambda e: NOT coalesce(e.value BETWEEN 0 AND {_LIMITS}[e.key], false))) > 0 OR j.hard_failures.{{0}} IS NULL OR len(list_filter(j.hard_failures.{{0}}, lambda h: NOT list_contains(['H1','H2','H3','H4','H5','H6'], h))) > 0)"
+_GATE = f"""CASE WHEN status IS DISTINCT FROM 'ok' THEN 'judgment_not_ok'
+ WHEN j IS NULL OR j.decision IS NULL OR j.decision NOT IN ('A_better','B_better','tie','both_bad','unjudgeable') OR NOT coalesce(j.confidence BETWEEN 0 AND 1 AND NOT isnan(j.confidence), false) OR trim(coalesce(j.reason, '')) = ''
+  OR j.decisive_dimensions IS NULL OR (len(j.decisive_dimensions) = 0 AND j.decision NOT IN ('tie','unjudgeable')) OR len(list_filter(j.decisive_dimensions, lambda x: NOT list_contains({_NAMES}, x))) > 0
+  OR {_BADSIDE.replace('{0}', 'a')} OR {_BADSIDE.replace('{0}', 'b')} THEN 'invalid_judgment'
+ WHEN j.decision NOT IN ('A_better','B_better') THEN 'decision:' || j.decision WHEN j.confidence < 0.85 THEN 'low_confidence'
+ WHEN len(CASE WHEN j.decision = 'A_better' THEN j.hard_failures.a ELSE j.hard_failures.b END) > 0 THEN 'chosen_judge_hard_failure'
+ WHEN (CASE WHEN j.decision = 'A_better' THEN 1 ELSE -1 END) * ({_TOTAL.format('a')} - {_TOTAL.format('b')}) < 2 THEN 'low_score_margin' ELSE 'qualified' END"""
+
+
+@query(f"SELECT split, {_GATE} AS gate, count(*) AS n FROM (SELECT split, status, parsed_judgment AS j FROM judgment) GROUP BY ALL")
+def qualification_gates(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "judgment").select("split", "status", F.col("parsed_judgment").alias("j"))
+    return x.groupBy("split", P.qualification(F.col("status"), F.col("j")).alias("gate")).agg(N.alias("n"))
+
+
+@query()
+def judgment_errors(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "judgment").where("status = 'ok'").select(F.explode(P.judgment_errors(F.col("parsed_judgment"))).alias("code"))
+    return x.groupBy("code").agg(N.alias("n"))
+
+
+@query()
+def reconciled_pairs(s: SparkSession, d: str) -> DataFrame:
+    """First against last valid judgment of a pair, the last taken as the swapped presentation."""
+    j = table(s, d, "judgment").where("status = 'ok' and pair_id is not null").select("pair_id", "created_at", F.col("parsed_judgment").alias("j"))
+    j = j.where((F.size(P.judgment_errors(F.col("j"))) == 0) & P.winner(F.col("j.decision")).isNotNull()).withColumn("o", F.struct("created_at", F.xxhash64(F.to_json("j"))))
+    x = j.groupBy("pair_id").agg(F.min_by("j", "o").alias("a"), F.max_by("j", "o").alias("b"), N.alias("n")).where("n > 1")
+    tier, reason = P.reconcile(F.col("a"), P.swapped(F.col("b")))
+    return x.select("pair_id", tier.alias("tier"), reason.alias("reason"))
+
+
+@query()
+def exported_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Largest feasible quota-bound selection of qualified pairs by split."""
+    x = _last_judgments(s, d).where(P.qualification(F.col("status"), F.col("j")) == "qualified")
+    kind = H.stable_number(F.col("pair_id"), "type") % 10
+    x = x.select(
+        "split", "pair_id", F.when(kind < 5, "target_vs_model").when(kind < 9, "model_vs_model").otherwise("controlled_negative").alias("pair_type"), "source_id", P.winner(F.col("j.decision")).alias("position"),
+        F.when(H.stable_number(F.col("pair_id"), "tier") % 4 == 0, "B").otherwise("A").alias("tier"), F.col("j.confidence").alias("confidence"), P.margin(F.col("j")).alias("margin"),
+    )
+    return P.select_pairs(x.where("split is not null"), 400, {"target_vs_model": 0.55, "model_vs_model": 0.35, "controlled_negative": 0.1})
+
+
+@query(f"""SELECT source_id, 'pair_' || substr(sha256('42:' || source_id || ':target_vs_model:x:y'), 1, 16) AS pair_id, CASE WHEN {_HEAD.format("'42:' || source_id || ':target_vs_model:position'")} % 2 = 0 THEN 'x' ELSE 'y' END AS a,
+CASE WHEN {_HEAD.format("'42:' || source_id || ':controlled'")} % 2 = 0 THEN CASE WHEN level = 'sufficient' THEN 'unnecessary_uncertainty' ELSE 'overconfident_answer' END ELSE 'generic_non_answer' END AS defect
+FROM (SELECT source_id, max(target.evidence_sufficiency) AS level FROM audited WHERE source_id IS NOT NULL GROUP BY source_id)""")
+def blind_pairs(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "audited").where("source_id is not null").groupBy("source_id").agg(F.max("target.evidence_sufficiency").alias("level"))
+    p = P.make_pair(F.col("source_id"), F.lit("target_vs_model"), F.lit("x"), F.lit("y"))
+    return x.select("source_id", p["pair_id"].alias("pair_id"), p["a"].alias("a"), P.controlled_negative(F.col("source_id"), F.col("level")).alias("defect"))
+
+
+# Exam and statistics -------------------------------------------------------------------------------------------------
+
+_EXAM = "SELECT id, max(exam_class) AS exam_class, max(exam_type) AS exam_type, max(question_type) AS question_type, max(answer) AS answer FROM exam_question WHERE id IS NOT NULL GROUP BY id"
+_GOLD = "CASE WHEN regexp_matches(upper(answer), '[A-F]') THEN array_to_string(list_sort(list_distinct(regexp_extract_all(upper(answer), '[A-F]'))), '') END"
+
+
+def _answers(q: DataFrame, salt: str) -> DataFrame:
+    """Stand-in model outputs in four styles, the last without an answer."""
+    n = H.stable_number(F.col("id"), salt)
+    letter = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (n % 4 + 1).cast("int"))
+    style = (H.stable_number(F.col("id"), salt, "style") % 4).cast("int")
+    out = F.when(style == 0, letter).when(style == 1, F.concat(letter, F.lit(". 如上所述"))).when(style == 2, F.concat(F.lit("分析略。最终答案："), letter)).otherwise("A项似乎合理，但B项也可能。")
+    return q.select("id", F.when(style == 3, out).otherwise(F.coalesce(F.when(H.stable_number(F.col("id"), salt, "right") % 2 == 0, F.replace(out, letter, F.col("gold"))), out)).alias("output"))
+
+
+def _scored(s: SparkSession, d: str, salt: str) -> DataFrame:
+    q = exam.questions(table(s, d, "exam_question"))
+    return exam.score(q, _answers(q, salt))
+
+
+def _sql_scored(salt: str) -> str:
+    n = lambda *x: _HEAD.format("'42:' || id" + "".join(f" || ':{y}'" for y in x))
+    letter = f"substr('ABCD', CAST({n(salt)} % 4 + 1 AS INT), 1)"
+    pick = f"CASE WHEN {n(salt, 'right')} % 2 = 0 AND {_GOLD} IS NOT NULL THEN {_GOLD} ELSE {letter} END"
+    one = f"CASE WHEN {n(salt, 'style')} % 4 = 3 THEN NULL WHEN contains(question_type, '单项') AND length({pick}) <> 1 THEN NULL ELSE {pick} END"
+    return f"SELECT id, exam_class, exam_type, {one} AS answer, coalesce({one} = {_GOLD}, false) AS correct FROM ({_EXAM})"
+
+
+@query(_sql_scored("m1").replace("exam_class, exam_type, ", ""))
+def exam_scores(s: SparkSession, d: str) -> DataFrame:
+    return _scored(s, d, "m1").select("id", "answer", "correct")
+
+
+@query(f"""WITH x AS ({_sql_scored("m1")}), g AS (SELECT exam_class, exam_type, count(*) AS total, count(*) FILTER (correct) AS correct, grouping_id(exam_class, exam_type) AS gi FROM x GROUP BY GROUPING SETS ((), (exam_class), (exam_type)))
+SELECT CASE gi WHEN 3 THEN 'all' WHEN 1 THEN 'exam_class' ELSE 'exam_type' END AS dimension, CASE gi WHEN 1 THEN exam_class WHEN 2 THEN exam_type END AS value, total, correct, round(correct / total, 6) AS accuracy FROM g""")
+def exam_accuracy(s: SparkSession, d: str) -> DataFrame:
+    x = exam.accuracies(_scored(s, d, "m1"), ["exam_class", "exam_type"])
+    return x.select("dimension", "value", big(F.col("total")).alias("total"), big(F.col("correct")).alias("correct"), "accuracy")
+
+
+_Z = stats.Z95
+
+
+@query(f"""WITH g AS (SELECT exam_class, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (correct) AS DOUBLE) AS k FROM ({_sql_scored("m1")}) GROUP BY exam_class)
+SELECT exam_class, round(greatest(0, (k / n + {_Z * _Z} / (2 * n) - {_Z} * sqrt(k / n * (1 - k / n) / n + {_Z * _Z} / (4 * n * n))) / (1 + {_Z * _Z} / n)), 6) AS low, round(least(1, (k / n + {_Z * _Z} / (2 * n) + {_Z} * sqrt(k / n * (1 - k / n) / n + {_Z * _Z} / (4 * n * n))) / (1 + {_Z * _Z} / n)), 6) AS high FROM g""")
+def wilson_intervals(s: SparkSession, d: str) -> DataFrame:
+    x = exam.accuracies(_scored(s, d, "m1"), ["exam_class"]).where("dimension = 'exam_class'")
+    return x.select(F.col("value").alias("exam_class"), "low", "high")
+
+
+@query(f"""WITH a AS ({_sql_scored("m1")}), b AS ({_sql_scored("m2")}), p AS (SELECT a.correct AS a, b.correct AS b FROM a JOIN b USING (id)), c AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (b AND NOT a) AS better, count(*) FILTER (a AND NOT b) AS worse, count(*) FILTER (a AND b) AS "both" FROM p),
+e AS (SELECT *, (better - worse) / n AS dl, sqrt((better + worse - n * ((better - worse) / n) ** 2) / (n - 1) / n) AS se FROM c)
+SELECT CAST(n AS BIGINT) AS n, better, worse, "both", round(dl, 6) AS delta, round(dl - {_Z} * se, 6) AS low, round(dl + {_Z} * se, 6) AS high, dl - {_Z} * se >= -0.01 AS not_inferior FROM e""")
+def paired_systems(s: SparkSession, d: str) -> DataFrame:
+    return exam.paired_comparison(_scored(s, d, "m1"), _scored(s, d, "m2")).drop("p")
+
+
+@query()
+def mcnemar_test(s: SparkSession, d: str) -> DataFrame:
+    return exam.paired_comparison(_scored(s, d, "m1"), _scored(s, d, "m2")).select("better", "worse", "p")
+
+
+_PAIRS = f"WITH c AS ({_LATEST}), x AS (SELECT coalesce(a.task, 'None') AS gold, {_TASK} AS pred FROM (SELECT source_id, max(target.task_type) AS task FROM audited WHERE source_id IS NOT NULL GROUP BY source_id) a JOIN c USING (source_id) WHERE c.case_text IS NOT NULL)"
+
+
+@query(_PAIRS + """, s AS (SELECT gold AS label, count(*) AS support, count(*) FILTER (gold = pred) AS hit FROM x GROUP BY gold), g AS (SELECT pred AS label, count(*) AS given FROM x GROUP BY pred)
+SELECT label, support, CASE WHEN coalesce(given, 0) = 0 THEN 0.0 ELSE round_even(hit / given, 6) END AS "precision", round_even(hit / support, 6) AS recall, round_even(2 * hit / (coalesce(given, 0) + support), 6) AS f1 FROM s LEFT JOIN g USING (label)""")
+def task_report(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "audited").where("source_id is not null").groupBy("source_id").agg(F.max("target.task_type").alias("gold"))
+    x = a.join(latest(s, d).where("case_text is not null").select("source_id", T.classify_task(F.col("case_text")).alias("pred")), "source_id")
+    return stats.classification(x, "gold", "pred").select("label", big(F.col("support")).alias("support"), "precision", "recall", "f1")
+
+
+@query("""SELECT source, round(quantile_cont(length(text), 0.025), 6) AS low, round(quantile_cont(length(text), 0.5), 6) AS mid, round(quantile_cont(length(text), 0.975), 6) AS high, round(avg(length(text)), 6) AS mean FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source""")
+def length_percentiles(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").where("source is not null and text is not null").select("source", F.length("text").alias("n"))
+    p = lambda q: F.round(F.percentile("n", F.lit(q)), 6)
+    return x.groupBy("source").agg(p(0.025).alias("low"), p(0.5).alias("mid"), p(0.975).alias("high"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+@query()
+def bootstrap_intervals(s: SparkSession, d: str) -> DataFrame:
+    x = _scored(s, d, "m1").withColumn("value", F.col("correct").cast("double"))
+    return stats.bootstrap(x, "exam_class", "value", "id", rounds=1000)
+
+
+@query()
+def poisson_intervals(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").select("source", F.length("text").alias("n"), F.col("doc_id").cast("string").alias("k"))
+    return stats.poisson_bootstrap(x.where("source is not null"), "source", "n", "k", rounds=50)
+
+
+_CELL = f"SELECT id, sys, CASE WHEN contains(question_type, '单项') THEN 'single' ELSE 'other' END AS arm, correct FROM (SELECT id, 'old' AS sys, correct FROM ({_sql_scored('m1')}) UNION ALL SELECT id, 'new', correct FROM ({_sql_scored('m2')})) JOIN ({_EXAM}) USING (id)"
+
+
+@query(f"""WITH u AS (SELECT id, exam_class AS c FROM ({_EXAM})), x AS (SELECT substr(id, 1, 9) AS unit, sys, CASE WHEN {_HEAD.format("'42:' || id || ':arm'")} % 2 = 0 THEN 'x' ELSE 'y' END AS arm, CAST(correct AS INT) AS v FROM (SELECT id, 'old' AS sys, correct FROM ({_sql_scored('m1')}) UNION ALL SELECT id, 'new', correct FROM ({_sql_scored('m2')}))),
+p AS (SELECT unit, max(v) FILTER (sys = 'new' AND arm = 'x') AS a, max(v) FILTER (sys = 'new' AND arm = 'y') AS b, max(v) FILTER (sys = 'old' AND arm = 'x') AS c, max(v) FILTER (sys = 'old' AND arm = 'y') AS e FROM x GROUP BY unit), z AS (SELECT (a - c) - (b - e) AS did FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND e IS NOT NULL)
+SELECT count(*) AS n, round(avg(did), 6) AS did, count(*) FILTER (did > 0) AS positive, count(*) FILTER (did < 0) AS negative FROM z""")
+def difference_in_differences(s: SparkSession, d: str) -> DataFrame:
+    arm = F.when(H.stable_number(F.col("id"), "arm") % 2 == 0, "x").otherwise("y")
+    both = _scored(s, d, "m1").withColumn("sys", F.lit("old")).unionByName(_scored(s, d, "m2").withColumn("sys", F.lit("new")))
+    x = both.select(F.substring("id", 1, 9).alias("unit"), "sys", arm.alias("arm"), F.col("correct").cast("int").alias("v"))
+    return masking.difference_in_differences(x, "unit", "sys", "arm", "v", ("new", "old"), ("x", "y"))
+
+
+@query(f"""WITH x AS (SELECT id, 'a' AS arm, correct AS v FROM ({_sql_scored('m1')}) UNION ALL SELECT id, 'b', correct FROM ({_sql_scored('m2')})), p AS (SELECT id, max(CAST(v AS INT)) FILTER (arm = 'a') AS t, max(CAST(v AS INT)) FILTER (arm = 'b') AS b FROM x GROUP BY id)
+SELECT count(*) AS n, round(avg(t), 6) AS treatment, round(avg(b), 6) AS baseline, round(100 * (avg(t) - avg(b)), 4) AS delta_pp, count(*) FILTER (t = 1 AND b = 0) AS treatment_only, count(*) FILTER (t = 0 AND b = 1) AS baseline_only FROM p""")
+def paired_effect(s: SparkSession, d: str) -> DataFrame:
+    x = _scored(s, d, "m1").select("id", F.lit("a").alias("arm"), "correct").unionByName(_scored(s, d, "m2").select("id", F.lit("b").alias("arm"), "correct"))
+    return masking.paired_effect(x, "id", "arm", "correct", "a", "b")
+
+
+@query("""WITH q AS (SELECT id, question, map_entries(choices) AS o FROM exam_question WHERE id IS NOT NULL AND choices IS NOT NULL) SELECT DISTINCT id, question || chr(10) || array_to_string(list_transform(list_sort(list_transform(o, lambda e: e.key || '. ' || e.value)), lambda x: x), chr(10)) AS prompt FROM q""")
+def exam_prompts(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "exam_question").where("id is not null and choices is not null")
+    return x.select("id", T.exam_prompt(F.col("question"), F.col("choices")).alias("prompt")).distinct()
+
+
+# Retrieval, chat, JSON, reports --------------------------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, i.vec_id AS vec_id, list_cosine_similarity(q.e, i.e) AS s FROM v q, v i WHERE q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id)
+SELECT query_id, vec_id, round(s, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS "rank" FROM p QUALIFY "rank" <= 10""")
+def nearest_vectors(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "embeddings")
+    x = retrieval.top_k(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), "vec_id", "query_id", "embedding", 10)
+    return x.select("query_id", "vec_id", F.round("score", 5).alias("score"), big(F.col("rank")).alias("rank"))
+
+
+_TURNS = "SELECT user_id, ts, event_id, CASE WHEN event_type IN ('click', 'view', 'search') THEN 'human' ELSE 'gpt' END AS role, event_type || ':' || event_id AS text FROM events"
+
+
+def turns(s: SparkSession, d: str) -> DataFrame:
+    """Events as turns of a conversation with each user."""
+    role = F.when(F.col("event_type").isin("click", "view", "search"), "human").otherwise("gpt")
+    return table(s, d, "events").select("user_id", "ts", "event_id", role.alias("role"), F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")).alias("text"))
+
+
+@query(f"""WITH t AS ({_TURNS}) SELECT event_id, text, user_text FROM (SELECT event_id, text, role, last_value(CASE WHEN role = 'human' THEN text END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS user_text FROM t) WHERE role = 'gpt'""")
+def last_user_text(s: SparkSession, d: str) -> DataFrame:
+    return chat.last_user(turns(s, d), "user_id", "event_id", "role", "text").select("event_id", "text", "user_text")
+
+
+def conversations(s: SparkSession, d: str) -> DataFrame:
+    c = F.array_sort(F.collect_list(F.struct("event_id", F.col("role").alias("from"), F.col("text").alias("value"))))
+    return turns(s, d).groupBy("user_id").agg(F.transform(c, lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value"))).alias("turns"))
+
+
+@query(f"""WITH t AS ({_TURNS}), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, role ORDER BY event_id) AS island FROM t),
+g AS (SELECT user_id, role, island, min(event_id) AS first_id, string_agg(text, chr(10) ORDER BY event_id) AS all_text, min_by(text, event_id) AS first_text FROM o GROUP BY ALL),
+p AS (SELECT user_id, role, lead(role) OVER (PARTITION BY user_id ORDER BY first_id) AS nxt, all_text AS u, lead(first_text) OVER (PARTITION BY user_id ORDER BY first_id) AS a, first_id FROM g)
+SELECT user_id, count(*) AS pairs, sha256(string_agg(u || chr(9) || a, chr(10) ORDER BY first_id)) AS digest FROM p WHERE role = 'human' AND nxt = 'gpt' GROUP BY user_id""")
+def folded_history(s: SparkSession, d: str) -> DataFrame:
+    x = conversations(s, d).select("user_id", chat.folded_history(F.col("turns")).alias("h")).where("size(h) > 0")
+    text = F.array_join(F.transform("h", lambda p: F.concat(p["user"], F.lit("\t"), p["assistant"])), "\n")
+    return x.select("user_id", big(F.size("h")).alias("pairs"), F.sha2(text, 256).alias("digest"))
+
+
+@query(f"""WITH t AS ({_TURNS}), q AS (SELECT user_id, min(event_id) AS qi, min_by(text, event_id) AS question FROM t WHERE role = 'human' GROUP BY user_id) SELECT q.user_id, question, (SELECT min_by(text, event_id) FROM t WHERE t.user_id = q.user_id AND role = 'gpt' AND event_id > qi) AS answer FROM q""")
+def question_answers(s: SparkSession, d: str) -> DataFrame:
+    q, a = chat.question_answer(F.col("turns"))
+    return conversations(s, d).select("user_id", q.alias("question"), a.alias("answer")).where("question is not null")
+
+
+@query("SELECT doc_id, length(text) + coalesce(length(category), 0) BETWEEN 1 AND 400 AS fits FROM documents WHERE text IS NOT NULL")
+def length_filter(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").where("text is not null")
+    return x.select("doc_id", chat.length_within(F.col("text"), F.coalesce("category", F.lit("")), 400).alias("fits"))
+
+
+@query()
+def payload_objects(s: SparkSession, d: str) -> DataFrame:
+    """Payloads that are one object, and the first object inside those that are not."""
+    x = table(s, d, "sft_candidates").where("payload is not null").select("raw_id", jsonx.strict_object("payload").isNotNull().alias("strict"), jsonx.first_object("payload").isNotNull().alias("first"), jsonx.any_object("payload").isNotNull().alias("found"))
+    return x.groupBy("strict", "first", "found").agg(N.alias("n"))
+
+
+@query("""WITH x AS (SELECT l_returnflag, l_linestatus, l_quantity, l_extendedprice * (1 - l_discount) AS net FROM lineitem) SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(net), 4) AS mean_net FROM x GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
+def grouped_report(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    return x.rollup("l_returnflag", "l_linestatus").agg(N.alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("net"), 4).alias("mean_net"))
+
+
+@query("""WITH d0 AS (SELECT count(*) AS total, count(*) FILTER (validation_status = 'accepted') AS accepted FROM audited), d1 AS (SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS accepted FROM judgment)
+SELECT metric, CAST(v0 AS BIGINT) AS audited, CAST(v1 AS BIGINT) AS judged FROM d0, d1, LATERAL (VALUES ('rows', d0.total, d1.total), ('accepted', d0.accepted, d1.accepted)) AS t(metric, v0, v1)""")
+def metric_table(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "audited").agg(N.alias("r0"), big(F.count_if(F.col("validation_status") == "accepted")).alias("a0"))
+    j = table(s, d, "judgment").agg(N.alias("r1"), big(F.count_if(F.col("status") == "ok")).alias("a1"))
+    return a.crossJoin(j).selectExpr("stack(2, 'rows', r0, r1, 'accepted', a0, a1) as (metric, audited, judged)")  # one row each
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_events(s: SparkSession, d: str) -> DataFrame:
+    return incremental.windowed_counts(table(s, d, "events"), "ts", "event_type").withColumn("n", big(F.col("rows"))).drop("rows")
+
+
+@query("SELECT split, task, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (PARTITION BY split), 6) AS share FROM (SELECT split, target.task_type AS task, count(*) AS n FROM audited WHERE split IS NOT NULL GROUP BY ALL)")
+def shares_by_split(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    x = table(s, d, "audited").where("split is not null").groupBy("split", F.col("target.task_type").alias("task")).agg(N.alias("n"))
+    return x.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("split")), 6))
+
+
+@query("""SELECT judge_model, attempt, finish_reason, count(*) AS n, round(avg(length(parsed_judgment.reason)), 6) AS mean_reason FROM judgment GROUP BY ALL""")
+def judge_calls(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "judgment").groupBy("judge_model", "attempt", "finish_reason").agg(N.alias("n"), F.round(F.avg(F.length("parsed_judgment.reason")), 6).alias("mean_reason"))
