@@ -89,7 +89,7 @@ def _votes(text: str | None, case: str | None, cut: bool) -> dict[str, tuple[int
         return out | {d: (-1, -1, -1) for d in DEFECTS if d != "empty"}
     assert text is not None
     state = tail_state(text)[0]
-    out["truncated"] = (int(cut), 1 if state == "broken" else -1, 0 if state == "closed" else -1)
+    out["truncated"] = (int(cut), 1 if state == "broken" else -1, int(state != "closed"))
     declines = bool(_DECLINE_ZH.search(text) or _DECLINE_EN.search(text))
     advice = len(_ADVICE.findall(text))
     out["refusal"] = (int(declines), (1 if declines or _SORRY.search(text) else -1) if letters < 90 and not advice else 0 if advice > 1 else -1, 0 if letters > 160 else -1)

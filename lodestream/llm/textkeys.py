@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _DROP = re.compile("[^0-9a-zA-Z一-鿿]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def canonical(text: str | None) -> str:
@@ -46,7 +46,7 @@ def windows(code: np.ndarray, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = np.zeros(n, dtype=np.uint64)
         for k in range(width):
-            h = h * _BASE + code[k : k + n] + np.uint64(1)
+            h = h * BASE + code[k : k + n] + np.uint64(1)
         return mix(h)
 
 

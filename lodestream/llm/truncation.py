@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.textkeys import codes, mix, windows
+from lodestream.llm.textkeys import BASE, codes, mix, windows
 from lodestream.session import materialize, spread
 
 #: Lengths of the tails, longest first.
@@ -74,9 +75,33 @@ def _seed(group: str, k: int) -> np.uint64:
     return windows(codes(f"{group}/{k}".rjust(8)), 8)[0]
 
 
-def _ends(code: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k characters that end at each position from k - 1 on."""
-    return windows(code, k)
+def _continuations(group: str, texts: list[str], want: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, goes on) of every looked-for piece in the texts, all texts at once, in parts of some million characters."""
+    held: list[str] = []
+    size = 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size < 2_000_000 and i + 1 < len(texts):
+            continue
+        code = codes("\n\n".join([*held, ""]))
+        length = np.array([len(t) for t in held])
+        start = np.cumsum(length + 2) - length - 2
+        offset = np.arange(len(code)) - np.repeat(start, length + 2)
+        inner = offset < np.repeat(length, length + 2) - 1  # the last character of a text is followed by nothing
+        nxt = np.r_[code[1:], np.uint64(10)]
+        goes = ~(np.isin(nxt, STOPS) | ((nxt == 46) & np.isin(np.r_[nxt[1:], np.uint64(10)], AFTER_DOT)))
+        h, power = np.zeros(len(code), dtype=np.uint64), np.uint64(1)
+        with np.errstate(over="ignore"):
+            for k in range(1, TAILS[0] + 1):
+                h[k - 1 :] += (code[: len(code) - k + 1] + np.uint64(1)) * power
+                power = power * BASE
+                if k in TAILS:
+                    at = np.flatnonzero(inner & (offset >= k - 1))
+                    x = mix(mix(h[at]) + _seed(group, k))
+                    hit = _test(want, x)
+                    yield x[hit], goes[at[hit]]
+        held, size = [], 0
 
 
 def _test(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -116,7 +141,7 @@ def truncated_values(df: DataFrame, group: str, key: str, text: str) -> DataFram
                 ks = [k for k in TAILS if k <= len(code)] if state == "open" else []
                 with np.errstate(over="ignore"):
                     h = [int(mix(windows(code[-k:], k) + _seed(g, k))[0].view(np.int64)) for k in ks]
-                p = int(_prefix(g, code[:PREFIX]).view(np.int64)) if len(code) >= PREFIX else None
+                p = int(_prefixes(g, code[None, :PREFIX]).view(np.int64)[0]) if len(code) >= PREFIX else None
                 w = int(_whole(code).view(np.int64))
                 out.append((grp, g, key, state, ks, h, p, w, len(code)))
             yield pd.DataFrame(out, columns=["group", "g", "key", "state", "ks", "hs", "prefix", "whole", "len"])
@@ -131,26 +156,13 @@ def truncated_values(df: DataFrame, group: str, key: str, text: str) -> DataFram
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """How often looked-for pieces go on (1) or end a sentence (0)."""
         for b in batches:
-            hs, on = [], []
-            for g, t in zip(b["g"], b["text"], strict=True):
-                s = plain(t)
-                code = codes(s)
-                if len(code) < 2:
-                    continue
-                nxt = np.r_[code[1:], np.uint64(10)]
-                stop = np.isin(nxt, STOPS) | ((nxt == 46) & np.isin(np.r_[nxt[1:], np.uint64(10)], AFTER_DOT))
-                for k in TAILS:
-                    if k >= len(code):
-                        continue
-                    with np.errstate(over="ignore"):
-                        h = mix(_ends(code, k)[:-1] + _seed(g, k))
-                    hit = _test(want.value, h)
-                    hs.append(h[hit]), on.append(~stop[k - 1 : -1][hit])
-            if hs:
-                h, o = np.concatenate(hs), np.concatenate(on)
-                u, at = np.unique(h, return_inverse=True)
-                n, c = np.bincount(at, minlength=len(u)), np.bincount(at, weights=o, minlength=len(u)).astype(np.int64)
-                yield pd.DataFrame({"h": u.view(np.int64), "n": n, "c": c})
+            for g, part in b.groupby("g"):
+                found = list(_continuations(g, [plain(t) for t in part["text"]], want.value))
+                if found:
+                    h, o = (np.concatenate(x) for x in zip(*found, strict=True))
+                    u, at = np.unique(h, return_inverse=True)
+                    n, c = np.bincount(at, minlength=len(u)), np.bincount(at, weights=o, minlength=len(u)).astype(np.int64)
+                    yield pd.DataFrame({"h": u.view(np.int64), "n": n, "c": c})
 
     inside = src.mapInPandas(follow, "h bigint, n bigint, c bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     ends = each.groupBy("h").agg(F.count_distinct("whole").alias("e"))
@@ -159,21 +171,19 @@ def truncated_values(df: DataFrame, group: str, key: str, text: str) -> DataFram
     )
     best = seen.where(F.col("n") + F.col("e") >= SUPPORT).groupBy("g", "key", "whole").agg(F.max_by(F.col("c") / (F.col("n") + F.col("e")), "k").alias("share"))
 
-    def longer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Values whose prefix some open value has."""
         for b in batches:
-            out = []
-            for g, t in zip(b["g"], b["text"], strict=True):
-                s = plain(t)
-                code = codes(s)
-                if len(code) > PREFIX:
-                    p = _prefix(g, code[:PREFIX])
-                    if _test(starts.value, np.array([p]))[0]:
-                        out.append((int(p.view(np.int64)), s))
-            yield pd.DataFrame(out, columns=["prefix", "text"])
+            texts = [plain(t) for t in b.column("text").to_pylist()]
+            for g in set(b.column("g").to_pylist()):
+                own = [t for t, x in zip(texts, b.column("g").to_pylist(), strict=True) if x == g and len(t) > PREFIX]
+                if own:
+                    p = _prefixes(g, np.stack([codes(t[:PREFIX]) for t in own]))
+                    hit = np.flatnonzero(_test(starts.value, p))
+                    yield pa.RecordBatch.from_arrays([pa.array(p[hit].view(np.int64)), pa.array([own[i] for i in hit], pa.string())], ["prefix", "text"])
 
     lens = tail.where("prefix is not null").select("prefix", "len").distinct().groupBy("prefix").agg(F.collect_set("len").alias("lens"))
-    copies = src.mapInPandas(longer, "prefix bigint, text string").join(lens, "prefix")
+    copies = src.mapInArrow(longer, "prefix bigint, text string").join(lens, "prefix")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Prefixes, of the looked-for lengths, after which the value goes on inside a sentence."""
@@ -203,16 +213,17 @@ def _whole(code: np.ndarray) -> np.uint64:
     pad[: len(code)] = code + np.uint64(1)
     with np.errstate(over="ignore"):
         h = mix(pad.reshape(-1, 64) * POWERS).sum(axis=1)
-        return mix(mix(h + np.arange(len(h), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(keepdims=True))[0]
+        return mix(mix(h + np.arange(len(h), dtype=np.uint64) * BASE).sum(keepdims=True))[0]
 
 
 with np.errstate(over="ignore"):
     POWERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def _prefix(group: str, code: np.ndarray) -> np.uint64:
+def _prefixes(group: str, code: np.ndarray) -> np.ndarray:
+    """Hashes of rows of PREFIX characters."""
     with np.errstate(over="ignore"):
-        return mix(np.array([_whole(code) + _seed(group, PREFIX)]))[0]
+        return mix(mix((code + np.uint64(1)) * POWERS[:PREFIX]).sum(axis=1) + _seed(group, PREFIX))
 
 
 def text_fields(documents: DataFrame, audited: DataFrame) -> DataFrame:
