@@ -12,7 +12,7 @@ from lodestream.functions import hashing as H
 from lodestream.functions import jsonx, stats
 from lodestream.functions import text as T
 from lodestream.operators import audit as AU
-from lodestream.operators import chat, exam, joins, masking, retrieval, sampling
+from lodestream.operators import chat, clinical, exam, joins, masking, records, retrieval, risk, sampling
 from lodestream.operators import preference as P
 from lodestream.session import table
 from lodestream.streaming import incremental
@@ -518,7 +518,6 @@ def poisson_intervals(s: SparkSession, d: str) -> DataFrame:
     return stats.poisson_bootstrap(x.where("source is not null"), "source", "n", "k", rounds=50)
 
 
-_CELL = f"SELECT id, sys, CASE WHEN contains(question_type, '单项') THEN 'single' ELSE 'other' END AS arm, correct FROM (SELECT id, 'old' AS sys, correct FROM ({_sql_scored('m1')}) UNION ALL SELECT id, 'new', correct FROM ({_sql_scored('m2')})) JOIN ({_EXAM}) USING (id)"
 
 
 @query(f"""WITH u AS (SELECT id, exam_class AS c FROM ({_EXAM})), x AS (SELECT substr(id, 1, 9) AS unit, sys, CASE WHEN {_HEAD.format("'42:' || id || ':arm'")} % 2 = 0 THEN 'x' ELSE 'y' END AS arm, CAST(correct AS INT) AS v FROM (SELECT id, 'old' AS sys, correct FROM ({_sql_scored('m1')}) UNION ALL SELECT id, 'new', correct FROM ({_sql_scored('m2')}))),
@@ -633,3 +632,67 @@ def shares_by_split(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT judge_model, attempt, finish_reason, count(*) AS n, round(avg(length(parsed_judgment.reason)), 6) AS mean_reason FROM judgment GROUP BY ALL""")
 def judge_calls(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "judgment").groupBy("judge_model", "attempt", "finish_reason").agg(N.alias("n"), F.round(F.avg(F.length("parsed_judgment.reason")), 6).alias("mean_reason"))
+
+
+# Records, clinical comparison, risk ----------------------------------------------------------------------------------
+
+@query("""SELECT doc_id, CASE WHEN trim(coalesce(category, '')) <> '' THEN category || '：' || text ELSE text END AS question, source AS answer FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
+def labelled_conversations(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").where("text is not null and source is not null").select("doc_id", F.col("text").alias("question"), F.col("source").alias("answer"), "category")
+    t = F.col("conversations")
+    return records.to_conversation(x).select("doc_id", t[0]["value"].alias("question"), t[1]["value"].alias("answer"))
+
+
+@query(f"WITH c AS ({_LATEST}) SELECT case_text AS prompt, original_answer AS chosen, category AS rejected FROM c WHERE case_text IS NOT NULL AND original_answer IS NOT NULL AND category IS NOT NULL")
+def preference_records(s: SparkSession, d: str) -> DataFrame:
+    return records.preference_record(latest(s, d), "case_text", "original_answer", "category")
+
+
+@query()
+def training_rows(s: SparkSession, d: str) -> DataFrame:
+    x = records.training_rows(table(s, d, "audited"), table(s, d, "candidate"), "请根据病例回答：")
+    return x.select("source_id", "split", "task_type", F.col("conversations")[0]["value"].alias("prompt"), F.col("conversations")[1]["value"].alias("answer"))
+
+
+@query("""WITH j AS (SELECT pair_id, parsed_judgment AS j FROM judgment WHERE status = 'ok' AND parsed_judgment.scores.a IS NOT NULL AND parsed_judgment.scores.b IS NOT NULL), x AS (
+SELECT pair_id, 'a' AS label, unnest(map_entries(j.scores.a)) AS e FROM j UNION ALL SELECT pair_id, 'b', unnest(map_entries(j.scores.b)) FROM j), m AS (SELECT pair_id, label, e.key AS dimension, avg(e.value) AS score FROM x GROUP BY ALL),
+p AS (SELECT pair_id, dimension, max(score) FILTER (label = 'a') AS b, max(score) FILTER (label = 'b') AS c FROM m GROUP BY ALL) SELECT dimension, count(*) AS items, round(avg(c - b), 6) AS delta FROM p WHERE b IS NOT NULL AND c IS NOT NULL GROUP BY dimension""")
+def score_deltas(s: SparkSession, d: str) -> DataFrame:
+    j = table(s, d, "judgment").where("status = 'ok' and parsed_judgment.scores.a is not null and parsed_judgment.scores.b is not null and pair_id is not null")
+    j = j.select("pair_id", F.col("parsed_judgment.scores").alias("scores"), F.lit("a").alias("la"), F.lit("b").alias("lb"))
+    x = clinical.mean_deltas(clinical.side_scores(j, "pair_id", "scores", "la", "lb"), "pair_id", "a", "b")
+    return x.select("dimension", big(F.col("items")).alias("items"), "delta")
+
+
+@query("""WITH o AS (SELECT CASE parsed_judgment.decision WHEN 'A_better' THEN 'base' WHEN 'B_better' THEN 'cand' ELSE parsed_judgment.decision END AS o FROM judgment WHERE status = 'ok'), c AS (SELECT count(*) AS "rows", count(*) FILTER (o = 'base') AS base_wins, count(*) FILTER (o = 'cand') AS cand_wins, count(*) FILTER (o = 'tie') AS ties FROM o)
+SELECT *, round(cand_wins / nullif(base_wins + cand_wins + ties, 0), 6) AS win_rate, round((cand_wins - base_wins) / nullif(base_wins + cand_wins + ties, 0), 6) AS net_win_rate FROM c""")
+def win_rates(s: SparkSession, d: str) -> DataFrame:
+    o = clinical.mapped_winner(F.col("parsed_judgment.decision"), F.lit("base"), F.lit("cand"))
+    return clinical.outcome_rates(table(s, d, "judgment").where("status = 'ok'").select(o.alias("o")), "o", "base", "cand")
+
+
+@query()
+def cluster_interval(s: SparkSession, d: str) -> DataFrame:
+    return clinical.cluster_interval(_scored(s, d, "m1").withColumn("v", F.col("correct").cast("int")), "exam_subject", "v")
+
+
+@query("""WITH t AS (SELECT user_id, event_id, event_type AS q, CAST(value AS VARCHAR) AS a FROM events) SELECT event_id, count(q) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turns_before, first_value(q) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS first_question FROM t""")
+def carried_history(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select("user_id", "event_id", F.col("event_type").alias("q"), F.col("value").cast("string").alias("a"))
+    x = clinical.carried_history(e, "user_id", "event_id", "q", "a")
+    return x.select("event_id", big(F.size("history")).alias("turns_before"), F.try_element_at("history", F.lit(1))["question"].alias("first_question"))
+
+
+@query()
+def export_checks(s: SparkSession, d: str) -> DataFrame:
+    """Errors of the exported selection by split; a row says how many there are, none is 0."""
+    x = clinical.export_errors(exported_pairs(s, d), {"target_vs_model": 0.55, "model_vs_model": 0.35, "controlled_negative": 0.1})
+    return x.agg(N.alias("errors"), F.array_join(F.array_sort(F.collect_set("error")), ",").alias("codes"))
+
+
+@query()
+def number_risks(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "candidate").where("case_text is not null").groupBy("source_id").agg(F.max("case_text").alias("case_text"))
+    a = table(s, d, "audited").where("source_id is not null and target.final_answer is not null").select("source_id", F.concat_ws("\n", "target.clinical_reasoning", "target.final_answer").alias("text")).distinct()
+    r = a.join(c, "source_id").select("source_id", risk.unsupported_numbers("case_text", "text").alias("r"))
+    return r.select("source_id", F.array_join("r.high", ",").alias("high"), F.array_join("r.medium", ",").alias("medium"))
