@@ -46,7 +46,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
-    """Spread few or large files over all cores before heavy per-row work; many partitions stay as they are."""
+    """Spread few or large files over all cores before heavy per-row work; many partitions stay as they are.
+
+    For scans and projections of scans only: to count partitions of a plan with a shuffle would run that shuffle.
+    """
     want = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
     return df.repartition(want) if df.rdd.getNumPartitions() < want // 2 else df
 
