@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.textkeys import canonical, pieces
 from lodestream.llm.truncation import is_empty, tail_state, truncated_values
-from lodestream.session import materialize, spread
+from lodestream.session import materialize
 
 #: In order of precedence, for fields that may have one defect only.
 DEFECTS = ("empty", "language", "copy", "refusal", "truncated")
@@ -150,7 +150,8 @@ def response_defects(audited: DataFrame, candidate: DataFrame, cutoff: float = 0
                 rows += [(sid, field, d, list(v)) for d, v in _votes(text, case_text, bool(was_cut)).items()]
             yield pd.DataFrame(rows, columns=["source_id", "field", "defect", "votes"])
 
-    votes = materialize(spread(x).mapInPandas(vote, "source_id string, field string, defect string, votes array<int>"), "votes")
+    parts = max(2 * audited.sparkSession.sparkContext.defaultParallelism, int(audited.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    votes = materialize(x.repartition(parts).mapInPandas(vote, "source_id string, field string, defect string, votes array<int>"), "votes")
     seen = votes.groupBy("defect", "votes").count().collect()  # at most 3^3 patterns a defect
     known = []
     for d in DEFECTS:

@@ -64,14 +64,17 @@ def split_sides(df: DataFrame) -> DataFrame:
     return materialize(members(src, "source_id", "case_text", "split", "source_file"), "split-members")
 
 
-def cross_split(m: DataFrame, t: float = 0.5) -> DataFrame:
-    """``eval_id, train_id, split, source_file, jaccard``: evaluation records whose text is, exactly or almost, in train."""
+def cross_split(m: DataFrame, t: float = 0.5, band: float = 0.0) -> DataFrame:
+    """``eval_id, train_id, split, source_file, jaccard, edits``: evaluation records whose text is, exactly or almost, in train.
+
+    ``edits`` is the edit distance of the canonical texts if it is at most the share ``band`` of the longer one, else null.
+    """
     role = m.withColumn("role", F.when(F.col("split") == "train", 2).otherwise(1))
-    links = segment_join(representatives(role, roles=True), t)
+    links = segment_join(representatives(role, roles=True), t, band)
     ev = m.where("split <> 'train'").select(F.col("id").alias("eval_id"), F.col("ckey").alias("ckey_a"), "split", "source_file")
     tr = m.where("split = 'train'").select(F.col("id").alias("train_id"), F.col("ckey").alias("ckey_b"))
-    near = links.where("ckey_a <> ckey_b").join(ev, "ckey_a").join(tr, "ckey_b").select("eval_id", "train_id", "split", "source_file", "jaccard")
-    same = ev.join(tr, F.col("ckey_a") == F.col("ckey_b")).select("eval_id", "train_id", "split", "source_file", F.lit(1.0).alias("jaccard"))
+    near = links.where("ckey_a <> ckey_b").join(ev, "ckey_a").join(tr, "ckey_b").select("eval_id", "train_id", "split", "source_file", "jaccard", "edits")
+    same = ev.join(tr, F.col("ckey_a") == F.col("ckey_b")).select("eval_id", "train_id", "split", "source_file", F.lit(1.0).alias("jaccard"), F.lit(0).alias("edits"))
     return near.unionByName(same)
 
 

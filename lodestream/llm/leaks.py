@@ -149,10 +149,11 @@ def _by_shuffle(d: DataFrame, q: DataFrame, kind: str, share: float, template_sh
 
     dk = materialize(d.withColumn("k", F.xxhash64("t")), "leak-docs")
     qk = materialize(q.withColumn("k", F.xxhash64("q")), "leak-items")
-    need = 3
     wd = dk.select("k", F.col("t").alias("x")).dropDuplicates(["k"]).mapInPandas(cut, "k bigint, h bigint")
     wq = qk.select("k", F.col("q").alias("x")).dropDuplicates(["k"]).mapInPandas(cut, "k bigint, h bigint").withColumnRenamed("k", "qk")
-    pair = wd.join(wq, "h").groupBy("k", "qk").count().where(F.col("count") >= need).select("k", "qk")
+    wq = materialize(wq, "leak-windows")
+    size = wq.groupBy("qk").agg(F.count(F.lit(1)).alias("size"))  # a leaked item shares about half of its windows, but at least one
+    pair = wd.join(wq, "h").groupBy("k", "qk").count().join(size, "qk").where(F.col("count") >= F.least(F.lit(3), F.ceil(F.col("size") / 8))).select("k", "qk")
     x = pair.join(dk, "k").join(qk.withColumnRenamed("k", "qk"), "qk").select("d", "t", "i", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -51,6 +51,12 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
     return cross_split_pairs(table(s, d, "candidate"))
 
 
+def p4_overlaps(s: SparkSession, d: str) -> DataFrame:
+    """Each overlap with its similarity and, where no stretch has moved far, its edit distance."""
+    x = cross_split(split_sides(table(s, d, "candidate")), band=0.4)
+    return x.groupBy("eval_id", "train_id", "split").agg(F.round(F.max("jaccard"), 6).alias("jaccard"), F.min("edits").alias("edits"))
+
+
 def p4_counts(s: SparkSession, d: str) -> DataFrame:
     """Per split and source_file of the evaluation records: records, those with a partner in train, and partners."""
     m = split_sides(table(s, d, "candidate"))
@@ -113,7 +119,7 @@ def p10_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_contributors, p2_found, p2_links, p4_found, p4_counts, p5_found, p5_rates, p6_found, p6_posteriors, p7_found, p7_spans, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_levels)
+    own = (p1_found, p1_contributors, p2_found, p2_links, p4_found, p4_overlaps, p4_counts, p5_found, p5_rates, p6_found, p6_posteriors, p7_found, p7_spans, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_levels)
     return {f.__name__: f for f in own}
 
 

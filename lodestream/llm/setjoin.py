@@ -243,26 +243,52 @@ def representatives(texts: DataFrame, roles: bool = False) -> DataFrame:
     return (r if roles else r.withColumn("role", F.lit(0))).select("rid", "ckey", "canon", F.col("role").cast("tinyint").alias("role"))
 
 
-def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, t: float, width: int = WIDTH) -> DataFrame:
-    """``ckey_a, ckey_b, overlap, jaccard`` of the candidate pairs (a, b) that reach ``t`` exactly.
-
-    The pieces of one text are probed in the sorted pieces of the other; hashes play no part.
+def banded_distance(a: str, b: str, k: int) -> int | None:
+    """Edit distance of two texts if it is at most ``k``; None beyond. Dynamic programming inside a band of 2 k + 1 diagonals."""
+    if abs(len(a) - len(b)) > k:
+        return None
+    x, y = codes(a), codes(b)
+    far = k + 1
+    band = np.arange(-k, k + 1)  # column j = i + band in row i
+    row = np.where(band >= 0, band, far)
+    row = np.where(band <= len(y), row, far)
+    for i in range(1, len(x) + 1):
+        j = i + band
+        inside = (j >= 1) & (j <= len(y))
+        same = np.zeros(len(band), dtype=bool)
+        same[inside] = y[j[inside] - 1] == x[i - 1]
+        new = np.minimum(np.where(inside, row + ~same, far), np.r_[row[1:], far] + 1)
+        new = np.where(j == 0, i, np.where(j < 0, far, np.where(j > len(y), far, new)))
+        new = np.minimum(np.minimum.accumulate(new - band) + band, far)  # insertions run along the row
+        row = np.where((j < 0) | (j > len(y)), far, new)
+        if row.min() > k:
+            return None
+    d = int(row[len(y) - len(x) + k])
+    return d if d <= k else None
+
+
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, t: float, width: int = WIDTH, band: float = 0.0) -> DataFrame:
+    """``ckey_a, ckey_b, overlap, jaccard, edits`` of the candidate pairs (a, b) that reach ``t`` exactly.
+
+    The pieces of one text are probed in the sorted pieces of the other; hashes play no part. ``edits`` is the edit distance if
+    it is at most the share ``band`` of the longer text, else null, as where stretches have moved.
     """
     x = pairs.join(left.select(F.col("rid").alias("a"), F.col("ckey").alias("ckey_a"), F.col("canon").alias("x")), "a")
     x = x.join(right.select(F.col("rid").alias("b"), F.col("ckey").alias("ckey_b"), F.col("canon").alias("y")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            over, jac = [], []
+            over, jac, edits = [], [], []
             for p, q in zip(b["x"], b["y"], strict=True):
                 g, h = pieces(p, width), pieces(q, width)
                 o = len(g & h)
                 over.append(o)
                 jac.append(o / (len(g) + len(h) - o) if g and h else 0.0)
-            out = b[["ckey_a", "ckey_b"]].assign(overlap=over, jaccard=jac)
+                edits.append(banded_distance(p, q, int(band * max(len(p), len(q)))) if band and jac[-1] >= t else None)
+            out = b[["ckey_a", "ckey_b"]].assign(overlap=over, jaccard=jac, edits=pd.array(edits, dtype="Int32"))
             yield out[out["jaccard"] >= t]
 
-    return x.select("ckey_a", "ckey_b", "x", "y").mapInPandas(run, "ckey_a binary, ckey_b binary, overlap int, jaccard double")
+    return x.select("ckey_a", "ckey_b", "x", "y").mapInPandas(run, "ckey_a binary, ckey_b binary, overlap int, jaccard double, edits int")
 
 
 def _parts(df: DataFrame) -> int:
@@ -271,7 +297,7 @@ def _parts(df: DataFrame) -> int:
 
 
 def tjoin(reps: DataFrame, t: float = 0.5) -> DataFrame:
-    """All pairs of distinct texts with Jaccard of their 5-character pieces at least ``t``: ``ckey_a, ckey_b, overlap, jaccard``.
+    """All pairs of distinct texts with Jaccard of their 5-character pieces at least ``t``: ``ckey_a, ckey_b, overlap, jaccard, edits`` (null).
 
     For a text of n pieces every partner shares at least T = ceil(t n) of them, so of its lists sorted by length the
     L = T - 1 longest are skipped and the n - L shortest are merged; a partner occurs in at least T - L = 1 of them. The
@@ -326,7 +352,7 @@ def segments(cost: np.ndarray, length: int) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def segment_join(reps: DataFrame, t: float = 0.5) -> DataFrame:
+def segment_join(reps: DataFrame, t: float = 0.5, band: float = 0.0) -> DataFrame:
     """Pairs of an evaluation text (role 1) and a training text (role 2) with Jaccard at least ``t``.
 
     An evaluation text of n characters is cut into k + 1 segments, k = n // 12, that are looked up among all substrings of
@@ -368,4 +394,4 @@ def segment_join(reps: DataFrame, t: float = 0.5) -> DataFrame:
         return h, np.zeros(len(h), dtype=np.int64), counts.value[at]
 
     cand = materialize(_compare(_postings(wide, pick), t, _parts(reps), False), "segjoin-pairs")
-    return verified(spread(cand), reps.where("role = 1"), reps.where("role = 2"), t)
+    return verified(spread(cand), reps.where("role = 1"), reps.where("role = 2"), t, band=band)

@@ -167,3 +167,21 @@ def test_links_query(spark):
     x = queries()["p2_links"](spark, DATA)
     ids = table(spark, DATA, "candidate").where("case_text is not null").select("source_id").distinct().count()
     assert x.count() == ids and x.where("copies < 1 or links < 0").count() == 0
+
+
+def test_banded_distance():
+    rnd = random.Random(9)
+
+    def full(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for _ in range(400):
+        a, b = ("".join(rnd.choices("ab甲", k=rnd.randint(0, 12))) for _ in range(2))
+        for k in (0, 1, 3, 20):
+            d = full(a, b)
+            assert setjoin.banded_distance(a, b, k) == (d if d <= k else None)
