@@ -21,11 +21,12 @@ DEFECTS = ("empty", "language", "copy", "refusal", "truncated")
 # Ways to decline.
 _DECLINE_ZH = re.compile(
     "恕[不难]|不予(?:作答|回答|回复|解答)|不便(?:讨论|回答|作答|透露|评论)|不参与讨论|给不出|(?:无法|不能|难以|无权)[^。，]{0,12}(?:提供|回答|作答|回复|解答|协助|给出|讨论)"
-    "|拒绝(?:回答|给出|提供|这个|该|此|讨论)|作为[^。，]{0,6}(?:语言模型|人工智能|AI)|不具备[^。，]{0,6}资格|超出[^。，]{0,8}(?:能力|范围)"
+    "|拒绝(?:回答|给出|提供|这个|该|此|讨论)|作为[^。，]{0,6}(?:语言模型|人工智能|AI)|不具备[^。，]{0,6}资格|(?:超出|不在)[^。，]{0,8}(?:能力|范围|权限)"
+    "|帮不上|没有?办法[^。，]{0,6}(?:回答|回复|帮助|提供|判断|处理)|(?:没有|未|不)被?(?:授权|允许)[^。，]{0,8}(?:回答|回复|讨论|提供|评论)|另寻(?:渠道|途径|高明)|爱莫能助|无可奉告|不可以[^。，]{0,6}(?:回答|讨论|提供)"
 )
 _DECLINE_EN = re.compile(
     r"\b(?:can(?:'|’)?t|cannot|can not|unable to|not able to|won(?:'|’)?t|decline to|refuse to|not (?:allowed|permitted|qualified) to)\s+(?:\w+\s+){0,2}(?:help|assist|give|provide|answer|comment|discuss|respond|advise)"
-    r"|\bas an? (?:ai|language model|assistant)\b|\bi (?:must|have to) (?:decline|refuse)\b",
+    r"|\bas an? (?:ai|language model|assistant)\b|\bi (?:must|have to) (?:decline|refuse)\b|\b(?:falls?|is|lies|goes) (?:outside|beyond) (?:what|my|our|the scope)\b|\bagainst (?:my|our|the) (?:policy|policies|rules|guidelines)\b|\bnot (?:allowed|permitted|authori[sz]ed|able|free) to\b",
     re.I,
 )
 _SORRY = re.compile("抱歉|对不起|不好意思|请原谅|遗憾|谅解|恕|sorry|apolog|regret|decline|unable", re.I)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.textkeys import codes, windows
+from lodestream.llm.textkeys import BASE, codes, mix
 from lodestream.llm.truncation import _NUMBER
 from lodestream.session import spread
 
@@ -23,25 +23,45 @@ LEVELS = (1, 2, 3, 4, 5)
 PULL, FREE, FLOOR = 0.5, 0.3, 0.15
 
 
-def words(text: str) -> np.ndarray:
-    """Distinct word nodes of a text; numbers are one word, whatever their digits."""
-    code = codes(_NUMBER.sub("0", unicodedata.normalize("NFKC", text).lower()))
-    han = (code >= 0x4E00) & (code <= 0x9FFF)
-    latin = ((code >= 97) & (code <= 122)) | (code == 32)
+def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, word node) of the distinct words of each text; numbers are one word, whatever their digits."""
+    clean = [_NUMBER.sub("0", unicodedata.normalize("NFKC", t).lower()) if t else "" for t in texts]
+    code = codes("\n".join([*clean, ""]))
+    length = np.array([len(t) + 1 for t in clean], dtype=np.int64)
+    text = np.repeat(np.arange(len(clean), dtype=np.int64), length)
     found = []
-    for widths, mask in ((HAN, han), (LATIN, latin)):
+    for widths, mask in (
+        (HAN, (code >= 0x4E00) & (code <= 0x9FFF)),
+        (LATIN, ((code >= 97) & (code <= 122)) | (code == 32)),
+    ):
         runs = np.cumsum(np.r_[0, mask])
         for k in widths:
-            h = windows(code, k)
-            if len(h):
-                found.append(h[(runs[k:] - runs[:-k]) == k])
-    return np.unique((np.concatenate(found) & np.uint64(WORDS - 1)).astype(np.int64)) if found else np.empty(0, dtype=np.int64)
-
-
-def _value(words_of: np.ndarray, mu: np.ndarray, w: np.ndarray) -> float:
-    weight = w[words_of]
-    total = weight.sum()
-    return float((weight * mu[words_of]).sum() / total) if total > 0 else np.nan
+            if len(code) >= k:
+                at = np.flatnonzero(runs[k:] - runs[:-k] == k)  # the line break between texts is in no script
+                h = np.zeros(len(at), dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    for j in range(k):
+                        h = h * BASE + code[at + j] + np.uint64(1)
+                    found.append(text[at] * WORDS + (mix(h) & np.uint64(WORDS - 1)).astype(np.int64))
+    both = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+    return both // WORDS, both % WORDS
+
+
+def _parts(texts: list[str | None], most: int = 1_000_000) -> Iterator[slice]:
+    """Runs of texts of some million characters, single texts at least."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most or i + 1 == len(texts):
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+
+
+def _values(text: np.ndarray, word: np.ndarray, count: int, mu: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted mean of its words' values for each text, NaN without a known word."""
+    total = np.bincount(text, weights=w[word], minlength=count)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.bincount(text, weights=w[word] * mu[word], minlength=count) / np.where(total > 0, total, np.nan)
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", steps: int = 2) -> DataFrame:
@@ -68,19 +88,16 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n, s, q = np.zeros(WORDS), np.zeros(WORDS), np.zeros(WORDS)
             for b in batches:
-                for t, y, held in zip(b["t"], b["grade"], b["held"], strict=True):
-                    if not t:
-                        continue
-                    weight, value = (1.0, y) if y is not None and not np.isnan(y) and not held else (free, None)
-                    if weight == 0:
-                        continue
-                    x = words(t)
-                    if value is None:
-                        value = _value(x, *state.value) if state is not None else np.nan
-                    if not np.isnan(value):
-                        n[x] += weight
-                        s[x] += weight * value
-                        q[x] += weight * value * value
+                texts, held = b["t"].tolist(), b["held"].to_numpy(dtype=bool)
+                grade = b["grade"].to_numpy(dtype=float)
+                for part in _parts(texts):
+                    t, x = words(texts[part])
+                    y = np.where(held[part], np.nan, grade[part])
+                    value = y if state is None else np.where(np.isnan(y), _values(t, x, len(y), *state.value), y)
+                    weight = np.where(np.isnan(y), free, 1.0) * ~np.isnan(value)
+                    value = np.nan_to_num(value)
+                    for acc, v in ((n, weight), (s, weight * value), (q, weight * value * value)):
+                        acc += np.bincount(x, weights=v[t], minlength=WORDS)
             hit = np.flatnonzero(n)
             yield pd.DataFrame({"w": hit.astype(np.int32), "n": n[hit], "s": s[hit], "q": q[hit]})
 
@@ -102,8 +119,9 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            v = [_value(words(t), *state.value) if t else np.nan for t in b["t"]]
-            yield pd.DataFrame({"d": b["d"], "score": v}).astype({"score": float})
+            texts = b["t"].tolist()
+            v = [_values(*words(texts[p]), p.stop - p.start, *state.value) for p in _parts(texts)]
+            yield pd.DataFrame({"d": b["d"], "score": np.concatenate(v) if v else np.empty(0)})
 
     kind = d.schema["d"].dataType.simpleString()
     held = graded.where("held").select("d", "t").mapInPandas(score, f"d {kind}, score double").join(g, F.col("d") == F.col("gd"))
