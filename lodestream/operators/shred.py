@@ -156,9 +156,10 @@ def shred(df: DataFrame, key_col: str, json_col: str, plan: Plan | None = None)
             cols = ["k", "doc_key", "table_name", "node_id", "parent_table", "parent_id", "ord", "fields"]
             yield pd.DataFrame(out, columns=cols)
 
-    src = df.select(F.col(key_col).alias("k"), F.col(json_col).alias("t")).distinct().withColumn("doc_key", F.xxhash64("t"))
-    kind = src.schema["k"].dataType.simpleString()
-    return src.mapInPandas(rows, f"k {kind}, {NODES}").withColumnRenamed("k", key_col)
+    kind = df.schema[key_col].dataType
+    src = df.select(F.col(key_col).cast("string").alias("k"), F.col(json_col).alias("t")).distinct().withColumn("doc_key", F.xxhash64("t"))  # keys pass as text, exact
+    out = src.mapInPandas(rows, f"k string, {NODES}")
+    return out.select(F.col("k").cast(kind).alias(key_col), *[c for c in out.columns if c != "k"])
 
 
 def _walk(plan: Plan, out: list[tuple], key: object, doc: int, rec: dict, i: int) -> None:
@@ -245,8 +246,8 @@ def named_evidence(df: DataFrame) -> DataFrame:
 
     Joined on the candidate's node, not on its id, so null or repeated candidate ids do no harm. Blank ids name nothing.
     """
-    t = candidate_tables(df)
-    own = ["raw_id", "doc_key", "candidate_node"]
+    t = {k: v.withColumn("owner", F.xxhash64(F.coalesce(F.col("raw_id").cast("string"), F.lit("null")))) for k, v in candidate_tables(df).items()}
+    own = ["owner", "doc_key", "candidate_node"]  # a null raw_id is an owner as well; doc_key tells payloads apart
     crit = t["critical_ids"].where("critical_key <> ''").select(*own, F.col("critical_key").alias("evidence_key")).distinct()
     hit = t["evidence"].where("evidence_key <> ''").select(*own, "evidence_key").distinct().join(crit, [*own, "evidence_key"])
-    return hit.join(t["candidates"].select(*own, "candidate_id"), own).select("raw_id", "candidate_id", F.col("evidence_key").alias("evidence_id")).distinct()
+    return hit.join(t["candidates"].select(*own, "raw_id", "candidate_id"), own).select("raw_id", "candidate_id", F.col("evidence_key").alias("evidence_id")).distinct()

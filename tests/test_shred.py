@@ -60,3 +60,9 @@ def test_empty_table(spark):
 def test_json_grammar():
     assert parse_json('{"a": 1, "a": 2}') == (True, {"a": 2})
     assert not parse_json("{'a': 1}")[0] and not parse_json("Infinity")[0] and not parse_json("[" * 100_000)[0]
+
+
+def test_large_keys_beside_null_keys(spark):
+    body = json.dumps(record([cand("a", [{"id": "E1"}], ["E1"])]))
+    df = spark.createDataFrame([(2**60 + 1, None, body, "", ""), (None, None, body, "", "")], SCHEMA)
+    assert {r["raw_id"] for r in named_evidence(df).collect()} == {2**60 + 1, None}
