@@ -112,8 +112,8 @@ def leaked_items(
     Items shorter than 8 characters have no pieces. Extra columns are dropped.
     """
     q = items.select(F.col(item_id).cast("string").alias("i"), F.col(question).alias("q")).where("i is not null and q is not null and q <> ''").distinct()
-    d = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null and t <> ''")
-    kind = d.schema["d"].dataType.simpleString()
+    kind = docs.schema[doc_id].dataType
+    d = docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t")).where("t is not null and t <> ''")  # ids pass as text, exact
     few = q.limit(BROADCAST_ITEMS + 1).collect()
 
     def matched(index: ItemIndex, did: object, t: str) -> Iterator[tuple]:
@@ -128,15 +128,15 @@ def leaked_items(
             for b in batches:
                 yield pd.DataFrame([x for did, t in zip(b["d"], b["t"], strict=True) for x in matched(held.value, did, t)], columns=cols)
 
-        out = spread(d).mapInPandas(run, f"d {kind}, i string, {KINDS}")
+        out = spread(d).mapInPandas(run, f"d string, i string, {KINDS}")
     else:
-        out = _by_shuffle(d, q, kind, share, template_share)
+        out = _by_shuffle(d, q, share, template_share)
     out = out.groupBy("d", "i").agg(F.max("whole").alias("whole"), F.max("template").alias("template"), F.max("slots").alias("slots"))
     form = F.when(F.col("whole") >= 1, "exact").when(F.col("whole") >= share, "partial").when(F.col("slots") < 1, "reparameterised")
-    return out.select(F.col("d").alias(doc_id), F.col("i").alias(item_id), *cols[2:], form.alias("kind")).where("kind is not null")
+    return out.select(F.col("d").cast(kind).alias(doc_id), F.col("i").alias(item_id), *cols[2:], form.alias("kind")).where("kind is not null")
 
 
-def _by_shuffle(d: DataFrame, q: DataFrame, kind: str, share: float, template_share: float) -> DataFrame:
+def _by_shuffle(d: DataFrame, q: DataFrame, share: float, template_share: float) -> DataFrame:
     """The same for any number of items: window hashes joined by shuffle, candidates compared text by text."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,4 +163,4 @@ def _by_shuffle(d: DataFrame, q: DataFrame, kind: str, share: float, template_sh
                 rows += [(did, i, w, f, s) for _, w, f, s in ItemIndex([(i, question)]).match(t, share, template_share)]
             yield pd.DataFrame(rows, columns=["d", "i", "whole", "template", "slots"])
 
-    return x.mapInPandas(run, f"d {kind}, i string, {KINDS}")
+    return x.mapInPandas(run, f"d string, i string, {KINDS}")

@@ -25,8 +25,8 @@ LOOKALIKES = dict(
 _IGNORED = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯ㅤ︀-️﻿ﾠ]")
 _TABLE = str.maketrans(LOOKALIKES)
 _TOKEN = re.compile(r"[^\W_]+|[\W_]+")
-#: Most spellings that are kept for the trie.
-VOCABULARY = 50_000
+#: Most spellings that are kept for the trie, and the count beyond which spellings are equally frequent.
+VOCABULARY, TOP_COUNT = 50_000, 10_000
 
 
 def ignorable(c: str) -> bool:
@@ -44,7 +44,7 @@ class SpellingTrie:
     """Vocabulary trie with a weighted edit automaton.
 
     Reading an ignorable costs nothing and stays; reading a character costs nothing along any spelling of it that looks
-    the same (also several characters for one); anything else costs ``other`` a character.
+    the same (also several characters for one); a letter more, less or another costs ``other``.
     """
 
     def __init__(self, words: list[str], other: float = 1.0) -> None:
@@ -71,14 +71,21 @@ class SpellingTrie:
 
     def find(self, token: str, budget: float = 0.0) -> str | None:
         """The spelling reached at the lowest cost within ``budget``; the first in code-point order among equals."""
-        states: list[tuple[float, dict]] = [(0.0, self.root)]
-        for c in self.clusters(token):
-            step: dict[int, tuple[float, dict]] = {}
+        step: dict[int, tuple[float, dict]] = {}
 
-            def reach(cost: float, node: dict, step: dict = step) -> None:
-                if cost <= budget and (id(node) not in step or step[id(node)][0] > cost):
-                    step[id(node)] = (cost, node)
+        def reach(cost: float, node: dict) -> None:
+            """Enter a node and, at the cost of a letter that the token lacks, what lies below it."""
+            if cost <= budget and (id(node) not in step or step[id(node)][0] > cost):
+                step[id(node)] = (cost, node)
+                if cost + self.other <= budget:
+                    for x, child in node.items():
+                        if x:
+                            reach(cost + self.other, child)
 
+        reach(0.0, self.root)
+        states = list(step.values())
+        for c in self.clusters(token):
+            step = {}
             for cost, node in states:
                 at: dict | None = node
                 for x in fold(c):
@@ -98,7 +105,7 @@ class SpellingTrie:
 
 
 def vocabulary(df: DataFrame, *columns: str, size: int = VOCABULARY) -> list[str]:
-    """The most frequent spellings in clean form, at most ``size`` of them, over whole texts of all rows."""
+    """The most frequent spellings in clean form over whole texts of all rows: all down to the count at which they are at most ``size``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -107,10 +114,18 @@ def vocabulary(df: DataFrame, *columns: str, size: int = VOCABULARY) -> list[str
                 for t in b[c]:
                     if t:
                         seen.update(w for w in _TOKEN.findall(t) if w[0].isalnum() and len(w) <= 64 and fold(w) == w)
-            yield pd.DataFrame({"w": list(seen), "n": list(seen.values())})
+            yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
 
     words = df.select(*columns).mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
-    return [r["w"] for r in words.orderBy(F.desc("n"), "w").limit(size).select("w").collect()]
+    words = materialize(words, "spellings")
+    least = F.least("n", F.lit(TOP_COUNT))
+    many = sorted(((r["c"], r["m"]) for r in words.groupBy(least.alias("c")).agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+    taken, floor = 0, TOP_COUNT + 1
+    for c, m in many:  # at most TOP_COUNT rows
+        if taken + m > size:
+            break
+        taken, floor = taken + m, c
+    return sorted(r["w"] for r in words.where(least >= floor).select("w").collect())
 
 
 def consistent(text: str, trie: SpellingTrie) -> str:

@@ -93,7 +93,7 @@ def _continuations(group: str, texts: list[str], want: np.ndarray) -> Iterator[t
         goes = ~(np.isin(nxt, STOPS) | ((nxt == 46) & np.isin(np.r_[nxt[1:], np.uint64(10)], AFTER_DOT)))
         h, power = np.zeros(len(code), dtype=np.uint64), np.uint64(1)
         with np.errstate(over="ignore"):
-            for k in range(1, TAILS[0] + 1):
+            for k in range(1, min(TAILS[0], len(code)) + 1):
                 h[k - 1 :] += (code[: len(code) - k + 1] + np.uint64(1)) * power
                 power = power * BASE
                 if k in TAILS:
@@ -144,7 +144,7 @@ def truncated_values(df: DataFrame, group: str, key: str, text: str) -> DataFram
                 p = int(_prefixes(g, code[None, :PREFIX]).view(np.int64)[0]) if len(code) >= PREFIX else None
                 w = int(_whole(code).view(np.int64))
                 out.append((grp, g, key, state, ks, h, p, w, len(code)))
-            yield pd.DataFrame(out, columns=["group", "g", "key", "state", "ks", "hs", "prefix", "whole", "len"])
+            yield pd.DataFrame(out, columns=["group", "g", "key", "state", "ks", "hs", "prefix", "whole", "len"], dtype=object)
 
     kinds = "`group` string, g string, key string, state string, ks array<int>, hs array<bigint>, prefix bigint, whole bigint, len int"
     tail = materialize(src.mapInPandas(tails, kinds), "tails")

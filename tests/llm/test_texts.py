@@ -42,9 +42,9 @@ def test_truncation(spark):
 
 def test_strict_prefix_of_a_longer_copy(spark):
     long = "独一无二的开头" + "".join(chr(0x5000 + i * 7 % 3000) for i in range(200)) + "。"
-    df = spark.createDataFrame([("f", "a", long, ""), ("f", "b", long[:120], ""), ("f", "c", long[:-1], "")], "field string, record_key string, text string, source string")
+    df = spark.createDataFrame([("f", "a", long, ""), ("f", "b", long[:120], ""), ("f", "c", long[:-1], ""), ("f", "d", "短", ""), ("g", "e", "短的文本", "")], "field string, record_key string, text string, source string")
     assert {r[1] for r in truncated_values(df, "field", "record_key", "text").collect()} == {"b"}
-    assert {(r["values"], r["truncated"], r["rate"]) for r in truncation_rates(df).collect()} == {(3, 1, 0.333333)}
+    assert {(r["field"], r["values"], r["truncated"], r["rate"]) for r in truncation_rates(df).collect()} == {("f", 4, 1, 0.25), ("g", 1, 0, 0.0)}
 
 
 @pytest.mark.parametrize(("text", "state"), [("好。", "closed"), ("好。”", "closed"), ("Yes.", "closed"), ("值为3.", "open"), ("好", "open"), ("好…", "open"), ("……", "empty"), ("无", "empty"), ("N/A", "empty"), ("好�", "broken"), ("好，\n", "open")])
@@ -109,7 +109,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch, most):
     qs = [f"患者{rnd.randint(20, 80)}岁，" + "".join(chr(0x4E00 + rnd.randrange(400)) for _ in range(60)) + f"，查CRP {rnd.randint(1, 99)}.{i}mg/L，下一步？" for i in range(20)]
     ds = ["".join(chr(0x4E00 + rnd.randrange(400)) for _ in range(80)) for _ in range(30)]
     ds += [ds[i] + q + ds[i + 1] for i, q in enumerate(qs[:8])] + [ds[i] + q[: len(q) // 3 * 2] for i, q in enumerate(qs[:8])] + [q[:20] for q in qs[:5]] + [None, "", "甲" * 200_000]
-    docs = spark.createDataFrame([(i, t, "q") for i, t in enumerate(ds)], "doc_id bigint, text string, question string")
+    docs = spark.createDataFrame([(i, t, "q") for i, t in enumerate(ds)] + [(None, None, "q"), (None, "甲乙", "q")], "doc_id bigint, text string, question string")
     items = spark.createDataFrame([(f"e{i}", q, "t") for i, q in enumerate(qs)] + [("e0", qs[0], "t"), ("n", None, "t"), ("z", "", "t"), (None, qs[0], "t"), ("short", "甲乙", "t")], "id string, question string, text string")
     want = set()
     for i, t in enumerate(ds):
@@ -181,12 +181,12 @@ def test_reading_levels(spark):
 
 def test_reading_levels_on_held_out_grades(spark):
     """Documents graded by several raters, their grades withheld, get the agreed level nearly always."""
-    d = DATA.replace("0.001", "0.01")
+    d = DATA.replace("0.001", "0.1")
     labels, docs = table(spark, d, "reading_label"), table(spark, d, "documents")
     agreed = labels.where("grade is not null").select("doc_id", "rater", "grade").distinct().groupBy("doc_id").agg(F.min("grade").alias("lo"), F.max("grade").alias("hi"), F.count("*").alias("n")).where("lo = hi and n > 1")
     out = reading_levels(docs, labels.join(agreed, "doc_id", "left_anti")).join(agreed, "doc_id")
     n, ok = out.count(), out.where("level = lo").count()
-    assert n >= 10 and ok >= 0.9 * n
+    assert n >= 100 and ok >= 0.95 * n
 
 
 @pytest.mark.parametrize("name", [n for n in queries() if not n.startswith(("p1_", "p2_", "p4_"))])
