@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,33 +45,26 @@ _WORDS = {
 _VOTE = {w: k for k, ws in reversed(_WORDS.items()) for w in ws}
 
 
+_SCRIPTS = {k: re.compile(f"[{v}]+") for k, v in (("han", "一-鿿"), ("kana", "぀-ヿ"), ("hangul", "가-힯"), ("cyrillic", "Ѐ-ӿ"), ("arabic", "؀-ۿ"))}
+_LETTERS = re.compile(r"[^\W\d_぀-ヿ一-鿿가-힯Ѐ-ӿ؀-ۿ]+")
+
+
 def language(text: str) -> str | None:
     """zh, ja, ko, ru, ar, or a language in Latin letters; null if there is too little to tell."""
-    s = unicodedata.normalize("NFKC", text)
-    n = {k: 0 for k in ("han", "kana", "hangul", "cyrillic", "arabic")}
-    for c in s:
-        o = ord(c)
-        if 0x4E00 <= o <= 0x9FFF:
-            n["han"] += 1
-        elif 0x3040 <= o <= 0x30FF:
-            n["kana"] += 1
-        elif 0xAC00 <= o <= 0xD7AF:
-            n["hangul"] += 1
-        elif 0x0400 <= o <= 0x04FF:
-            n["cyrillic"] += 1
-        elif 0x0600 <= o <= 0x06FF:
-            n["arabic"] += 1
-    words = re.findall(r"[^\W\d_]+", re.sub(r"[぀-鿿가-힯Ѐ-ӿ]+", " ", s.lower()))
-    if n["kana"] >= 4 and n["kana"] * 4 >= n["han"]:
-        return "ja"
-    if n["hangul"] >= 4:
-        return "ko"
-    if n["cyrillic"] > 2 * len(words) and n["cyrillic"] >= 6:
-        return "ru"
-    if n["arabic"] >= 6:
-        return "ar"
-    if n["han"] >= 2 and n["han"] >= len(words):
-        return "zh"
+    s = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    words = _LETTERS.findall(s.lower())
+    if not s.isascii():
+        n = {k: sum(map(len, r.findall(s))) for k, r in _SCRIPTS.items()}
+        if n["kana"] >= 4 and n["kana"] * 4 >= n["han"]:
+            return "ja"
+        if n["hangul"] >= 4:
+            return "ko"
+        if n["cyrillic"] > 2 * len(words) and n["cyrillic"] >= 6:
+            return "ru"
+        if n["arabic"] >= 6:
+            return "ar"
+        if n["han"] >= 2 and n["han"] >= len(words):
+            return "zh"
     if len(words) < 3:
         return None
     score: dict[str, int] = {}
@@ -80,6 +74,12 @@ def language(text: str) -> str | None:
     return max(score, key=lambda k: (score[k], k == "en")) if score else "latin"
 
 
+@lru_cache(maxsize=1024)
+def _case(case: str | None) -> tuple[set[str], str | None]:
+    """Pieces and language of a case; the fields of one record follow each other."""
+    return pieces(canonical(case), 5), language(case) if case else None
+
+
 def _votes(text: str | None, case: str | None, cut: bool) -> dict[str, tuple[int, ...]]:
     """Votes of the labelling functions by defect: 1 for, 0 against, -1 abstains."""
     blank = not (text or "").strip(" \t\r\n　​‌‍﻿")
@@ -94,15 +94,15 @@ def _votes(text: str | None, case: str | None, cut: bool) -> dict[str, tuple[int
     declines = bool(_DECLINE_ZH.search(text) or _DECLINE_EN.search(text))
     advice = len(_ADVICE.findall(text))
     out["refusal"] = (int(declines), (1 if declines or _SORRY.search(text) else -1) if letters < 90 and not advice else 0 if advice > 1 else -1, 0 if letters > 160 else -1)
-    a, b = canonical(text), canonical(case)
-    g, h = pieces(a, 5), pieces(b, 5)
+    h, lb = _case(case)
+    g = pieces(canonical(text), 5)
     if len(g) >= 4 and h:
         both = len(g & h)
         inside, covered = both / len(g), both / len(h)
         out["copy"] = (int(inside >= 0.75), int(covered >= 0.4) if inside >= 0.5 else 0, 1 if inside >= 0.9 and covered >= 0.3 else 0 if inside < 0.6 else -1)
     else:
         out["copy"] = (-1, -1, -1)
-    la, lb = language(text), language(case) if case else None
+    la = language(text)
     if la and lb:
         far = {la, lb} & {"zh", "ja", "ko", "ru", "ar"}
         out["language"] = (int(la != lb), (int(la != lb) if far or (la == "en") == (lb == "en") else 1 if la != "latin" else -1), 0 if la == lb else -1)
@@ -151,8 +151,7 @@ def response_defects(audited: DataFrame, candidate: DataFrame, cutoff: float = 0
                 rows += [(sid, field, d, list(v)) for d, v in _votes(text, case_text, bool(was_cut)).items()]
             yield pd.DataFrame(rows, columns=["source_id", "field", "defect", "votes"])
 
-    parts = max(2 * audited.sparkSession.sparkContext.defaultParallelism, int(audited.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    votes = materialize(x.repartition(parts).mapInPandas(vote, "source_id string, field string, defect string, votes array<int>"), "votes")
+    votes = materialize(x.mapInPandas(vote, "source_id string, field string, defect string, votes array<int>"), "votes")
     seen = votes.groupBy("defect", "votes").count().collect()  # at most 3^3 patterns a defect
     known = []
     for d in DEFECTS:
