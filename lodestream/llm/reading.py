@@ -76,10 +76,11 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     are dropped. Without any grades all levels are null.
     """
     sc = docs.sparkSession.sparkContext
-    g = labels.select(F.col(doc_id).alias("gd"), "rater", F.col(grade).alias("grade")).where(F.col("grade").between(LEVELS[0], LEVELS[-1]) & F.col("gd").isNotNull())
+    g = labels.select(F.col(doc_id).cast("string").alias("gd"), "rater", F.col(grade).alias("grade")).where(F.col("grade").between(LEVELS[0], LEVELS[-1]) & F.col("gd").isNotNull())
     g = g.distinct().groupBy("gd").agg(F.median("grade").cast("double").alias("grade"))
     g = g.withColumn("held", F.pmod(F.xxhash64("gd"), F.lit(5)) == 0)
-    d = spread(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")))
+    kind = docs.schema[doc_id].dataType
+    d = spread(docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t")))  # ids pass as text, exact
     graded = d.join(g, F.col("d") == F.col("gd"), "left").select("d", "t", "grade", F.coalesce("held", F.lit(False)).alias("held"))
 
     def gather(state: object, free: float):  # noqa: ANN202
@@ -123,13 +124,12 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
             v = [_values(*words(texts[p]), p.stop - p.start, *state.value) for p in _parts(texts)]
             yield pd.DataFrame({"d": b["d"], "score": np.concatenate(v) if v else np.empty(0)})
 
-    kind = d.schema["d"].dataType.simpleString()
-    held = graded.where("held").select("d", "t").mapInPandas(score, f"d {kind}, score double").join(g, F.col("d") == F.col("gd"))
+    held = graded.where("held").select("d", "t").mapInPandas(score, "d string, score double").join(g, F.col("d") == F.col("gd"))
     near = held.where(~F.isnan("score")).groupBy(F.floor("grade").alias("grade")).agg(F.median("score").alias("m"), F.count(F.lit(1)).alias("n")).collect()
     mid = {int(r["grade"]): r["m"] for r in near if r["n"] >= 3}
     centre = np.maximum.accumulate([mid.get(k, float(k)) for k in LEVELS])
     borders = (centre[1:] + centre[:-1]) / 2
-    out = d.mapInPandas(score, f"d {kind}, score double")
+    out = d.mapInPandas(score, "d string, score double")
     out = out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     level = F.when(F.col("score").isNotNull(), F.lit(LEVELS[0]) + sum((F.col("score") >= F.lit(float(x))).cast("int") for x in borders))
-    return out.select(F.col("d").alias(doc_id), "score", level.cast("int").alias("level"))
+    return out.select(F.col("d").cast(kind).alias(doc_id), "score", level.cast("int").alias("level"))
