@@ -20,7 +20,6 @@ from lodestream.streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-N = F.count(F.lit(1)).cast("bigint")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -41,6 +40,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+def rows_as(name: str) -> Column:
+    return F.count(F.lit(1)).cast("bigint").alias(name)
+
+
 def big(c: Column) -> Column:
     return c.cast("bigint")
 
@@ -99,12 +102,12 @@ def mine_candidates(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH m AS ({_MINED}) SELECT CASE WHEN score = 0 THEN reasons WHEN score < 6 THEN 'score_below_threshold' ELSE 'accepted' END AS outcome, count(*) AS n FROM m GROUP BY 1")
 def mining_outcomes(s: SparkSession, d: str) -> DataFrame:
     why = F.when(F.col("score") == 0, F.col("reasons")).when(F.col("score") < 6, "score_below_threshold").otherwise("accepted")
-    return mine_candidates(s, d).groupBy(why.alias("outcome")).agg(N.alias("n"))
+    return mine_candidates(s, d).groupBy(why.alias("outcome")).agg(rows_as("n"))
 
 
 @query(f"WITH m AS ({_MINED}) SELECT task_type, new_split, count(*) AS n FROM m GROUP BY ALL")
 def mined_by_split(s: SparkSession, d: str) -> DataFrame:
-    return mine_candidates(s, d).groupBy("task_type", "new_split").agg(N.alias("n"))
+    return mine_candidates(s, d).groupBy("task_type", "new_split").agg(rows_as("n"))
 
 
 @query()
@@ -124,7 +127,7 @@ def stable_ids(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
 def first_wins(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
-    return x.groupBy("h").agg(F.min("doc_id").alias("doc_id"), N.alias("copies")).drop("h")
+    return x.groupBy("h").agg(F.min("doc_id").alias("doc_id"), rows_as("copies")).drop("h")
 
 
 _LASTJ = "SELECT * FROM judgment WHERE pair_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY created_at DESC NULLS LAST, loaded_at DESC NULLS LAST, attempt DESC NULLS LAST, status DESC NULLS LAST) = 1"
@@ -204,8 +207,8 @@ def top_by_hash(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT source_id, max(target.evidence_sufficiency) AS level FROM audited WHERE source_id IS NOT NULL GROUP BY source_id), w AS (SELECT * FROM (VALUES ('partial', 0.55), ('insufficient', 0.25), ('sufficient', 0.19), ('conflicting', 0.01)) v(level, w)),
-n AS (SELECT t.*, coalesce(round_even(400 * w.w, 0), 0) AS quota, row_number() OVER (PARTITION BY t.level ORDER BY {_HEAD.format("'42:' || source_id || ':pick'")}, source_id) AS rn FROM t LEFT JOIN w USING (level)),
-a AS (SELECT source_id, level, 'quota' AS how FROM n WHERE rn <= quota), b AS (SELECT source_id, level, 'fill' AS how FROM n WHERE rn > quota ORDER BY {_HEAD.format("'42:' || source_id || ':fill'")}, source_id LIMIT (SELECT greatest(0, 400 - count(*)) FROM a))
+n AS (SELECT t.*, coalesce(round_even((SELECT least(400, count(*)) FROM t) * w.w, 0), 0) AS quota, row_number() OVER (PARTITION BY t.level ORDER BY {_HEAD.format("'42:' || source_id || ':pick'")}, source_id) AS rn FROM t LEFT JOIN w USING (level)),
+a AS (SELECT source_id, level, 'quota' AS how FROM n WHERE rn <= quota), b AS (SELECT source_id, level, 'fill' AS how FROM n WHERE rn > quota ORDER BY {_HEAD.format("'42:' || source_id || ':fill'")}, source_id LIMIT (SELECT greatest(0, (SELECT least(400, count(*)) FROM t) - count(*)) FROM a))
 SELECT * FROM a UNION ALL SELECT * FROM b""")
 def weighted_fill(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "audited").where("source_id is not null").groupBy("source_id").agg(F.max("target.evidence_sufficiency").alias("level"))
@@ -386,13 +389,13 @@ _GATE = f"""CASE WHEN status IS DISTINCT FROM 'ok' THEN 'judgment_not_ok'
 @query(f"SELECT split, {_GATE} AS gate, count(*) AS n FROM (SELECT split, status, parsed_judgment AS j FROM judgment) GROUP BY ALL")
 def qualification_gates(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "judgment").select("split", "status", F.col("parsed_judgment").alias("j"))
-    return x.groupBy("split", P.qualification(F.col("status"), F.col("j")).alias("gate")).agg(N.alias("n"))
+    return x.groupBy("split", P.qualification(F.col("status"), F.col("j")).alias("gate")).agg(rows_as("n"))
 
 
 @query()
 def judgment_errors(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "judgment").where("status = 'ok'").select(F.explode(P.judgment_errors(F.col("parsed_judgment"))).alias("code"))
-    return x.groupBy("code").agg(N.alias("n"))
+    return x.groupBy("code").agg(rows_as("n"))
 
 
 @query()
@@ -400,7 +403,7 @@ def reconciled_pairs(s: SparkSession, d: str) -> DataFrame:
     """First against last valid judgment of a pair, the last taken as the swapped presentation."""
     j = table(s, d, "judgment").where("status = 'ok' and pair_id is not null").select("pair_id", "created_at", F.col("parsed_judgment").alias("j"))
     j = j.where((F.size(P.judgment_errors(F.col("j"))) == 0) & P.winner(F.col("j.decision")).isNotNull()).withColumn("o", F.struct("created_at", F.xxhash64(F.to_json("j"))))
-    x = j.groupBy("pair_id").agg(F.min_by("j", "o").alias("a"), F.max_by("j", "o").alias("b"), N.alias("n")).where("n > 1")
+    x = j.groupBy("pair_id").agg(F.min_by("j", "o").alias("a"), F.max_by("j", "o").alias("b"), rows_as("n")).where("n > 1")
     tier, reason = P.reconcile(F.col("a"), P.swapped(F.col("b")))
     return x.select("pair_id", tier.alias("tier"), reason.alias("reason"))
 
@@ -599,20 +602,20 @@ def length_filter(s: SparkSession, d: str) -> DataFrame:
 def payload_objects(s: SparkSession, d: str) -> DataFrame:
     """Payloads that are one object, and the first object inside those that are not."""
     x = table(s, d, "sft_candidates").where("payload is not null").select("raw_id", jsonx.strict_object("payload").isNotNull().alias("strict"), jsonx.first_object("payload").isNotNull().alias("first"), jsonx.any_object("payload").isNotNull().alias("found"))
-    return x.groupBy("strict", "first", "found").agg(N.alias("n"))
+    return x.groupBy("strict", "first", "found").agg(rows_as("n"))
 
 
 @query("""WITH x AS (SELECT l_returnflag, l_linestatus, l_quantity, l_extendedprice * (1 - l_discount) AS net FROM lineitem) SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(net), 4) AS mean_net FROM x GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
 def grouped_report(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
-    return x.rollup("l_returnflag", "l_linestatus").agg(N.alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("net"), 4).alias("mean_net"))
+    return x.rollup("l_returnflag", "l_linestatus").agg(rows_as("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("net"), 4).alias("mean_net"))
 
 
 @query("""WITH d0 AS (SELECT count(*) AS total, count(*) FILTER (validation_status = 'accepted') AS accepted FROM audited), d1 AS (SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS accepted FROM judgment)
 SELECT metric, CAST(v0 AS BIGINT) AS audited, CAST(v1 AS BIGINT) AS judged FROM d0, d1, LATERAL (VALUES ('rows', d0.total, d1.total), ('accepted', d0.accepted, d1.accepted)) AS t(metric, v0, v1)""")
 def metric_table(s: SparkSession, d: str) -> DataFrame:
-    a = table(s, d, "audited").agg(N.alias("r0"), big(F.count_if(F.col("validation_status") == "accepted")).alias("a0"))
-    j = table(s, d, "judgment").agg(N.alias("r1"), big(F.count_if(F.col("status") == "ok")).alias("a1"))
+    a = table(s, d, "audited").agg(rows_as("r0"), big(F.count_if(F.col("validation_status") == "accepted")).alias("a0"))
+    j = table(s, d, "judgment").agg(rows_as("r1"), big(F.count_if(F.col("status") == "ok")).alias("a1"))
     return a.crossJoin(j).selectExpr("stack(2, 'rows', r0, r1, 'accepted', a0, a1) as (metric, audited, judged)")  # one row each
 
 
@@ -625,13 +628,13 @@ def hourly_events(s: SparkSession, d: str) -> DataFrame:
 def shares_by_split(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    x = table(s, d, "audited").where("split is not null").groupBy("split", F.col("target.task_type").alias("task")).agg(N.alias("n"))
+    x = table(s, d, "audited").where("split is not null").groupBy("split", F.col("target.task_type").alias("task")).agg(rows_as("n"))
     return x.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("split")), 6))
 
 
 @query("""SELECT judge_model, attempt, finish_reason, count(*) AS n, round(avg(length(parsed_judgment.reason)), 6) AS mean_reason FROM judgment GROUP BY ALL""")
 def judge_calls(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "judgment").groupBy("judge_model", "attempt", "finish_reason").agg(N.alias("n"), F.round(F.avg(F.length("parsed_judgment.reason")), 6).alias("mean_reason"))
+    return table(s, d, "judgment").groupBy("judge_model", "attempt", "finish_reason").agg(rows_as("n"), F.round(F.avg(F.length("parsed_judgment.reason")), 6).alias("mean_reason"))
 
 
 # Records, clinical comparison, risk ----------------------------------------------------------------------------------
@@ -687,7 +690,7 @@ def carried_history(s: SparkSession, d: str) -> DataFrame:
 def export_checks(s: SparkSession, d: str) -> DataFrame:
     """Errors of the exported selection by split; a row says how many there are, none is 0."""
     x = clinical.export_errors(exported_pairs(s, d), {"target_vs_model": 0.55, "model_vs_model": 0.35, "controlled_negative": 0.1})
-    return x.agg(N.alias("errors"), F.array_join(F.array_sort(F.collect_set("error")), ",").alias("codes"))
+    return x.agg(rows_as("errors"), F.array_join(F.array_sort(F.collect_set("error")), ",").alias("codes"))
 
 
 @query()
