@@ -129,7 +129,7 @@ def test_reparameterised_question(spark):
     docs = spark.createDataFrame([(1, other)], "doc_id bigint, text string")
     got = leaked_items(docs, spark.createDataFrame([("e", q)], "id string, question string"), "doc_id", "text", "id", "question", share=0.95).collect()
     assert [r["kind"] for r in got] == ["reparameterised"] and got[0]["slots"] < 1
-    assert template("rf1007ngml血压") == ("rf#~血压", ["1007ngml"])
+    assert template("rf1007ngml血压") == ("@#~血压", ["rf", "1007ngml"])
 
 
 def test_flight_keeps_totals():
