@@ -28,7 +28,6 @@ def score(q: DataFrame, predictions: DataFrame) -> DataFrame:
 def accuracies(scored: DataFrame, dims: list[str]) -> DataFrame:
     """``dimension, value, total, correct, accuracy, low, high`` overall and by each dimension, in one pass over grouping sets."""
     sets = ", ".join(["()", *(f"({d})" for d in dims)])
-    scored.createOrReplaceTempView("_scored")
     sql = f"SELECT {', '.join(dims)}, grouping_id({', '.join(dims)}) AS g, count(*) AS total, count_if(correct) AS correct FROM {{t}} GROUP BY GROUPING SETS ({sets})"
     x = scored.sparkSession.sql(sql, t=scored)
     full = (1 << len(dims)) - 1

@@ -357,7 +357,7 @@ def masked_variants(s: SparkSession, d: str) -> DataFrame:
 
 
 def _last_judgments(s: SparkSession, d: str) -> DataFrame:
-    """The last row of each pair, by key columns only; its judgment is joined back by them."""
+    """The last row of each pair; of equal rows one."""
     j = table(s, d, "judgment").where("pair_id is not null")
     keys = ["created_at", "loaded_at", "attempt", "status"]
     x = j.select("pair_id", "source_id", "split", "judge_model", *keys, F.col("parsed_judgment").alias("j"))

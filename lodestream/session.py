@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of sessions without a shared one, by application.
+_PRIVATE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read.
 
@@ -20,23 +24,33 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    own = tempfile.mkdtemp(prefix="lodestream-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
+    app = spark.sparkContext.applicationId
+    if app not in _PRIVATE:
+        own = tempfile.mkdtemp(prefix="lodestream-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _PRIVATE[app] = f"file:{own}"
+    return _PRIVATE[app]
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete the tables that this application has written to the shared folder; results that read them must be stored before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str = "step", sort_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts the lineage with files that outlive executors, so a lost executor costs only its running tasks.
+    Cuts the lineage with files that outlive executors, so a lost executor costs only its running tasks. ``release`` deletes
+    them at the end.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestream-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(sort_by) if sort_by else df).write.mode("overwrite").parquet(path)
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ def test_lines_and_sinks(spark, tmp_path):
     assert (tmp_path / "out" / "s=a").exists()
     assert not io.write_if(spark.range(1), str(tmp_path / "no"), False) and not (tmp_path / "no").exists()
     assert io.file_digests(spark, str(tmp_path / "a.jsonl")).first()["bytes"] == 28
-    assert io.aligned([spark.range(1), spark.range(1).withColumn("y", F.lit(1))]).columns == ["id", "y"]
+    assert io.aligned([spark.range(1).select("id"), spark.range(1).withColumn("y", F.lit(1))]).columns == ["id", "y"]
 
 
 def test_incremental_batches_are_idempotent(spark, tmp_path):
@@ -26,3 +26,11 @@ def test_incremental_batches_are_idempotent(spark, tmp_path):
     run(str(tmp_path / "ck2"))
     got = spark.read.parquet(out)
     assert got.count() == 15 == got.select("id").distinct().count()
+
+
+def test_materialized_tables_are_released(spark):
+    from lodestream.session import materialize, release, shared_dir
+
+    df = materialize(spark.range(5), "x")
+    assert df.count() == 5 and shared_dir(spark).removeprefix("file:") in df.inputFiles()[0]
+    assert release(spark) and not release(spark)
