@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.setjoin import representatives, segment_join, tjoin
+from lodestream.llm.setjoin import cross_join, representatives, tjoin
 from lodestream.llm.textkeys import with_canonical
 from lodestream.session import materialize
 
@@ -70,7 +70,7 @@ def cross_split(m: DataFrame, t: float = 0.5, band: float = 0.0) -> DataFrame:
     ``edits`` is the edit distance of the canonical texts if it is at most the share ``band`` of the longer one, else null.
     """
     role = m.withColumn("role", F.when(F.col("split") == "train", 2).otherwise(1))
-    links = segment_join(representatives(role, roles=True), t, band)
+    links = cross_join(representatives(role, roles=True), t, band)
     ev = m.where("split <> 'train'").select(F.col("id").alias("eval_id"), F.col("ckey").alias("ckey_a"), "split", "source_file")
     tr = m.where("split = 'train'").select(F.col("id").alias("train_id"), F.col("ckey").alias("ckey_b"))
     near = links.where("ckey_a <> ckey_b").join(ev, "ckey_a").join(tr, "ckey_b").select("eval_id", "train_id", "split", "source_file", "jaccard", "edits")

@@ -3,8 +3,7 @@
 ``tjoin`` is a T-occurrence search after DivideSkip, laid out for shuffles: each text's pieces are split into short
 inverted lists (its rarest pieces) and long ones. The short lists are merged by one sort on the piece; a pair survives
 if it occurs there often enough that its long lists can still complete the required overlap T; only then are the
-long lists probed. ``segment_join`` cuts the texts of one side into k + 1 segments and looks them up among the
-substrings of the other side.
+long lists probed. ``cross_join`` compares the texts of two sides by the same bound on their rarest pieces.
 """
 
 from __future__ import annotations
@@ -324,13 +323,12 @@ def tjoin(reps: DataFrame, t: float = 0.5) -> DataFrame:
 
 
 SEGMENT, GAP, PER_EDIT = 7, 2, 12
-#: Shorter texts are looked up by all their 5-character pieces.
-SHORT = 36
 
 
 def segments(cost: np.ndarray, length: int) -> np.ndarray:
     """Starts of the k + 1 segments, k = length // 12, into which a text is cut, where their lists are shortest.
 
+    One of them need not be left whole at Jaccard 0.5 (short deleted and moved stretches break two and three), so no join rests on them.
     ``cost`` has the list length of the segment that starts at each position. Segments of 7 characters lie at least 2
     apart; the sum of their costs is least, by dynamic programming over positions for each number of segments.
     """
@@ -352,46 +350,28 @@ def segments(cost: np.ndarray, length: int) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def segment_join(reps: DataFrame, t: float = 0.5, band: float = 0.0) -> DataFrame:
-    """Pairs of an evaluation text (role 1) and a training text (role 2) with Jaccard at least ``t``.
+def cross_join(reps: DataFrame, t: float = 0.5, band: float = 0.0) -> DataFrame:
+    """Pairs of an evaluation text (role 1, a) and a training text (role 2, b) with Jaccard at least ``t``; columns of ``verified``.
 
-    An evaluation text of n characters is cut into k + 1 segments, k = n // 12, that are looked up among all substrings of
-    the training texts. A stretch inserted, deleted, replaced or moved between two texts costs at least 4 of the 5-character
-    pieces for each segment it can break (segments lie 2 apart), and at Jaccard 0.5 at most n / 3 pieces are lost beyond
-    those of deleted stretches, so at most k segments break and one is left whole. Moved stretches may stand anywhere,
-    so all positions are allowed. Pieces that occur twice in a text can weaken the bound.
-    Where the segments are cut is chosen by hashed counts of the training substrings, a table of fixed size.
+    Candidates share a piece of the prefixes of both: in one order of all pieces, a text of n pieces misses at most
+    n - ceil(t n) of them in a partner, so the first common piece is among its first n - ceil(t n) + 1. This holds for
+    every length, edit and repetition. The order is by the hashed count in role 1 times that in role 2 (tables of fixed
+    size), so pieces of one role only come first; they join nothing and are dropped. Equal texts of both roles are no pair here.
     """
-    if t < 0.5:
-        raise ValueError("the number of segments is derived for Jaccard of 0.5 and more")
-    reps = materialize(reps, "segjoin-reps")
+    reps = materialize(reps, "crossjoin-reps")
     wide = spread(reps)
     sc = reps.sparkSession.sparkContext
-
-    def substrings(text: str) -> np.ndarray:
-        code = codes(text)
-        h = windows(code, SEGMENT)
-        if len(text) <= 2 * SHORT + 2 * WIDTH:
-            h = np.concatenate([h, windows(code, WIDTH)])
-        return np.unique(h)
-
-    train = wide.where("role = 2").withColumn("role", F.lit(0))
-    counts = sc.broadcast(bucket_counts(train, lambda x, r: substrings(x))[0].copy())
-
-    def cut(text: str) -> np.ndarray:
-        code = codes(text)
-        if len(text) < SHORT:
-            return np.unique(windows(code, WIDTH))
-        h = windows(code, SEGMENT)
-        return np.unique(h[segments(counts.value[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(float), len(text))])
-
-    wanted = sc.broadcast(bucket_counts(wide.where("role = 1").withColumn("role", F.lit(0)), lambda x, r: cut(x))[0] > 0)
+    grams = lambda text, role: np.unique(windows(codes(text), WIDTH))
+    counts = sc.broadcast(bucket_counts(wide.withColumn("role", F.col("role") - 1), grams))
 
     def pick(text: str, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = cut(text) if role == 1 else substrings(text)
-        at = (h % np.uint64(BUCKETS)).astype(np.int64)
-        h, at = h[wanted.value[at]], at[wanted.value[at]]
-        return h, np.zeros(len(h), dtype=np.int64), counts.value[at]
+        g = grams(text, role)
+        c = counts.value[:, (g % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64)
+        work = c[0] * c[1]
+        order = np.lexsort((g, work))[: len(g) - math.ceil(t * len(g) - 1e-9) + 1]
+        rank = np.flatnonzero(work[order] > 0)
+        few = order[rank]
+        return g[few], rank, c[:, few].max(axis=0)
 
-    cand = materialize(_compare(_postings(wide, pick), t, _parts(reps), False), "segjoin-pairs")
+    cand = materialize(_compare(_postings(wide, pick), t, _parts(reps), False), "crossjoin-pairs")
     return verified(spread(cand), reps.where("role = 1"), reps.where("role = 2"), t, band=band)

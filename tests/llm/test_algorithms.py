@@ -185,3 +185,47 @@ def test_banded_distance():
         for k in (0, 1, 3, 20):
             d = full(a, b)
             assert setjoin.banded_distance(a, b, k) == (d if d <= k else None)
+
+
+def split_frame(spark, rows):
+    return spark.createDataFrame([(*r, "f", "x", "y", "z") for r in rows], FRAME)
+
+
+def test_cross_split_deleted_stretches(spark):
+    e = "".join(chr(0x4E00 + i) for i in range(47))
+    df = split_frame(spark, [("e", e, "test"), ("t", e[:8] + e[12:28] + e[32:], "train")])
+    assert {tuple(r) for r in cross_split_pairs(df).collect()} == {("e", "t")}
+
+
+def stretches(rnd, text):
+    """A copy near Jaccard 0.5: stretches of 4 or 5 characters, some 20 apart, deleted, replaced or moved."""
+    out, at = [], rnd.randint(4, 12)
+    out.append(text[:at])
+    while at < len(text):
+        n, kind = rnd.choice([4, 4, 5]), rnd.choice(["delete", "delete", "delete", "replace", "move"])
+        part, at = text[at : at + n], at + n
+        step = rnd.randint(15, 20)
+        keep, at = text[at : at + step], at + step
+        out += {"delete": [keep], "replace": ["".join(chr(0x8000 + rnd.randrange(4000)) for _ in part), keep], "move": [keep, part]}[kind]
+    return "".join(out)
+
+
+def test_cross_split_equals_duplicates_near_the_border(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(600):
+        e = "".join(chr(0x4E00 + rnd.randrange(6000)) for _ in range(rnd.randint(40, 130)))
+        rows += [(f"e{i}", e, rnd.choice(["test", "dev"])), (f"t{i}", stretches(rnd, e), "train")]
+    df = split_frame(spark, rows)
+    side = {r[0]: r[2] == "train" for r in rows}
+    want = {tuple(r) for r in duplicate_pairs(df).collect() if side[r[0]] != side[r[1]]}
+    assert len(want) > 100
+    assert {tuple(r) for r in cross_split_pairs(df).collect()} == want
+
+
+def test_cross_split_in_blocks(spark, monkeypatch):
+    rows = corpus(3)
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], FRAME)
+    whole = {tuple(r) for r in cross_split_pairs(df).collect()}
+    monkeypatch.setattr(setjoin, "BLOCK", 8)
+    assert len(whole) > 30 and {tuple(r) for r in cross_split_pairs(df).collect()} == whole
