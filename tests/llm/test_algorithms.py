@@ -229,3 +229,10 @@ def test_cross_split_in_blocks(spark, monkeypatch):
     whole = {tuple(r) for r in cross_split_pairs(df).collect()}
     monkeypatch.setattr(setjoin, "BLOCK", 8)
     assert len(whole) > 30 and {tuple(r) for r in cross_split_pairs(df).collect()} == whole
+
+
+def test_cross_split_short_text_in_repeats(spark):
+    e = "".join(chr(0x4E00 + i) for i in range(30))
+    df = split_frame(spark, [("e", e, "test"), ("t", e * 3, "train")])
+    assert {tuple(r) for r in duplicate_pairs(df).collect()} == {("e", "t")}
+    assert {tuple(r) for r in cross_split_pairs(df).collect()} == {("e", "t")}
