@@ -2,7 +2,7 @@
 
 A self-join by prefix on two levels, both on hashes of pieces of fixed length:
 * values: the prefixes of all values are looked up among the values that lack a closing mark, which finds values that
-  are strict prefixes of longer copies elsewhere;
+  are strict prefixes of longer copies elsewhere; a copy that goes on inside a sentence decides;
 * tails: the last 16, 11, 8, 6, 4, 3 and 2 characters of a value that lacks a closing mark are looked up inside all other
   values. A tail that goes on there nearly always was cut; one that ends a sentence or a text there is complete.
 """
@@ -23,8 +23,9 @@ from lodestream.session import materialize, spread
 
 #: Lengths of the tails, longest first.
 TAILS = (16, 11, 8, 6, 4, 3, 2)
-#: Characters of the prefix by which longer copies are found.
-PREFIX = 48
+#: Characters of the prefixes by which longer copies are found, longest first: a value is looked up by the longest that
+#: fits it. A value shorter than the last may be how any sentence begins, so it is judged by its tails alone.
+PREFIXES = (48, 16)
 #: Bits of the table that tells which hashes are looked for; fixed, whatever the input.
 BITS = 1 << 25
 #: Least number of other values with a tail for it to count, and least share that goes on.
@@ -44,6 +45,13 @@ def plain(text: str) -> str:
     return _NUMBER.sub("0", text.strip(_BLANK))
 
 
+def _head(text: str) -> str:
+    """``plain`` of a text, or of a long text enough of its beginning for every prefix."""
+    part = text.strip(_BLANK)[: 4 * PREFIXES[0]]
+    head = _NUMBER.sub("0", part)  # a number at the cut changes at most the last two characters
+    return head if len(part) == 4 * PREFIXES[0] and len(head) > PREFIXES[0] + 2 else plain(text)
+
+
 def is_empty(text: str | None) -> bool:
     """Null, or no letter or digit, or nothing but a filler."""
     word = "".join(c for c in text or "" if c.isalnum() or c == "/").lower().strip("/")
@@ -123,7 +131,7 @@ def truncated_values(df: DataFrame, group: str, key: str, text: str) -> DataFram
 
     Values are judged against the other values of their group. Null keys and groups are allowed; null and empty values,
     and values without a letter or digit, are not truncated. A value that lacks a closing mark is complete unless its
-    tail goes on elsewhere; too little evidence counts as complete. Extra columns are dropped.
+    tail goes on elsewhere or a longer copy of it goes on inside a sentence; too little evidence counts as complete. Extra columns are dropped.
     """
     src = df.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(group).cast("string").alias("group"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     src = spread(src.where("text is not null"))
@@ -141,7 +149,8 @@ def truncated_values(df: DataFrame, group: str, key: str, text: str) -> DataFram
                 ks = [k for k in TAILS if k <= len(code)] if state == "open" else []
                 with np.errstate(over="ignore"):
                     h = [int(mix(windows(code[-k:], k) + _seed(g, k))[0].view(np.int64)) for k in ks]
-                p = int(_prefixes(g, code[None, :PREFIX]).view(np.int64)[0]) if len(code) >= PREFIX else None
+                fits = next((k for k in PREFIXES if k <= len(code)), None)
+                p = int(_prefixes(g, code[None, :fits]).view(np.int64)[0]) if fits else None
                 w = int(_whole(code).view(np.int64))
                 out.append((grp, g, key, state, ks, h, p, w, len(code)))
             yield pd.DataFrame(out, columns=["group", "g", "key", "state", "ks", "hs", "prefix", "whole", "len"], dtype=object)
@@ -174,31 +183,35 @@ def truncated_values(df: DataFrame, group: str, key: str, text: str) -> DataFram
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Values whose prefix some open value has."""
         for b in batches:
-            texts = [plain(t) for t in b.column("text").to_pylist()]
-            for g in set(b.column("g").to_pylist()):
-                own = [t for t, x in zip(texts, b.column("g").to_pylist(), strict=True) if x == g and len(t) > PREFIX]
-                if own:
-                    p = _prefixes(g, np.stack([codes(t[:PREFIX]) for t in own]))
+            texts, group = b.column("text").to_pylist(), np.array(b.column("g").to_pylist(), dtype=object)
+            heads = [_head(t) for t in texts]
+            size = np.array([len(t) for t in heads], dtype=np.int64)
+            code = codes("".join(t[: PREFIXES[0]].ljust(PREFIXES[0]) for t in heads)).reshape(-1, PREFIXES[0])
+            for g in set(group):
+                for k in PREFIXES:
+                    own = np.flatnonzero((group == g) & (size > k))
+                    p = _prefixes(g, code[own, :k])
                     hit = np.flatnonzero(_test(starts.value, p))
-                    yield pa.RecordBatch.from_arrays([pa.array(p[hit].view(np.int64)), pa.array([own[i] for i in hit], pa.string())], ["prefix", "text"])
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array([g] * len(hit), pa.string()), pa.array(p[hit].view(np.int64)), pa.array([plain(texts[i]) for i in own[hit]], pa.string())], ["g", "prefix", "text"])
 
-    lens = tail.where("prefix is not null").select("prefix", "len").distinct().groupBy("prefix").agg(F.collect_set("len").alias("lens"))
-    copies = src.mapInArrow(longer, "prefix bigint, text string").join(lens, "prefix")
+    lens = tail.where("prefix is not null").select("g", "prefix", "len").distinct().groupBy("g", "prefix").agg(F.collect_set("len").alias("lens"))
+    copies = src.mapInArrow(longer, "g string, prefix bigint, text string").join(lens, ["g", "prefix"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Prefixes, of the looked-for lengths, after which the value goes on inside a sentence."""
         for b in batches:
             out = []
-            for s, ls in zip(b["text"], b["lens"], strict=True):
+            for g, s, ls in zip(b["g"], b["text"], b["lens"], strict=True):
                 code = codes(s)
-                out += [(int(_whole(code[:n]).view(np.int64)), n) for n in ls if n < len(code) and int(code[n]) not in STOP_SET and code[n] != 46]
-            yield pd.DataFrame(out, columns=["whole", "len"])
+                out += [(g, int(_whole(code[:n]).view(np.int64)), n) for n in ls if n < len(code) and int(code[n]) not in STOP_SET and code[n] != 46]
+            yield pd.DataFrame(out, columns=["g", "whole", "len"])
 
-    whole = copies.select("text", "lens").mapInPandas(cut, "whole bigint, len int").distinct().withColumn("copied", F.lit(True))
+    whole = copies.select("g", "text", "lens").mapInPandas(cut, "g string, whole bigint, len int").distinct().withColumn("copied", F.lit(True))
     best = best.select(F.col("g").alias("bg"), F.col("key").alias("bkey"), F.col("whole").alias("bwhole"), "share")
     judged = tail.join(best, (F.col("whole") == F.col("bwhole")) & (F.col("g") == F.col("bg")) & F.col("key").eqNullSafe(F.col("bkey")), "left")
-    judged = judged.join(whole, ["whole", "len"], "left")
-    ok = (F.col("state") == "broken") | (F.col("share") >= GOES_ON) | (F.col("share").isNull() & F.coalesce("copied", F.lit(False)))
+    judged = judged.join(whole, ["g", "whole", "len"], "left")
+    ok = (F.col("state") == "broken") | F.coalesce("copied", F.lit(False)) | F.coalesce(F.col("share") >= GOES_ON, F.lit(False))
     return judged.where(ok).select(F.col("group").alias(group), F.col("key").alias(key)).distinct()
 
 
@@ -221,9 +234,9 @@ with np.errstate(over="ignore"):
 
 
 def _prefixes(group: str, code: np.ndarray) -> np.ndarray:
-    """Hashes of rows of PREFIX characters."""
+    """Hashes of rows of one length, at most 64 characters."""
     with np.errstate(over="ignore"):
-        return mix(mix((code + np.uint64(1)) * POWERS[:PREFIX]).sum(axis=1) + _seed(group, PREFIX))
+        return mix(mix((code + np.uint64(1)) * POWERS[: code.shape[1]]).sum(axis=1) + _seed(group, code.shape[1]))
 
 
 def text_fields(documents: DataFrame, audited: DataFrame) -> DataFrame:

@@ -47,6 +47,18 @@ def test_strict_prefix_of_a_longer_copy(spark):
     assert {(r["field"], r["values"], r["truncated"], r["rate"]) for r in truncation_rates(df).collect()} == {("f", 4, 1, 0.25), ("g", 1, 0, 0.0)}
 
 
+def test_longer_copy_decides(spark):
+    """Over tails that mostly end a sentence, for a long and a short value; only within the group."""
+    head = lambda n, at: "".join(chr(at + i) for i in range(n))
+    tail = "注意休息避免劳累按时复查血糖血压"
+    rows = [("f", f"k{i}", f"{head(30, 0x6000 + 40 * i)}{tail}。") for i in range(8)]
+    for name, n, at in (("long", 60, 0x5000), ("short", 12, 0x5100)):
+        rows += [("f", name, head(n, at) + tail), ("f", f"{name}-copy", head(n, at) + tail + "以及心电图。")]
+    rows += [("f", "other", head(60, 0x5200) + tail), ("g", "copy", head(60, 0x5200) + tail + "以及心电图。")]
+    df = spark.createDataFrame(rows, "field string, record_key string, text string")
+    assert {r[1] for r in truncated_values(df, "field", "record_key", "text").collect()} == {"long", "short"}
+
+
 @pytest.mark.parametrize(("text", "state"), [("好。", "closed"), ("好。”", "closed"), ("Yes.", "closed"), ("值为3.", "open"), ("好", "open"), ("好…", "open"), ("……", "empty"), ("无", "empty"), ("N/A", "empty"), ("好�", "broken"), ("好，\n", "open")])
 def test_tail_state(text, state):
     assert tail_state(text)[0] == state
