@@ -1,9 +1,9 @@
 """Exact similarity joins of texts by their distinct character pieces (Jaccard at least ``t``).
 
-``tjoin`` is a T-occurrence search after DivideSkip, laid out for shuffles: each text's pieces are split into short
-inverted lists (its rarest pieces) and long ones. The short lists are merged by one sort on the piece; a pair survives
-if it occurs there often enough that its long lists can still complete the required overlap T; only then are the
-long lists probed. ``cross_join`` compares the texts of two sides by the same bound on their rarest pieces.
+``tjoin`` is DivideSkip at the extreme L = T - 1, laid out for shuffles, which makes it a prefix filter: the lists of each
+text's rarest pieces are merged by one sort on the piece, and a pair that occurs there once is a candidate if sizes, ranks
+and sketches allow it. No occurrences are counted and no long lists probed; candidates are verified on whole texts.
+``cross_join`` compares the texts of two sides by the same bound on their rarest pieces.
 """
 
 from __future__ import annotations
@@ -299,8 +299,8 @@ def tjoin(reps: DataFrame, t: float = 0.5) -> DataFrame:
     """All pairs of distinct texts with Jaccard of their 5-character pieces at least ``t``: ``ckey_a, ckey_b, overlap, jaccard, edits`` (null).
 
     For a text of n pieces every partner shares at least T = ceil(t n) of them, so of its lists sorted by length the
-    L = T - 1 longest are skipped and the n - L shortest are merged; a partner occurs in at least T - L = 1 of them. The
-    long lists are probed only for the pairs whose sizes, ranks and sketches let them reach T. Any total order of the
+    L = T - 1 longest are skipped and the n - L shortest are merged; a partner occurs in at least T - L = 1 of them. Pairs
+    whose sizes, ranks and sketches let them reach T are verified on whole texts. Any total order of the
     pieces gives the full result; the order by hashed counts (a table of fixed size) keeps the merged lists short.
     Texts with fewer than 5 characters have no pieces and no partners here.
     """
