@@ -134,6 +134,7 @@ def label_model(votes: np.ndarray, count: np.ndarray, steps: int = 60, prior: fl
 def response_defects(audited: DataFrame, candidate: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """``source_id, field, defect, posterior`` of every response field and defect whose posterior exceeds ``cutoff``.
 
+    The cutoff is the same for all defects and not validated, as there are no labels.
     Fields are final_answer and clinical_reasoning of the target; a field may get several defects. Repeated rows count
     once; of several rows of a source_id any that has the defect gives it. Without a candidate or case_text, copy and language
     are not judged. A null target has two empty fields. Rows with a null source_id are named null. Extra columns are dropped.
