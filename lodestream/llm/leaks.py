@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -77,15 +78,10 @@ class ItemIndex:
         """(item, share of its pieces, share of its template windows, share of its slot values) for a text."""
         canon = canonical(text)
         tmpl, slots = template(canon)
-        h = np.unique(windows(codes(tmpl), WINDOW))
-        if not len(h) or not len(self.windows):
-            return []
         n = len(self.ids)
-        t = self.hits(self.windows, self.window_item, h, n)
-        cand = np.flatnonzero(t > 0)
-        if not len(cand):
-            return []
+        t = self.hits(self.windows, self.window_item, np.unique(windows(codes(tmpl), WINDOW)), n)
         p = self.hits(self.pieces, self.piece_item, np.unique(windows(codes(canon), PIECE)), n)
+        cand = np.flatnonzero((t > 0) | (p > 0))
         have = set(slots)
         out = []
         for i in cand:
@@ -104,7 +100,7 @@ def leaked_items(
 ) -> DataFrame:
     """``doc_id, item_id, whole, template, slots, kind`` of documents that give away items; each pair once.
 
-    A document and an item that share a template window are candidates. ``whole`` is the share of the item's distinct
+    A document and an item that share a template window or an exact piece are candidates. ``whole`` is the share of the item's distinct
     8-character pieces (canonical form) that the document has, ``template`` the share of its template windows,
     ``slots`` the share of its numbers and names. kind is ``exact`` (all pieces), ``partial`` (at least ``share`` of
     them), or ``reparameterised`` (fewer, but at least ``template_share`` of the template and of its slots not all).
@@ -137,23 +133,34 @@ def leaked_items(
 
 
 def _by_shuffle(d: DataFrame, q: DataFrame, share: float, template_share: float) -> DataFrame:
-    """The same for any number of items: window hashes joined by shuffle, candidates compared text by text."""
+    """The same for any number of items: hashes of windows and pieces joined by shuffle, candidates compared text by text.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = defaultdict(list)
-            for k, t in zip(b["k"], b["x"], strict=True):
-                for h in np.unique(windows(codes(template(canonical(t))[0]), WINDOW)).view(np.int64):
-                    rows["k"].append(k), rows["h"].append(int(h))
-            yield pd.DataFrame({"k": rows["k"], "h": rows["h"]})
+    Of an item's n pieces a document that has the share s of them has one of any n - ceil(s n) + 1, and so with windows;
+    only so many are looked up.
+    """
+
+    def cut(kept: tuple[float, float] | None):  # noqa: ANN202
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = defaultdict(list)
+                for k, t in zip(b["k"], b["x"], strict=True):
+                    canon = canonical(t)
+                    both = [np.unique(windows(codes(canon), PIECE)), np.unique(windows(codes(template(canon)[0]), WINDOW))]
+                    if kept:
+                        both = [h[: len(h) - math.ceil(s * len(h) - 1e-9) + 1] for h, s in zip(both, kept, strict=True)]
+                    h = np.unique(np.concatenate(both)).view(np.int64).tolist()
+                    rows["k"] += [k] * len(h)
+                    rows["h"] += h
+                yield pd.DataFrame({"k": rows["k"], "h": rows["h"]})
+
+        return run
 
     dk = materialize(d.withColumn("k", F.xxhash64("t")), "leak-docs")
     qk = materialize(q.withColumn("k", F.xxhash64("q")), "leak-items")
-    wd = dk.select("k", F.col("t").alias("x")).dropDuplicates(["k"]).mapInPandas(cut, "k bigint, h bigint")
-    wq = qk.select("k", F.col("q").alias("x")).dropDuplicates(["k"]).mapInPandas(cut, "k bigint, h bigint").withColumnRenamed("k", "qk")
+    wd = dk.select("k", F.col("t").alias("x")).dropDuplicates(["k"]).mapInPandas(cut(None), "k bigint, h bigint")
+    wq = qk.select("k", F.col("q").alias("x")).dropDuplicates(["k"]).mapInPandas(cut((share, template_share)), "k bigint, h bigint").withColumnRenamed("k", "qk")
     wq = materialize(wq, "leak-windows")
-    size = wq.groupBy("qk").agg(F.count(F.lit(1)).alias("size"))  # a leaked item shares about half of its windows, but at least one
-    pair = wd.join(wq, "h").groupBy("k", "qk").count().join(size, "qk").where(F.col("count") >= F.least(F.lit(3), F.ceil(F.col("size") / 8))).select("k", "qk")
+    pair = wd.join(wq, "h").select("k", "qk").distinct()
     x = pair.join(dk, "k").join(qk.withColumnRenamed("k", "qk"), "qk").select("d", "t", "i", "q")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -133,6 +133,16 @@ def test_leaks_equal_brute_force(spark, monkeypatch, most):
     assert leaked_items(docs, items.where("false"), "doc_id", "text", "id", "question").count() == 0
 
 
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_leaks_without_a_common_template_window(spark, monkeypatch, most):
+    monkeypatch.setattr(leaks, "BROADCAST_ITEMS", most)
+    digits = "31415926535897932384"
+    docs = spark.createDataFrame([(1, f"见{digits}mg。"), (2, f"前{digits}后"), (3, "31415926其他"), (4, "甲乙丙丁戊己庚辛壬癸子丑")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("short", digits + "mg"), ("half", digits + "甲乙丙丁戊己庚辛壬癸子丑"), ("other", "完全不同的另一个题目文本")], "id string, question string")
+    got = leaked_items(docs, items, "doc_id", "text", "id", "question").where("whole >= 0.5")
+    assert {(r["doc_id"], r["id"]) for r in got.collect()} == {(1, "short"), (2, "short"), (1, "half"), (2, "half")}
+
+
 def test_reparameterised_question(spark):
     q = "患者41岁，总觉得下颌角瘙痒五年，肛周连着胸骨后都钝痛，偶有大便不成形，体检RF 100.7ng/mL，血压123/95mmHg，既往有心房颤动15年，对判断预后最有价值的指标是"
     other = q
