@@ -17,8 +17,8 @@ from lodestream.session import materialize, spread
 # Characters that look like another one, beyond the compatibility forms of Unicode, and that one.
 LOOKALIKES = dict(
     zip(
-        "АВЕЅІЈКМНОРСТУХҮӀаеѕіјорсухһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳօ‐‑‒–−’‘ʼ⻄⻅⻆⻉⻋⻓⻑⻔⻘⻙⻚⻛⻜⻝⻢⻤⻥⻦⻨⻩⻬⻮⻰⺠",
-        "ABESIJKMHOPCTYXYIaesijopcyxhdqwABEZHIKMNOPTYXocjo-----'''西见角贝车长長门青韦页风飞食马鬼鱼鸟麦黄齐齿龙民",
+        "кԌԚԜѵѴρναικυγɡɑıɩАВЕЅІЈКМНОРСТУХҮӀаеѕіјорсухһԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳօ‐‑‒–−’‘ʼ⻄⻅⻆⻉⻋⻓⻑⻔⻘⻙⻚⻛⻜⻝⻢⻤⻥⻦⻨⻩⻬⻮⻰⺠",
+        "kGQWvVpvaikuygaiiABESIJKMHOPCTYXYIaesijopcyxhdqwABEZHIKMNOPTYXocjo-----'''西见角贝车长長门青韦页风飞食马鬼鱼鸟麦黄齐齿龙民",
         strict=True,
     )
 )

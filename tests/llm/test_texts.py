@@ -133,6 +133,10 @@ def test_leaks_equal_brute_force(spark, monkeypatch, most):
     assert leaked_items(docs, items.where("false"), "doc_id", "text", "id", "question").count() == 0
 
 
+def test_lookalike_letters_of_other_scripts():
+    assert fold("кρναικɡɑı") == "kpvaikgai"
+
+
 @pytest.mark.parametrize("most", [20_000, 1])
 def test_leaks_without_a_common_template_window(spark, monkeypatch, most):
     monkeypatch.setattr(leaks, "BROADCAST_ITEMS", most)
