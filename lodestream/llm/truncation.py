@@ -1,8 +1,8 @@
 """Text values cut off inside a word or a sentence.
 
-A self-join by prefix on two levels, both on hashes of pieces of fixed length:
-* values: the prefixes of all values are looked up among the values that lack a closing mark, which finds values that
-  are strict prefixes of longer copies elsewhere; a copy that goes on inside a sentence decides;
+A self-join by prefix on two levels, both on hashes, in one pass over all values:
+* values: the hash of every prefix of every value is looked up among the values that lack a closing mark, which finds values
+  that are strict prefixes of longer copies elsewhere; a copy that goes on inside a sentence decides;
 * tails: the last 16, 11, 8, 6, 4, 3 and 2 characters of a value that lacks a closing mark are looked up inside all other
   values. A tail that goes on there nearly always was cut; one that ends a sentence or a text there is complete.
 """
@@ -23,19 +23,22 @@ from lodestream.session import materialize, spread
 
 #: Lengths of the tails, longest first.
 TAILS = (16, 11, 8, 6, 4, 3, 2)
-#: Characters of the prefixes by which longer copies are found, longest first: a value is looked up by the longest that
-#: fits it. A value shorter than the last may be how any sentence begins, so it is judged by its tails alone.
-PREFIXES = (48, 16)
-#: Bits of the table that tells which hashes are looked for; fixed, whatever the input.
-BITS = 1 << 25
+#: A shorter value may be how any sentence begins, so it is judged by its tails alone, not by longer copies.
+PREFIX = 16
+#: Places in the bit tables that tell which hashes are looked for: SPARSE for each hash, between these bounds. A full table
+#: lets more pieces through to the exact join and changes no result.
+SPARSE, FEWEST, MOST = 16, 1 << 16, 1 << 31
+#: Characters hashed at once.
+PART = 2_000_000
 #: Least number of other values with a tail for it to count, and least share that goes on.
 SUPPORT, GOES_ON = 3, 0.5
 
-_BLANK = " \t\r\n　 ​‌‍﻿"
+_BLANK = " \t\r\n　 ​‌‍﻿"
 _END = "。！？!?．｡"
 _CLOSE = "”’」』）)】]》\"'"
 #: Words that stand for no answer, without marks and blanks, in lower case.
 FILLERS = frozenset("无 暂无 略 空 待补充 待填 未填 未提供 没有 na n/a none null nil tbd todo nan undefined empty 无内容 省略".split())
+_LONGEST = max(map(len, FILLERS))
 _NUMBER = re.compile(r"[0-9０-９]+(?:[.．][0-9０-９]+)*")
 _DOTS = re.compile(r"(?:…|\.{3,})+$")
 
@@ -45,17 +48,18 @@ def plain(text: str) -> str:
     return _NUMBER.sub("0", text.strip(_BLANK))
 
 
-def _head(text: str) -> str:
-    """``plain`` of a text, or of a long text enough of its beginning for every prefix."""
-    part = text.strip(_BLANK)[: 4 * PREFIXES[0]]
-    head = _NUMBER.sub("0", part)  # a number at the cut changes at most the last two characters
-    return head if len(part) == 4 * PREFIXES[0] and len(head) > PREFIXES[0] + 2 else plain(text)
-
-
 def is_empty(text: str | None) -> bool:
     """Null, or no letter or digit, or nothing but a filler."""
-    word = "".join(c for c in text or "" if c.isalnum() or c == "/").lower().strip("/")
-    return not word or word in FILLERS
+    word, letters = [], 0
+    for c in text or "":
+        if c.isalnum():
+            letters += 1
+            if letters > _LONGEST:
+                return False
+        if c.isalnum() or c == "/":
+            word.append(c)
+    plain_word = "".join(word).lower().strip("/")
+    return not plain_word or plain_word in FILLERS
 
 
 def tail_state(text: str) -> tuple[str, str]:
@@ -64,7 +68,8 @@ def tail_state(text: str) -> tuple[str, str]:
     if s.endswith("�"):
         return "broken", s
     t = s
-    dots = _DOTS.search(t)
+    run = len(t.rstrip("…."))
+    dots = _DOTS.search(t, run) if run < len(t) else None
     if dots:
         t = t[: dots.start()].rstrip(_BLANK)
     if is_empty(t):
@@ -83,160 +88,169 @@ def _seed(group: str, k: int) -> np.uint64:
     return windows(codes(f"{group}/{k}".rjust(8)), 8)[0]
 
 
-def _continuations(group: str, texts: list[str], want: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash, goes on) of every looked-for piece in the texts, all texts at once, in parts of some million characters."""
-    held: list[str] = []
-    size = 0
-    for i, t in enumerate(texts):
-        held.append(t)
-        size += len(t)
-        if size < 2_000_000 and i + 1 < len(texts):
-            continue
-        code = codes("\n\n".join([*held, ""]))
-        length = np.array([len(t) for t in held])
-        start = np.cumsum(length + 2) - length - 2
-        offset = np.arange(len(code)) - np.repeat(start, length + 2)
-        inner = offset < np.repeat(length, length + 2) - 1  # the last character of a text is followed by nothing
-        nxt = np.r_[code[1:], np.uint64(10)]
-        goes = ~(np.isin(nxt, STOPS) | ((nxt == 46) & np.isin(np.r_[nxt[1:], np.uint64(10)], AFTER_DOT)))
-        h, power = np.zeros(len(code), dtype=np.uint64), np.uint64(1)
+STOPS = np.array(sorted({ord(c) for c in _END + "…\n"}), dtype=np.uint64)
+AFTER_DOT = np.array([ord(c) for c in " \n)\"'."], dtype=np.uint64)
+_NEWLINE = np.uint64(10)
+
+
+class Joined:
+    """Texts in one array of code points, two line breaks after each."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.code = codes("\n\n".join([*texts, ""]))
+        self.length = np.array([len(t) for t in texts], dtype=np.int64)
+        self.start = np.cumsum(self.length + 2) - self.length - 2
+        self.offset = np.arange(len(self.code)) - np.repeat(self.start, self.length + 2)
+
+    def prefixes(self, group: str, at: np.ndarray) -> np.ndarray:
+        """Hashes that name what each text has up to the positions ``at``, its length included."""
         with np.errstate(over="ignore"):
-            for k in range(1, min(TAILS[0], len(code)) + 1):
-                h[k - 1 :] += (code[: len(code) - k + 1] + np.uint64(1)) * power
+            most = int(self.length.max(initial=0)) + 2
+            power = np.cumprod(np.r_[np.uint64(1), np.full(most, BASE)])
+            total = np.r_[np.uint64(0), np.cumsum((self.code + np.uint64(1)) * power[self.offset])]
+            h = total[at + 1] - total[at - self.offset[at]]
+            return mix(mix(h) + (self.offset[at] + 1).astype(np.uint64) * BASE + _seed(group, 0))
+
+    def tails(self, group: str, at: np.ndarray, want: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, positions, hashes) of the last k characters up to the positions ``at``, shortest first.
+
+        With ``want`` only those in that table; a longer tail is looked up only where the shorter one is in it, as a
+        value that has the longer has the shorter as well.
+        """
+        one = np.uint64(1)
+        h, power = np.zeros(len(at), dtype=np.uint64), one
+        with np.errstate(over="ignore"):
+            for j in range(TAILS[0]):
+                keep = self.offset[at] >= j
+                if not keep.all():
+                    at, h = at[keep], h[keep]
+                h = h + (self.code[at - j] + one) * power
                 power = power * BASE
-                if k in TAILS:
-                    at = np.flatnonzero(inner & (offset >= k - 1))
-                    x = mix(mix(h[at]) + _seed(group, k))
-                    hit = _test(want, x)
-                    yield x[hit], goes[at[hit]]
-        held, size = [], 0
+                if j + 1 in TAILS:
+                    x = mix(mix(h) + _seed(group, j + 1))
+                    if want is not None:
+                        hit = _test(want, x)
+                        at, h, x = at[hit], h[hit], x[hit]
+                    if len(at):
+                        yield j + 1, at, x
+
+    def goes_on(self, at: np.ndarray, dot: bool) -> np.ndarray:
+        """Whether a sentence goes on after the positions ``at``; with ``dot`` a full point inside a word does so too."""
+        nxt = self.code[at + 1]
+        point = nxt == 46
+        if dot:
+            point &= np.isin(self.code[np.minimum(at + 2, len(self.code) - 1)], AFTER_DOT)
+        return ~(np.isin(nxt, STOPS) | point)
+
+
+def parts(texts: list[str], most: int = PART) -> Iterator[slice]:
+    """Runs of texts of some million characters, single texts at least."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most or i + 1 == len(texts):
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+
+
+def _continuations(group: str, texts: list[str], want: np.ndarray, wholes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, length or 0, goes on) of every looked-for piece in the texts: tails (0), and values that a text goes on after (length)."""
+    for part in parts(texts):
+        x = Joined(texts[part])
+        inner = np.flatnonzero(x.offset < np.repeat(x.length, x.length + 2) - 1)  # the last character of a text is followed by nothing
+        for _, at, h in x.tails(group, inner, want):
+            yield h, np.zeros(len(h), dtype=np.int32), x.goes_on(at, True)
+        at = inner[x.offset[inner] >= PREFIX - 1]
+        h = x.prefixes(group, at)
+        hit = _test(wholes, h)
+        at, h = at[hit], h[hit]
+        go = x.goes_on(at, False)
+        yield h[go], (x.offset[at[go]] + 1).astype(np.int32), np.ones(int(go.sum()), dtype=bool)
 
 
 def _test(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(BITS - 1)
+    at = h & np.uint64(8 * len(bits) - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def _bits(df: DataFrame, column: str) -> np.ndarray:
-    """Which of ``BITS`` places the hashes in ``column`` take, as bits. At most ``BITS`` / 8 bytes reach the driver."""
-    place = F.pmod(F.col(column), F.lit(BITS))
-    rows = df.select(place.alias("p")).groupBy((F.col("p") / 8).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(p % 8 as int)))").alias("byte")).toArrow()
-    out = np.zeros(BITS // 8, dtype=np.uint8)
+    """Which places the hashes in ``column`` take in a table of bits sized by their number. At most ``MOST`` / 8 bytes reach the driver."""
+    n = df.count() * SPARSE
+    size = min(MOST, max(FEWEST, 1 << max(n - 1, 1).bit_length()))
+    place = F.pmod(F.col(column), F.lit(size))
+    rows = df.select(place.alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(p % 8 as int)))").alias("byte")).toArrow()
+    out = np.zeros(size // 8, dtype=np.uint8)
     out[rows["at"].to_numpy()] = rows["byte"].to_numpy()
     return out
 
 
-def truncated_values(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
+def truncated_values(df: DataFrame, group: str, key: str, text: str, probe: str | None = None) -> DataFrame:
     """``group, key`` (as strings) of the values that break off inside a word or a sentence; each once.
 
     Values are judged against the other values of their group. Null keys and groups are allowed; null and empty values,
     and values without a letter or digit, are not truncated. A value that lacks a closing mark is complete unless its
-    tail goes on elsewhere or a longer copy of it goes on inside a sentence; too little evidence counts as complete. Extra columns are dropped.
+    tail goes on elsewhere or a longer copy of it goes on inside a sentence; too little evidence counts as complete. Rows
+    whose boolean column ``probe`` is true are judged, but are no evidence for others. Extra columns are dropped.
     """
-    src = df.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(group).cast("string").alias("group"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    src = df.select(
+        F.coalesce(F.col(group).cast("string"), F.lit("")).alias("g"), F.col(group).cast("string").alias("group"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"),
+        (F.coalesce(F.col(probe), F.lit(False)) if probe else F.lit(False)).alias("probe"),
+    )
     src = spread(src.where("text is not null"))
     sc = df.sparkSession.sparkContext
 
     def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for grp, g, key, t in zip(b["group"], b["g"], b["key"], b["text"], strict=True):
-                state, stem = tail_state(t)
-                if state not in ("open", "broken"):
-                    continue
-                stem = plain(stem)
-                code = codes(stem)
-                ks = [k for k in TAILS if k <= len(code)] if state == "open" else []
-                with np.errstate(over="ignore"):
-                    h = [int(mix(windows(code[-k:], k) + _seed(g, k))[0].view(np.int64)) for k in ks]
-                fits = next((k for k in PREFIXES if k <= len(code)), None)
-                p = int(_prefixes(g, code[None, :fits]).view(np.int64)[0]) if fits else None
-                w = int(_whole(code).view(np.int64))
-                out.append((grp, g, key, state, ks, h, p, w, len(code)))
-            yield pd.DataFrame(out, columns=["group", "g", "key", "state", "ks", "hs", "prefix", "whole", "len"], dtype=object)
-
-    kinds = "`group` string, g string, key string, state string, ks array<int>, hs array<bigint>, prefix bigint, whole bigint, len int"
-    tail = materialize(src.mapInPandas(tails, kinds), "tails")
-    each = tail.where("state = 'open'").select("g", "key", "whole", F.explode(F.arrays_zip("ks", "hs")).alias("z")).select("g", "key", "whole", F.col("z.ks").alias("k"), F.col("z.hs").alias("h"))
-    each = materialize(each, "tail-keys")
-    want = sc.broadcast(_bits(each, "h"))
-    starts = sc.broadcast(_bits(tail.where("prefix is not null"), "prefix"))
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """How often looked-for pieces go on (1) or end a sentence (0)."""
-        for b in batches:
-            for g, part in b.groupby("g"):
-                found = list(_continuations(g, [plain(t) for t in part["text"]], want.value))
-                if found:
-                    h, o = (np.concatenate(x) for x in zip(*found, strict=True))
-                    u, at = np.unique(h, return_inverse=True)
-                    n, c = np.bincount(at, minlength=len(u)), np.bincount(at, weights=o, minlength=len(u)).astype(np.int64)
-                    yield pd.DataFrame({"h": u.view(np.int64), "n": n, "c": c})
-
-    inside = src.mapInPandas(follow, "h bigint, n bigint, c bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    ends = each.groupBy("h").agg(F.count_distinct("whole").alias("e"))
-    seen = each.join(ends, "h").join(inside, "h", "left").select(
-        "g", "key", "whole", "k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("c", F.lit(0)).alias("c"), (F.col("e") - 1).alias("e")
-    )
-    best = seen.where(F.col("n") + F.col("e") >= SUPPORT).groupBy("g", "key", "whole").agg(F.max_by(F.col("c") / (F.col("n") + F.col("e")), "k").alias("share"))
-
-    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Values whose prefix some open value has."""
+            state, stem = zip(*map(tail_state, b["text"]), strict=True) if len(b) else ((), ())
+            b = b.assign(state=state, stem=[plain(x) for x in stem]).drop(columns="text")
+            b = b[b["state"].isin(["open", "broken"])]
+            for g, own in b.groupby("g"):
+                for part in parts(own["stem"].tolist()):
+                    out = own.iloc[part]
+                    x = Joined(out["stem"].tolist())
+                    end = x.start + x.length - 1
+                    some = np.flatnonzero(x.length > 0)
+                    whole, hs = np.zeros(len(out), dtype=np.uint64), [[] for _ in range(len(out))]
+                    whole[some] = x.prefixes(g, end[some])
+                    row = np.full(len(x.code), -1)
+                    row[end[some]] = some
+                    for _, at, h in x.tails(g, end[some]):
+                        for i, v in zip(row[at].tolist(), h.view(np.int64).tolist(), strict=True):
+                            hs[i].append(v)
+                    yield out[["group", "g", "key", "state", "probe"]].assign(hs=hs, whole=whole.view(np.int64), len=x.length.astype(np.int32))
+
+    tail = materialize(src.mapInPandas(tails, "`group` string, g string, key string, state string, probe boolean, hs array<bigint>, whole bigint, len int"), "tails")
+    # values that are equal are judged once; ks are the lengths of TAILS in rising order, as many as the value has
+    distinct = tail.where("state = 'open'").groupBy("g", "whole", "len").agg(F.first("hs").alias("hs"), F.bool_and("probe").alias("probe"))
+    distinct = materialize(distinct, "tail-values")
+    each = distinct.select("g", "whole", "len", "probe", F.posexplode("hs").alias("k", "h"))
+    want = sc.broadcast(_bits(each.select("h").distinct(), "h"))
+    wholes = sc.broadcast(_bits(distinct.where(F.col("len") >= PREFIX), "whole"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often looked-for tails go on (c) among all (n), and values that a longer copy goes on after."""
         for b in batches:
-            texts, group = b.column("text").to_pylist(), np.array(b.column("g").to_pylist(), dtype=object)
-            heads = [_head(t) for t in texts]
-            size = np.array([len(t) for t in heads], dtype=np.int64)
-            code = codes("".join(t[: PREFIXES[0]].ljust(PREFIXES[0]) for t in heads)).reshape(-1, PREFIXES[0])
+            texts, group = [plain(t) for t in b.column("text").to_pylist()], np.array(b.column("g").to_pylist(), dtype=object)
             for g in set(group):
-                for k in PREFIXES:
-                    own = np.flatnonzero((group == g) & (size > k))
-                    p = _prefixes(g, code[own, :k])
-                    hit = np.flatnonzero(_test(starts.value, p))
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array([g] * len(hit), pa.string()), pa.array(p[hit].view(np.int64)), pa.array([plain(texts[i]) for i in own[hit]], pa.string())], ["g", "prefix", "text"])
-
-    lens = tail.where("prefix is not null").select("g", "prefix", "len").distinct().groupBy("g", "prefix").agg(F.collect_set("len").alias("lens"))
-    copies = src.mapInArrow(longer, "g string, prefix bigint, text string").join(lens, ["g", "prefix"])
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Prefixes, of the looked-for lengths, after which the value goes on inside a sentence."""
-        for b in batches:
-            out = []
-            for g, s, ls in zip(b["g"], b["text"], b["lens"], strict=True):
-                code = codes(s)
-                out += [(g, int(_whole(code[:n]).view(np.int64)), n) for n in ls if n < len(code) and int(code[n]) not in STOP_SET and code[n] != 46]
-            yield pd.DataFrame(out, columns=["g", "whole", "len"])
-
-    whole = copies.select("g", "text", "lens").mapInPandas(cut, "g string, whole bigint, len int").distinct().withColumn("copied", F.lit(True))
-    best = best.select(F.col("g").alias("bg"), F.col("key").alias("bkey"), F.col("whole").alias("bwhole"), "share")
-    judged = tail.join(best, (F.col("whole") == F.col("bwhole")) & (F.col("g") == F.col("bg")) & F.col("key").eqNullSafe(F.col("bkey")), "left")
-    judged = judged.join(whole, ["g", "whole", "len"], "left")
-    ok = (F.col("state") == "broken") | F.coalesce("copied", F.lit(False)) | F.coalesce(F.col("share") >= GOES_ON, F.lit(False))
-    return judged.where(ok).select(F.col("group").alias(group), F.col("key").alias(key)).distinct()
-
-
-STOPS = np.array([ord(c) for c in _END + "…\n"], dtype=np.uint64)
-STOP_SET = {ord(c) for c in _END + "…\n"}
-AFTER_DOT = np.array([ord(c) for c in " \n)\"'."], dtype=np.uint64)
-
-
-def _whole(code: np.ndarray) -> np.uint64:
-    """64 bits that name a text, by blocks of 64 characters."""
-    pad = np.zeros(-(-max(len(code), 1) // 64) * 64, dtype=np.uint64)
-    pad[: len(code)] = code + np.uint64(1)
-    with np.errstate(over="ignore"):
-        h = mix(pad.reshape(-1, 64) * POWERS).sum(axis=1)
-        return mix(mix(h + np.arange(len(h), dtype=np.uint64) * BASE).sum(keepdims=True))[0]
-
-
-with np.errstate(over="ignore"):
-    POWERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-
-
-def _prefixes(group: str, code: np.ndarray) -> np.ndarray:
-    """Hashes of rows of one length, at most 64 characters."""
-    with np.errstate(over="ignore"):
-        return mix(mix((code + np.uint64(1)) * POWERS[: code.shape[1]]).sum(axis=1) + _seed(group, code.shape[1]))
+                found = list(_continuations(g, [texts[i] for i in np.flatnonzero(group == g)], want.value, wholes.value))
+                h, size, o = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, bool))
+                for n in (0, 1):
+                    on = (size > 0) == n
+                    u, first, at = np.unique(h[on], return_index=True, return_inverse=True)
+                    c = np.bincount(at, weights=o[on], minlength=len(u)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(size[on][first], pa.int32()), pa.array(np.bincount(at, minlength=len(u)).astype(np.int64)), pa.array(c)], ["h", "len", "n", "c"])
+
+    inside = src.where("not probe").select("g", "text").mapInArrow(follow, "h bigint, len int, n bigint, c bigint").groupBy("h", "len").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    inside = materialize(inside, "tail-inside")
+    ends = each.where("not probe").groupBy("h").agg(F.count(F.lit(1)).alias("e"))
+    other = F.coalesce("e", F.lit(0)) - F.when(F.col("probe"), 0).otherwise(1)
+    seen = each.join(ends, "h", "left").join(inside.where("len = 0").drop("len"), "h", "left").select("g", "whole", "len", "k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("c", F.lit(0)).alias("c"), other.alias("e"))
+    share = F.max_by(F.col("c") / (F.col("n") + F.col("e")), "k")
+    cut = seen.where(F.col("n") + F.col("e") >= SUPPORT).groupBy("g", "whole", "len").agg(share.alias("share")).where(F.col("share") >= GOES_ON).select("g", "whole", "len")
+    copied = distinct.join(inside.where("len > 0").select(F.col("h").alias("whole"), "len"), ["whole", "len"]).select("g", "whole", "len")
+    cut = cut.unionByName(copied).distinct()
+    out = tail.where("state = 'open'").join(cut, ["g", "whole", "len"]).select("group", "key").unionByName(tail.where("state = 'broken'").select("group", "key"))
+    return out.select(F.col("group").alias(group), F.col("key").alias(key)).distinct()
 
 
 def text_fields(documents: DataFrame, audited: DataFrame) -> DataFrame:
