@@ -9,6 +9,8 @@ from lodestream.session import materialize
 
 #: A contributor with more than this share of all rows counts as hot; at most 1 / HOT_SHARE contributors can.
 HOT_SHARE = 1e-4
+#: Limit up to which the leaders of a contributor's cutoff bin, at most ``salts`` times the limit, are ranked in one task; beyond, by ranges.
+LEADERS = 10_000
 
 
 def normalized_id(col: Column) -> Column:
@@ -88,13 +90,30 @@ def cap_contributors(
     border = marked.where(F.col("bin") == F.col("cut")).withColumn("rn", F.row_number().over(Window.partitionBy("c", "salt").orderBy(*order)))
     border = materialize(border.select(*out, "q", "need", "rn"), "cap-border")
     behind = border.where(F.col("rn") > F.col("need")).select(*out, F.lit(False).alias("kept"))
-    front = border.where(F.col("rn") <= F.col("need")).select(
-        *out, (F.row_number().over(Window.partitionBy("c").orderBy(*order)) <= F.col("need")).alias("kept")
-    )
+    front = border.where(F.col("rn") <= F.col("need"))
+    if limit <= LEADERS:
+        front = front.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy(*order)))
+    else:
+        front = _placed(front, order)
+    front = front.select(*out, (F.col("place") <= F.col("need")).alias("kept"))
     res = clear.unionByName(behind).unionByName(front)
     return res.select(F.col("c").alias(contributor), F.col("r").alias(record_id), F.col("q0").alias(quality), "kept")
 
 
+def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with the ``place`` of each row within its ``c``, for contributors too large for one task.
+
+    Rows are sorted by range over all tasks; a row's place is its place in its own range and the contributor's rows in the ranges before.
+    """
+    spark = df.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    x = materialize(df.repartitionByRange(parts, F.col("c"), *order).withColumn("part", F.spark_partition_id()), "cap-ranges")
+    before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    n = x.groupBy("c", "part").agg(F.count(F.lit(1)).alias("n")).select("c", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    own = F.row_number().over(Window.partitionBy("c", "part").orderBy(*order))
+    return x.join(n, ["c", "part"]).withColumn("place", F.col("skip") + own)
+
+
 def usable_judgments(judgment: DataFrame) -> DataFrame:
     """``pair_id, contributor, confidence`` of the rows that count, one for each pair_id.
 

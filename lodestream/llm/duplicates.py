@@ -9,6 +9,9 @@ from lodestream.llm.setjoin import cross_join, representatives, tjoin
 from lodestream.llm.textkeys import with_canonical
 from lodestream.session import materialize
 
+#: Members of a class of equal texts that one task expands at once.
+BLOCK = 2048
+
 
 def members(df: DataFrame, id_col: str, text_col: str, *extra: str) -> DataFrame:
     """Distinct ``id, ckey, canon`` and extra columns; rows with null id, null text or empty canonical form are left out."""
@@ -16,11 +19,33 @@ def members(df: DataFrame, id_col: str, text_col: str, *extra: str) -> DataFrame
     return with_canonical(named, ["id", *extra], "text").dropDuplicates(["id", "ckey", *extra])
 
 
+def in_blocks(m: DataFrame) -> DataFrame:
+    """``id, ckey`` and further columns with ``part`` and ``parts``: members of a large class of equal texts in blocks of some BLOCK."""
+    size = m.groupBy("ckey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    size = size.select("ckey", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    x = m.join(size, "ckey", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return x.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+
+def _joined(pairs: DataFrame, m: DataFrame, key: str, name: str) -> DataFrame:
+    """``pairs`` with the columns of the members of the class in ``key``; a row of ``pairs`` meets each block of a large class on its own."""
+    blocks = in_blocks(m)
+    large = blocks.where("parts > 1").select(F.col("ckey").alias(key), "parts").distinct()
+    p = pairs.join(large, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return p.join(blocks.drop("parts").withColumnsRenamed({"ckey": key, "id": name}), [key, "part"]).drop("part")
+
+
 def expand(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of content keys to pairs of ids."""
-    a = left.select(F.col("id").alias("ia"), F.col("ckey").alias("ckey_a"))
-    b = right.select(F.col("id").alias("ib"), F.col("ckey").alias("ckey_b"))
-    return pairs.join(a, "ckey_a").join(b, "ckey_b").select("ia", "ib")
+    """Pairs of content keys (and further columns) to pairs of ids ``ia, ib`` with the further columns of both sides."""
+    return _joined(_joined(pairs, left, "ckey_a", "ia"), right, "ckey_b", "ib").drop("ckey_a", "ckey_b")
+
+
+def equal_pairs(m: DataFrame) -> DataFrame:
+    """``ia, ib`` (ia < ib) of members with equal texts; two blocks of a large class meet in a task of their own."""
+    x = in_blocks(m.select("id", "ckey").distinct()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = x.select("id", "ckey", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    y = x.select(F.col("id").alias("ib"), "ckey", F.col("part").alias("part_b"), "lo", "hi")
+    return x.withColumnRenamed("id", "ia").join(y, ["ckey", "lo", "hi"]).where("ia < ib and (lo = hi or part <> part_b)").select("ia", "ib")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -42,10 +67,7 @@ def near_duplicates(df: DataFrame, id_col: str = "source_id", text_col: str = "c
 def duplicate_pairs(df: DataFrame, t: float = 0.5) -> DataFrame:
     """``source_id_a, source_id_b``: all pairs of source_ids with equal or similar case_text."""
     m, pairs = near_duplicates(df, t=t)
-    twice = m.groupBy("ckey").count().where("count > 1").select("ckey")
-    copies = m.join(twice, "ckey")
-    same = copies.select(F.col("id").alias("ia"), "ckey").join(copies.select(F.col("id").alias("ib"), "ckey"), "ckey").where("ia < ib")
-    return ordered(expand(pairs, m, m).unionByName(same.select("ia", "ib")))
+    return ordered(expand(pairs.select("ckey_a", "ckey_b"), m, m).unionByName(equal_pairs(m)))
 
 
 def split_class(split: Column) -> Column:
@@ -71,11 +93,12 @@ def cross_split(m: DataFrame, t: float = 0.5, band: float = 0.0) -> DataFrame:
     """
     role = m.withColumn("role", F.when(F.col("split") == "train", 2).otherwise(1))
     links = cross_join(representatives(role, roles=True), t, band)
-    ev = m.where("split <> 'train'").select(F.col("id").alias("eval_id"), F.col("ckey").alias("ckey_a"), "split", "source_file")
-    tr = m.where("split = 'train'").select(F.col("id").alias("train_id"), F.col("ckey").alias("ckey_b"))
-    near = links.where("ckey_a <> ckey_b").join(ev, "ckey_a").join(tr, "ckey_b").select("eval_id", "train_id", "split", "source_file", "jaccard", "edits")
-    same = ev.join(tr, F.col("ckey_a") == F.col("ckey_b")).select("eval_id", "train_id", "split", "source_file", F.lit(1.0).alias("jaccard"), F.lit(0).alias("edits"))
-    return near.unionByName(same)
+    ev, tr = m.where("split <> 'train'").select("id", "ckey", "split", "source_file"), m.where("split = 'train'").select("id", "ckey").distinct()
+    near = links.where("ckey_a <> ckey_b").select("ckey_a", "ckey_b", "jaccard", "edits")
+    both = ev.select("ckey").distinct().join(tr.select("ckey").distinct(), "ckey")
+    same = both.select(F.col("ckey").alias("ckey_a"), F.col("ckey").alias("ckey_b"), F.lit(1.0).alias("jaccard"), F.lit(0).alias("edits"))
+    x = expand(near.unionByName(same), ev, tr)
+    return x.select(F.col("ia").alias("eval_id"), F.col("ib").alias("train_id"), "split", "source_file", "jaccard", "edits")
 
 
 def cross_split_pairs(df: DataFrame, t: float = 0.5) -> DataFrame:

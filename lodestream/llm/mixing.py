@@ -7,27 +7,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.capping import normalized_id
-from lodestream.session import materialize, spread
+from lodestream.session import broadcast_within, materialize, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: GPT-2 style splitting of text before byte-pair merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents in one block of the flight phase.
 BLOCK = 512
+#: Sources whose plan is sent to all executors; with more of them it is joined by shuffle.
+FEW_SOURCES = 100_000
 
 
 def token_counts(docs: DataFrame, doc_id: str, source: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, tokens``: number of tokens of each whole text (null text: 0). The vocabulary is read on the executors."""
+    """``doc_id, source, tokens``: number of tokens of each whole text (null text: 0). The vocabulary is sent to the executors as a file."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = tokenizer.rsplit("/", 1)[-1]
     src = spread(docs.select(F.col(doc_id).alias("d"), normalized_id(F.col(source)).alias("s"), F.col(text).alias("t")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizer, "rb"))}  # noqa: SIM115
+        with open(SparkFiles.get(name), "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         enc = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             yield pd.DataFrame({"d": b["d"], "s": b["s"], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["t"]]})
@@ -120,9 +126,11 @@ def land(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarr
     return p
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", total: float | None = None, tokenizer: str = TOKENIZER, seed: int = 42) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", total: float | None = None, tokenizer: str = TOKENIZER, seed: int = 42, relative: bool = False) -> DataFrame:
     """``doc_id, source, tokens, copies`` of the mix: documents with at least one copy.
 
+    ``total`` is the size in tokens, or with ``relative`` as a multiple of all tokens of ``docs``; without it the mix is as large as lets all sources reach their shares.
+
     Each document of a source gets the whole part of the wanted copies; the fraction is drawn by the cube method, which keeps
     the source's token and document totals. Blocks of at most BLOCK documents (by hash within a source, so no source
     is one task) fly on their own and leave two undecided documents each; these form new blocks, until one block a
@@ -131,13 +139,14 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", sou
     """
     spark: SparkSession = docs.sparkSession
     tok = materialize(token_counts(docs.where(F.col(doc_id).isNotNull()), doc_id, source, text, tokenizer).toDF("d", "source", "tokens"), "mix-tokens")
+    if relative and total is not None:
+        total *= float(tok.agg(F.sum("tokens")).first()[0] or 0)
     plan = plan_mix(tok.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), targets, total)
     kind = tok.schema["d"].dataType.simpleString()
     if not plan:
         return tok.where("false").select(F.col("d").alias(doc_id), F.col("source").alias(source), "tokens", F.lit(0).alias("copies"))
     steps = spark.createDataFrame([(r["source"], int(r["copies"]), r["copies"] - int(r["copies"]), int(r["docs"])) for r in plan], "source string, whole int, part double, docs bigint")
-    # the plan has one row a source, and as many sources as the table of targets
-    start = tok.join(F.broadcast(steps), "source").withColumn("p", F.when(F.col("part") > 1e-9, F.col("part")).otherwise(0.0))
+    start = tok.join(broadcast_within(steps, FEW_SOURCES), "source").withColumn("p", F.when(F.col("part") > 1e-9, F.col("part")).otherwise(0.0))
     shape = f"d {kind}, source string, tokens bigint, whole int, p double"
 
     def fly(last: bool):  # noqa: ANN202
@@ -171,7 +180,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", sou
         rest = flown.where("p > 0 and p < 1")
         n = rest.groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
         most = n.agg(F.max("docs")).first()[0] or 0
-        rest = rest.join(F.broadcast(n), "source")
+        rest = rest.join(broadcast_within(n, FEW_SOURCES), "source")
         left, level = most, level + 1
     out = done[0]
     for x in done[1:]:

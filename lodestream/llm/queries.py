@@ -110,6 +110,17 @@ def p9_shares(s: SparkSession, d: str) -> DataFrame:
     return mix_shares(p9_mix(s, d), table(s, d, "mix_target"))
 
 
+def p9_corpus_mix(s: SparkSession, d: str) -> DataFrame:
+    """A mix as large as the corpus: small sources are repeated up to their limits, the others fill up."""
+    x = table(s, d, "documents")
+    return mix_sources(x, table(s, d, "mix_target"), total=1.0, relative=True)
+
+
+def p9_corpus_shares(s: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual shares of the mix that is as large as the corpus, with the most copies of a document."""
+    return mix_shares(p9_corpus_mix(s, d), table(s, d, "mix_target"))
+
+
 def p10_levels(s: SparkSession, d: str) -> DataFrame:
     return reading_levels(table(s, d, "documents"), table(s, d, "reading_label"))
 
@@ -119,7 +130,7 @@ def p10_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_contributors, p2_found, p2_links, p4_found, p4_overlaps, p4_counts, p5_found, p5_rates, p6_found, p6_posteriors, p7_found, p7_spans, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_levels)
+    own = (p1_found, p1_contributors, p2_found, p2_links, p4_found, p4_overlaps, p4_counts, p5_found, p5_rates, p6_found, p6_posteriors, p7_found, p7_spans, p8_found, p8_leaks, p9_mix, p9_shares, p9_corpus_mix, p9_corpus_shares, p10_found, p10_levels)
     return {f.__name__: f for f in own}
 
 

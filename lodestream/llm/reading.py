@@ -17,6 +17,8 @@ from lodestream.session import materialize, spread
 #: Word nodes are the least power of two of NODES for each distinct word between these bounds; beyond, words share nodes.
 #: The values of the nodes (not the documents') pass through the driver.
 NODES, FEWEST, MOST = 4, 1 << 16, 1 << 23
+#: Nodes whose sums travel in one row.
+BLOCK = 1024
 #: One in so many distinct words (by hash) is counted to size the graph.
 COUNTED = 256
 #: Widths of the character windows that serve as words, in Chinese and in Latin script.
@@ -127,6 +129,13 @@ def _flat(b: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.repeat(np.arange(len(count)), count), node.astype(np.int64), b.column("grade").to_numpy(zero_copy_only=False).astype(float)
 
 
+def _blocks(sums: np.ndarray) -> pa.RecordBatch:
+    """(block, its sums as bytes) of the blocks of nodes that are not all 0."""
+    v = sums.reshape(len(sums), -1, BLOCK).transpose(1, 0, 2)
+    at = np.flatnonzero(v.any(axis=(1, 2)))
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([v[i].tobytes() for i in at], pa.binary())], ["block", "sums"])
+
+
 def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
     """``doc_id, score, level`` of every document: a continuous difficulty and the level of LEVELS nearest to it.
 
@@ -160,10 +169,10 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     few_tasks = table.select("words", "grade").coalesce(2 * sc.defaultParallelism)
 
     def gather(state: object, learn: bool):  # noqa: ANN202
-        """Sums over documents by word: weight, value, squared value; when no longer learning the value only."""
+        """Sums over documents by word: weight, value, squared value; when no longer learning the value only. A row has a block of nodes."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = [np.zeros(size) for _ in range(3 if learn else 1)]
+            sums = np.zeros((3 if learn else 1, size))
             for b in batches:
                 t, x, y = _flat(b, size)
                 weight = np.where(np.isnan(y), FREE if state else 0.0, 1.0)
@@ -173,19 +182,26 @@ def reading_levels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
                 y = np.nan_to_num(y)
                 for acc, v in zip(sums, (weight, weight * y, weight * y * y) if learn else (weight * y,), strict=True):
                     acc += np.bincount(x, weights=v[t], minlength=size)
-            hit = np.flatnonzero(sums[0])
-            out = [a[hit] for a in sums]
-            yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), *[pa.array(a) for a in (out if learn else [out[0]] * 3)]], ["w", "n", "s", "q"])
+            yield _blocks(sums)
 
         return run
 
-    def summed(df: DataFrame, state: object, learn: bool) -> list[np.ndarray]:
-        names = "nsq" if learn else "s"
-        rows = df.mapInArrow(gather(state, learn), "w int, n double, s double, q double").groupBy("w").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-        out = [np.zeros(size) for _ in names]
-        for a, c in zip(out, names, strict=True):
-            a[rows["w"].to_numpy()] = rows[c].to_numpy()
-        return out
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the rows of each block."""
+        acc: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, x in zip(b.column("block").to_pylist(), b.column("sums").to_pylist(), strict=True):
+                v = np.frombuffer(x)
+                acc[at] = acc[at] + v if at in acc else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([v.tobytes() for v in acc.values()], pa.binary())], ["block", "sums"])
+
+    def summed(df: DataFrame, state: object, learn: bool) -> np.ndarray:
+        part = df.mapInArrow(gather(state, learn), "block int, sums binary").repartition("block").mapInArrow(added, "block int, sums binary")
+        rows = part.toArrow()
+        out = np.zeros((3 if learn else 1, size // BLOCK, BLOCK))
+        for at, x in zip(rows["block"].to_pylist(), rows["sums"].to_pylist(), strict=True):
+            out[:, at] = np.frombuffer(x).reshape(-1, BLOCK)
+        return out.reshape(-1, size)
 
     nodes = Nodes(*summed(few_tasks.where("grade is not null"), None, True))
     state = sc.broadcast(nodes)

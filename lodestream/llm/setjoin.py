@@ -1,14 +1,15 @@
 """Exact similarity joins of texts by their distinct character pieces (Jaccard at least ``t``).
 
-``tjoin`` is DivideSkip at the extreme L = T - 1, laid out for shuffles, which makes it a prefix filter: the lists of each
-text's rarest pieces are merged by one sort on the piece, and a pair that occurs there once is a candidate if sizes, ranks
-and sketches allow it. No occurrences are counted and no long lists probed; candidates are verified on whole texts.
-``cross_join`` compares the texts of two sides by the same bound on their rarest pieces.
+T-occurrence search by DivideSkip, laid out for shuffles. A partner of a text with n pieces has at least T of them. The lists
+of its pieces are ordered by length; the L longest are skipped, with L by the cost model of the method, and the n - L
+shortest are merged by one sort on the piece. Each meeting of two texts in a short list is an occurrence; pairs with at least
+T - L of them are candidates, and the long lists are not merged but probed: a candidate's pieces are looked up by binary search in
+its partner's sorted pieces, and what reaches the threshold by hashes is decided on the texts themselves.
+Meetings that sizes, ranks or sketches rule out are not counted; a pair that reaches ``t`` has none of these.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,50 +18,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.textkeys import codes, mix, pieces, windows
+from lodestream.llm.textkeys import HASH_BITS, codes, distinct_windows, mix, pieces, runs, split_windows
 from lodestream.session import materialize, spread
 
 WIDTH = 5
-#: Size of the hashed table of piece counts; fixed, whatever the input.
-BUCKETS = 1 << 21
+#: Places of the hashed table of piece counts: PER_TEXT for each text, between these bounds. It only orders the lists.
+PER_TEXT, FEWEST, MOST = 16, 1 << 18, 1 << 25
 #: Longest list compared by one task; longer ones are split into blocks.
 BLOCK = 4096
 #: Pairs compared at once.
 CHUNK = 1 << 20
+#: Cost of probing a list against merging it, in the cost model L = T / (MU log2 M + 1), M being the longest list.
+MU = 0.0085
 #: Set sizes up to which sketches have 256, 512 and 1,024 bits; larger sets have 2,048.
 SIZES = np.array([160, 256, 640])
 POSTING = "key bigint, side tinyint, rid bigint, n int, pos int, sk binary"
 
 
-def bucket_counts(df: DataFrame, hashes: Callable[[str, int], np.ndarray], columns: tuple[str, str] = ("canon", "role")) -> np.ndarray:
-    """Counts of hashed pieces over all texts, as an array (2, BUCKETS) by role (0 or 1).
+def bucket_counts(df: DataFrame) -> np.ndarray:
+    """Counts of hashed pieces over all texts (canon, role), as an array (2, places) by role (0 or 1).
 
-    Of fixed size, so it may be sent everywhere. ``hashes`` gives the piece hashes of a text in a role.
+    Its size grows with the number of texts up to MOST, so it may be sent everywhere.
     """
-    text, role = columns
+    want = PER_TEXT * df.count()
+    size = min(MOST, max(FEWEST, 1 << max(want - 1, 1).bit_length()))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros(2 * BUCKETS, dtype=np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros(2 * size, dtype=np.int64)
         for b in batches:
-            parts = [(hashes(t, r) % np.uint64(BUCKETS)).astype(np.int64) + r * BUCKETS for t, r in zip(b[text], b[role], strict=True)]
-            if parts:
-                acc += np.bincount(np.concatenate(parts), minlength=2 * BUCKETS)
+            texts, role = b.column("canon").to_pylist(), b.column("role").to_numpy().astype(np.int64)
+            for part in runs(texts):
+                text, h = split_windows(distinct_windows(texts[part], WIDTH))
+                acc += np.bincount(_place(h, size) + role[part][text] * size, minlength=2 * size)
         hit = np.flatnonzero(acc)
-        yield pd.DataFrame({"b": hit.astype(np.int64), "n": acc[hit]})
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), pa.array(acc[hit])], ["b", "n"])
 
-    got = df.select(text, role).mapInPandas(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n"))
+    got = df.select("canon", "role").mapInArrow(count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n"))
     at = got.select(F.col("b").cast("int"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-    table = np.zeros(2 * BUCKETS, dtype=np.int32)
+    table = np.zeros(2 * size, dtype=np.int32)
     table[at["b"].to_numpy()] = at["n"].to_numpy()
-    return table.reshape(2, BUCKETS)
+    return table.reshape(2, size)
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """Parity bits of a set, 256 to 2,048 by its size; two sets' sketches of one length differ in at most as many bits as
-    the sets in elements. A longer sketch folds to a shorter one, as its halves add up (xor)."""
-    bits = 256 << int(np.searchsorted(SIZES, len(h)))
-    at = ((h >> np.uint64(17)) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+def _place(h: np.ndarray, size: int) -> np.ndarray:
+    return (h & np.uint64(size - 1)).astype(np.int64)
+
+
+def sketches(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity bits of the set of each text, 256 to 2,048 by its size n; two sets' sketches of one length differ in at most as many
+    bits as the sets in elements. A longer sketch folds to a shorter one, as its halves add up (xor)."""
+    bits = 256 << np.searchsorted(SIZES, n)
+    base = np.cumsum(bits) - bits
+    at = (h >> np.uint64(17)).astype(np.int64) & (bits[text] - 1)
+    data = np.packbits((np.bincount(base[text] + at, minlength=int(bits.sum())) & 1).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, np.cumsum(bits // 8)].astype(np.int32)), pa.py_buffer(data)])
 
 
 def _folded(sketches: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -91,46 +102,63 @@ def least_overlap(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return np.ceil((a + b) * (t / (1 + t)) - 1e-9)
 
 
-def _cells(key: np.ndarray, count: np.ndarray, rid: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def short_lists(n: np.ndarray, t: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(number of short lists n - L, occurrences T - L) of texts with n pieces, where L = T / ratio and at most T - 1."""
+    least = np.ceil(t * n - 1e-9).astype(np.int64)
+    skipped = np.clip(np.minimum((least / ratio).astype(np.int64), least - 1), 0, None)
+    return n - skipped, np.maximum(least - skipped, 1)
+
+
+def cost_ratio(longest: int) -> float:
+    """What T is divided by for L."""
+    return MU * float(np.log2(longest + 2)) + 1
+
+
+def _cells(key: np.ndarray, count: np.ndarray, rid: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of posting, key, side): postings of long lists go to all cells that pair their block with another."""
     blocks = -(-count.astype(np.int64) // BLOCK)
     one = np.flatnonzero(blocks <= 1)
-    at, keys, sides = [one], [key[one]], [np.full(len(one), side, dtype=np.int8)]
-    own = int(mix(np.array([rid], dtype=np.int64).view(np.uint64))[0])
-    for i in np.flatnonzero(blocks > 1):
-        m = int(blocks[i])
-        x, y = own % m, np.arange(m)
-        lo, hi = (np.minimum(x, y), np.maximum(x, y)) if side == 0 else (np.full(m, x), y) if side == 1 else (y, np.full(m, x))
-        with np.errstate(over="ignore"):
-            cell = mix(key[i] ^ mix(lo.astype(np.uint64) * np.uint64(1_000_003) + hi.astype(np.uint64) + np.uint64(1)))
-        at.append(np.full(m, i)), keys.append(cell)
-        sides.append((np.full(m, side) if side else np.where(y == x, 0, np.where(x < y, 1, 2))).astype(np.int8))
-    return np.concatenate(at), np.concatenate(keys), np.concatenate(sides)
-
-
-def _postings(df: DataFrame, pick: Callable[[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
-    """Postings of texts (rid, canon, role); ``pick`` gives keys, their ranks in the text and the lengths of their lists."""
+    more = np.flatnonzero(blocks > 1)
+    if not len(more):
+        return one, key, side
+    m = blocks[more]
+    at = np.repeat(more, m)
+    y = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+    x = (mix(rid[at].view(np.uint64)) % blocks[at].astype(np.uint64)).astype(np.int64)
+    s = side[at]
+    lo, hi = np.where(s == 1, x, np.where(s == 2, y, np.minimum(x, y))), np.where(s == 1, y, np.where(s == 2, x, np.maximum(x, y)))
+    with np.errstate(over="ignore"):
+        cell = mix(key[at] ^ mix(lo.astype(np.uint64) * np.uint64(1_000_003) + hi.astype(np.uint64) + np.uint64(1)))
+    s = np.where(s > 0, s, np.where(y == x, 0, np.where(x < y, 1, 2)))
+    return np.concatenate([one, at]), np.concatenate([key[one], cell]), np.concatenate([side[one], s.astype(np.int8)])
+
+
+def _postings(df: DataFrame, cost: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], t: float, ratio: float) -> DataFrame:
+    """Postings of the short lists of texts (rid, canon, role).
+
+    ``cost`` gives, for hashes and roles, the work by which lists are ordered, the length of the longer side, and whether the list joins anything.
+    """
     schema = pa.schema([("key", pa.int64()), ("side", pa.int8()), ("rid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("sk", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sides, ranks, reps, rids, sizes, marks = [], [], [], [], [], [], []
-            for rid, text, role in zip(b.column("rid").to_numpy(), b.column("canon").to_pylist(), b.column("role").to_numpy(), strict=True):
-                g = np.unique(windows(codes(text), WIDTH))
-                key, pos, count = pick(text, int(role))
-                if len(g) and len(key):
-                    at, key, side = _cells(key, count, int(rid), int(role))
-                    keys.append(key), sides.append(side), ranks.append(pos[at]), reps.append(len(key))
-                    rids.append(rid), sizes.append(len(g)), marks.append(sketch(g))
-            if keys:
-                rep = np.array(reps)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sides)), pa.array(np.repeat(np.array(rids, dtype=np.int64), rep)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), rep)),
-                        pa.array(np.concatenate(ranks).astype(np.int32)), pa.array(marks, pa.binary()).take(pa.array(np.repeat(np.arange(len(rep)), rep))),
-                    ],
-                    schema=schema,
-                )
+            texts, role, rid = b.column("canon").to_pylist(), b.column("role").to_numpy(), b.column("rid").to_numpy()
+            for part in runs(texts):
+                text, h = split_windows(distinct_windows(texts[part], WIDTH))
+                n = np.bincount(text, minlength=len(texts[part]))
+                work, count, joins = cost(h, role[part][text].astype(np.int64))
+                # text, then work on a fine scale, then hash: one order of pieces for all texts
+                level = (np.log2(work + 1.0) * 1024).astype(np.uint64)
+                order = np.argsort(text.astype(np.uint64) << np.uint64(HASH_BITS) | level << np.uint64(32) | h >> np.uint64(HASH_BITS - 32), kind="stable")
+                pos = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+                kept = np.flatnonzero((pos < short_lists(n, t, ratio)[0][text]) & joins[order])
+                few, pos = order[kept], pos[kept]
+                if len(few):
+                    x = text[few]
+                    at, key, side = _cells(h[few], count[few], rid[part][x], role[part][x].astype(np.int8))
+                    x = x[at]
+                    sk = sketches(text, h, n).take(pa.array(x))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(side), pa.array(rid[part][x]), pa.array(n[x].astype(np.int32)), pa.array(pos[at].astype(np.int32)), sk], schema=schema)
 
     return df.select("rid", "canon", "role").mapInArrow(run, POSTING)
 
@@ -151,59 +179,59 @@ def _pairs(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
         i0 = i1
 
 
-def _compare(postings: DataFrame, t: float, parts: int, same: bool) -> DataFrame:
-    """Pairs (a, b) of texts with a posting under one key whose sizes, ranks and sketches allow Jaccard ``t``.
+def _occurring(postings: DataFrame, t: float, ratio: float, parts: int, same: bool) -> DataFrame:
+    """Pairs (a, b) of texts that occur in enough short lists: at least T - L times, for the smaller text's T and L.
 
     Sides 1 and 2 of a key are compared with each other, side 0 with itself; a < b if all texts are of the ``same`` table. A piece of rank p among the n of
-    a text, rarest first, is followed by n - p - 1 others; so if it is the pair's first common piece, n - p must reach the
-    overlap, for both texts. As ranks p / n this bounds the partner's rank, and postings are sorted by it.
+    a text, rarest first, is followed by n - p - 1 others; so if it is the c-th common piece of a pair at the latest, n - p must reach the
+    overlap less c - 1, for both texts. As ranks (p - c + 1) / n this bounds the partner's rank, and postings are sorted by it. Pairs whose
+    sketches differ too much are not counted.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    ratio = t / (1 + t)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("seen", pa.int32()), ("want", pa.int32())])
+    share = t / (1 + t)
 
-    def flush(x: dict[str, np.ndarray], sketches: pa.Array) -> Iterator[pa.RecordBatch]:
-        key, side, rid, n, pos = x["key"], x["side"], x["rid"], x["n"].astype(np.int64), x["pos"]
-        f = pos / n
+    def flush(x: dict[str, np.ndarray], marks: pa.Array) -> Iterator[pa.RecordBatch]:
+        key, side, rid, n, pos = x["key"], x["side"], x["rid"], x["n"].astype(np.int64), x["pos"].astype(np.int64)
+        if not len(key):
+            return
+        want = short_lists(n, t, ratio)[1]
+        f = (pos - want + 1) / n
         order = np.lexsort((f, side, key))
-        key, side, rid, n, pos, f = key[order], side[order], rid[order], n[order], pos[order], f[order]
-        kind, words = _folded(sketches.take(pa.array(order)))
-        edge = np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])]
-        seg = np.cumsum(edge) - 1
-        start = np.flatnonzero(edge)
+        key, side, rid, n, pos, f, want = (v[order] for v in (key, side, rid, n, pos, f, want))
+        kind, words = _folded(marks.take(pa.array(order)))
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])])
         end = np.r_[start[1:], len(key)]
-        # 1 - f_a >= ratio (1 + r) and 1 - f_b >= ratio (1 + 1 / r) for the ratio r of sizes
-        room = (1 - f) / ratio - 1
+        seg = np.repeat(np.arange(len(start)), end - start)
+        # 1 - f_a >= share (1 + r) and 1 - f_b >= share (1 + 1 / r) for the ratio r of sizes
+        room = (1 - f) / share - 1
         with np.errstate(divide="ignore"):
-            bound = np.clip(1 - ratio * (1 + 1 / np.maximum(room, 1e-9)), -1.0, 0.999) + 1e-9
-        if len(start):
-            nxt = np.minimum(seg + 1, len(start) - 1)
-            meets = (side == 1) & (nxt > seg) & (key[start[nxt]] == key) & (side[start[nxt]] == 2)
-            to = np.where(side == 0, seg, np.where(meets, nxt, -1))
-            lo = np.where(to >= 0, start[to], 0)
-            hi = np.searchsorted(seg + f, to + bound, side="right")
-            hi = np.where(to < 0, 0, np.where(side == 0, np.minimum(hi, np.arange(len(key))), np.minimum(np.maximum(hi, lo), end[to])))
-        else:
-            return
+            bound = np.where(room > 0, 1 - share * (1 + 1 / np.maximum(room, 1e-9)), -np.inf) + 1e-9
+        nxt = np.minimum(seg + 1, len(start) - 1)
+        meets = (side == 1) & (nxt > seg) & (key[start[nxt]] == key) & (side[start[nxt]] == 2)
+        to = np.where(side == 0, seg, np.where(meets, nxt, -1))
+        lo = np.where(to >= 0, start[to], 0)
+        hi = np.searchsorted(seg + (f + 4) / 8, to + np.clip((bound + 4) / 8, 0, 0.999), side="right")  # ranks lie in -1 to 1
+        hi = np.where(to < 0, 0, np.where(side == 0, np.minimum(hi, np.arange(len(key))), np.minimum(np.maximum(hi, lo), end[to])))
         kept: list[np.ndarray] = []
         for left, right in _pairs(lo, hi):
-            total = n[left] + n[right]
             need = least_overlap(n[left], n[right], t)
-            ok = (n[left] - pos[left] >= need) & (n[right] - pos[right] >= need) & (rid[left] != rid[right])
-            left, right = left[ok], right[ok]
-            most = (total - 2 * need)[ok]
+            slack = np.minimum(want[left], want[right]) - 1
+            ok = (n[left] - pos[left] + slack >= need) & (n[right] - pos[right] + slack >= need) & (rid[left] != rid[right])
+            left, right, need = left[ok], right[ok], need[ok]
+            most = n[left] + n[right] - 2 * need
             level = np.minimum(kind[left], kind[right])
             for k in np.unique(level):
                 at = np.flatnonzero(level == k)
                 for w in ([k - 1] if k else []) + [k]:
                     at = at[_far(words[w], left[at], right[at], most[at])]
                 if len(at):
-                    kept.append(np.stack([rid[left[at]], rid[right[at]]]))
+                    kept.append(np.stack([rid[left[at]], rid[right[at]], np.minimum(want[left[at]], want[right[at]])]))
         if kept:
             p = np.concatenate(kept, axis=1)
             if same:
-                p = np.sort(p, axis=0)
-            p = np.unique(p, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], schema=schema)
+                p[:2] = np.sort(p[:2], axis=0)
+            p, seen = np.unique(p, axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(seen.astype(np.int32)), pa.array(p[2].astype(np.int32))], schema=schema)
 
     names = ["key", "side", "rid", "n", "pos"]
 
@@ -230,7 +258,8 @@ def _compare(postings: DataFrame, t: float, parts: int, same: bool) -> DataFrame
             yield from flush(*joined(held))
 
     near = postings.repartition(parts, "key").sortWithinPartitions("key")
-    return near.mapInArrow(run, "a bigint, b bigint").distinct()
+    met = near.mapInArrow(run, "a bigint, b bigint, seen int, want int").groupBy("a", "b").agg(F.sum("seen").alias("seen"), F.max("want").alias("want"))
+    return met.where("seen >= want").select("a", "b")
 
 
 def representatives(texts: DataFrame, roles: bool = False) -> DataFrame:
@@ -269,23 +298,33 @@ def banded_distance(a: str, b: str, k: int) -> int | None:
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, t: float, width: int = WIDTH, band: float = 0.0) -> DataFrame:
     """``ckey_a, ckey_b, overlap, jaccard, edits`` of the candidate pairs (a, b) that reach ``t`` exactly.
 
-    The pieces of one text are probed in the sorted pieces of the other; hashes play no part. ``edits`` is the edit distance if
+    The pieces of one text are probed, by binary search, in the sorted pieces of the other; what reaches ``t`` by hashes, of
+    which equal ones can only add, is counted on the pieces themselves. ``edits`` is the edit distance if
     it is at most the share ``band`` of the longer text, else null, as where stretches have moved.
     """
     x = pairs.join(left.select(F.col("rid").alias("a"), F.col("ckey").alias("ckey_a"), F.col("canon").alias("x")), "a")
     x = x.join(right.select(F.col("rid").alias("b"), F.col("ckey").alias("ckey_b"), F.col("canon").alias("y")), "b")
 
+    def likely(p: list[str], q: list[str]) -> np.ndarray:
+        g, h = distinct_windows(p, width), distinct_windows(q, width)
+        at = np.searchsorted(h, g)
+        hit = split_windows(g[h[np.minimum(at, len(h) - 1)] == g] if len(h) else h)[0]
+        n, o = (np.bincount(v, minlength=len(p)) for v in (np.r_[split_windows(g)[0], split_windows(h)[0]], hit))
+        return np.flatnonzero((o > 0) & (o >= (t - 1e-9) * (n - o)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            over, jac, edits = [], [], []
-            for p, q in zip(b["x"], b["y"], strict=True):
-                g, h = pieces(p, width), pieces(q, width)
-                o = len(g & h)
-                over.append(o)
-                jac.append(o / (len(g) + len(h) - o) if g and h else 0.0)
-                edits.append(banded_distance(p, q, int(band * max(len(p), len(q)))) if band and jac[-1] >= t else None)
-            out = b[["ckey_a", "ckey_b"]].assign(overlap=over, jaccard=jac, edits=pd.array(edits, dtype="Int32"))
-            yield out[out["jaccard"] >= t]
+            left, right = b["x"].tolist(), b["y"].tolist()
+            rows = []
+            for part in runs([p + q for p, q in zip(left, right, strict=True)]):
+                for i in likely(left[part], right[part]) + part.start:
+                    g, h = pieces(left[i], width), pieces(right[i], width)
+                    o = len(g & h)
+                    j = o / (len(g) + len(h) - o)
+                    if j >= t:
+                        rows.append((i, o, j, banded_distance(left[i], right[i], int(band * max(len(left[i]), len(right[i])))) if band else None))
+            at, over, jac, edits = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield b[["ckey_a", "ckey_b"]].iloc[list(at)].assign(overlap=over, jaccard=jac, edits=pd.array(edits, dtype="Int32"))
 
     return x.select("ckey_a", "ckey_b", "x", "y").mapInPandas(run, "ckey_a binary, ckey_b binary, overlap int, jaccard double, edits int")
 
@@ -298,80 +337,40 @@ def _parts(df: DataFrame) -> int:
 def tjoin(reps: DataFrame, t: float = 0.5) -> DataFrame:
     """All pairs of distinct texts with Jaccard of their 5-character pieces at least ``t``: ``ckey_a, ckey_b, overlap, jaccard, edits`` (null).
 
-    For a text of n pieces every partner shares at least T = ceil(t n) of them, so of its lists sorted by length the
-    L = T - 1 longest are skipped and the n - L shortest are merged; a partner occurs in at least T - L = 1 of them. Pairs
-    whose sizes, ranks and sketches let them reach T are verified on whole texts. Any total order of the
-    pieces gives the full result; the order by hashed counts (a table of fixed size) keeps the merged lists short.
-    Texts with fewer than 5 characters have no pieces and no partners here.
+    For a text of n pieces every partner shares at least T = ceil(t n) of them. In one order of all pieces, by hashed counts (which keeps
+    the merged lists short; any order gives the full result), at most max(L_a, L_b) common pieces of a pair lie outside
+    both short parts, so at least T - L of the rest meet. Texts with fewer than 5 characters have no pieces and no partners here.
     """
     reps = materialize(reps, "tjoin-reps")
     wide = spread(reps)
-    sc = reps.sparkSession.sparkContext
-    grams = lambda text, role: np.unique(windows(codes(text), WIDTH))
-    counts = sc.broadcast(bucket_counts(wide, grams)[0].copy())
-
-    def pick(text: str, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        g = grams(text, role)
-        c = counts.value[(g % np.uint64(BUCKETS)).astype(np.int64)]
-        order = np.lexsort((g, c))[: len(g) - math.ceil(t * len(g) - 1e-9) + 1]
-        rank = np.flatnonzero(c[order] > 1)  # a piece of one text joins nothing
-        few = order[rank]
-        return g[few], rank, c[few]
-
-    cand = materialize(_compare(_postings(wide, pick), t, _parts(reps), True), "tjoin-pairs")
-    return verified(spread(cand), reps, reps, t)
-
+    table = bucket_counts(wide)[0].copy()
+    ratio = cost_ratio(int(table.max(initial=0)))
+    counts = reps.sparkSession.sparkContext.broadcast(table)
 
-SEGMENT, GAP, PER_EDIT = 7, 2, 12
+    def cost(h: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c = counts.value[_place(h, len(counts.value))].astype(np.int64)
+        return c, c, c > 1  # a piece of one text joins nothing
 
-
-def segments(cost: np.ndarray, length: int) -> np.ndarray:
-    """Starts of the k + 1 segments, k = length // 12, into which a text is cut, where their lists are shortest.
-
-    One of them need not be left whole at Jaccard 0.5 (short deleted and moved stretches break two and three), so no join rests on them.
-    ``cost`` has the list length of the segment that starts at each position. Segments of 7 characters lie at least 2
-    apart; the sum of their costs is least, by dynamic programming over positions for each number of segments.
-    """
-    want, step = length // PER_EDIT + 1, SEGMENT + GAP
-    m = len(cost)
-    best = np.zeros(m + step)
-    took = []
-    for _ in range(want):
-        new = np.full(m + step, np.inf)
-        new[step:] = best[:m] + cost  # the segment at i ends before position i + step
-        least = np.minimum.accumulate(new)
-        took.append((new, least))
-        best = least
-    out, at = [], m + step - 1
-    for new, least in reversed(took):
-        at = int(np.searchsorted(-least[: at + 1], -least[at], side="left"))
-        out.append(at - step)
-        at = at - step
-    return np.array(out[::-1])
+    cand = materialize(_occurring(_postings(wide, cost, t, ratio), t, ratio, _parts(reps), True), "tjoin-pairs")
+    return verified(spread(cand), reps, reps, t)
 
 
 def cross_join(reps: DataFrame, t: float = 0.5, band: float = 0.0) -> DataFrame:
     """Pairs of an evaluation text (role 1, a) and a training text (role 2, b) with Jaccard at least ``t``; columns of ``verified``.
 
-    Candidates share a piece of the prefixes of both: in one order of all pieces, a text of n pieces misses at most
-    n - ceil(t n) of them in a partner, so the first common piece is among its first n - ceil(t n) + 1. This holds for
-    every length, edit and repetition. The order is by the hashed count in role 1 times that in role 2 (tables of fixed
-    size), so pieces of one role only come first; they join nothing and are dropped. Equal texts of both roles are no pair here.
+    The same bound between two sides; it holds for every length, edit and repetition. Pieces are ordered by the hashed count in role 1 times that in
+    role 2, so pieces of one role only come first; they join nothing and are dropped. Equal texts of both roles are no pair here.
     """
     reps = materialize(reps, "crossjoin-reps")
     wide = spread(reps)
-    sc = reps.sparkSession.sparkContext
-    grams = lambda text, role: np.unique(windows(codes(text), WIDTH))
-    counts = sc.broadcast(bucket_counts(wide.withColumn("role", F.col("role") - 1), grams))
+    table = bucket_counts(wide.withColumn("role", F.col("role") - 1))
+    ratio = cost_ratio(int(table.max(initial=0)))
+    counts = reps.sparkSession.sparkContext.broadcast(table)
 
-    def pick(text: str, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        g = grams(text, role)
-        c = counts.value[:, (g % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64)
+    def cost(h: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        c = counts.value[:, _place(h, counts.value.shape[1])].astype(np.int64)
         work = c[0] * c[1]
-        order = np.lexsort((g, work))[: len(g) - math.ceil(t * len(g) - 1e-9) + 1]
-        rank = np.flatnonzero(work[order] > 0)
-        few = order[rank]
-        return g[few], rank, c[:, few].max(axis=0)
+        return work, c.max(axis=0), work > 0
 
-    cand = materialize(_compare(_postings(wide, pick), t, _parts(reps), False), "crossjoin-pairs")
+    cand = materialize(_occurring(_postings(wide, cost, t, ratio), t, ratio, _parts(reps), False), "crossjoin-pairs")
     return verified(spread(cand), reps.where("role = 1"), reps.where("role = 2"), t, band=band)

@@ -50,11 +50,64 @@ def windows(code: np.ndarray, width: int) -> np.ndarray:
         return mix(h)
 
 
+#: Bits of a hash in ``distinct_windows``, and the most texts and characters it takes at once.
+HASH_BITS = 52
+TEXTS, CHARACTERS = 1 << (64 - HASH_BITS), 1 << 20
+
+
+def runs(texts: list[str]) -> Iterator[slice]:
+    """Runs of at most TEXTS texts and some CHARACTERS characters, single texts at least."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CHARACTERS or i + 1 - start == TEXTS or i + 1 == len(texts):
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+
+
+def distinct_windows(texts: list[str], width: int) -> np.ndarray:
+    """Sorted ``number of the text << HASH_BITS | hash`` of the distinct windows of each of at most TEXTS texts."""
+    code = codes("".join(texts))
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    start = np.cumsum(length) - length
+    text = np.repeat(np.arange(len(texts)), length)
+    at = np.flatnonzero(np.arange(len(code)) - start[text] <= length[text] - width)
+    h = windows(code, width)[at] >> np.uint64(64 - HASH_BITS)
+    return np.unique(text[at].astype(np.uint64) << np.uint64(HASH_BITS) | h)
+
+
+def split_windows(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash) of ``distinct_windows``."""
+    return (both >> np.uint64(HASH_BITS)).astype(np.int64), both & np.uint64((1 << HASH_BITS) - 1)
+
+
 def pieces(text: str, width: int) -> set[str]:
     """Distinct pieces of ``width`` characters."""
     return {text[i : i + width] for i in range(len(text) - width + 1)}
 
 
+#: Places in a table that tells which hashes are looked for: SPARSE for each hash, between these bounds. A full table lets more
+#: through to the exact join behind it and changes no result.
+SPARSE, FEWEST, MOST = 16, 1 << 16, 1 << 31
+
+
+def bit_table(df: DataFrame, column: str) -> np.ndarray:
+    """Which places the hashes in ``column`` take in a table of bits sized by their number. At most ``MOST`` / 8 bytes reach the driver."""
+    n = df.count() * SPARSE
+    size = min(MOST, max(FEWEST, 1 << max(n - 1, 1).bit_length()))
+    place = F.pmod(F.col(column), F.lit(size))
+    rows = df.select(place.alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(p % 8 as int)))").alias("byte")).toArrow()
+    out = np.zeros(size // 8, dtype=np.uint8)
+    out[rows["at"].to_numpy()] = rows["byte"].to_numpy()
+    return out
+
+
+def in_table(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes have their place taken."""
+    at = h & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def with_canonical(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """``keep`` columns, ``canon`` and its 128-bit key ``ckey``; rows whose canonical form is empty are left out."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)

@@ -18,16 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.textkeys import BASE, codes, mix, windows
+from lodestream.llm.textkeys import BASE, bit_table, codes, in_table, mix, windows
 from lodestream.session import materialize, spread
 
 #: Lengths of the tails, longest first.
 TAILS = (16, 11, 8, 6, 4, 3, 2)
 #: A shorter value may be how any sentence begins, so it is judged by its tails alone, not by longer copies.
 PREFIX = 16
-#: Places in the bit tables that tell which hashes are looked for: SPARSE for each hash, between these bounds. A full table
-#: lets more pieces through to the exact join and changes no result.
-SPARSE, FEWEST, MOST = 16, 1 << 16, 1 << 31
 #: Characters hashed at once.
 PART = 2_000_000
 #: Least number of other values with a tail for it to count, and least share that goes on.
@@ -129,7 +126,7 @@ class Joined:
                 if j + 1 in TAILS:
                     x = mix(mix(h) + _seed(group, j + 1))
                     if want is not None:
-                        hit = _test(want, x)
+                        hit = in_table(want, x)
                         at, h, x = at[hit], h[hit], x[hit]
                     if len(at):
                         yield j + 1, at, x
@@ -162,28 +159,12 @@ def _continuations(group: str, texts: list[str], want: np.ndarray, wholes: np.nd
             yield h, np.zeros(len(h), dtype=np.int32), x.goes_on(at, True)
         at = inner[x.offset[inner] >= PREFIX - 1]
         h = x.prefixes(group, at)
-        hit = _test(wholes, h)
+        hit = in_table(wholes, h)
         at, h = at[hit], h[hit]
         go = x.goes_on(at, False)
         yield h[go], (x.offset[at[go]] + 1).astype(np.int32), np.ones(int(go.sum()), dtype=bool)
 
 
-def _test(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(8 * len(bits) - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def _bits(df: DataFrame, column: str) -> np.ndarray:
-    """Which places the hashes in ``column`` take in a table of bits sized by their number. At most ``MOST`` / 8 bytes reach the driver."""
-    n = df.count() * SPARSE
-    size = min(MOST, max(FEWEST, 1 << max(n - 1, 1).bit_length()))
-    place = F.pmod(F.col(column), F.lit(size))
-    rows = df.select(place.alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(p % 8 as int)))").alias("byte")).toArrow()
-    out = np.zeros(size // 8, dtype=np.uint8)
-    out[rows["at"].to_numpy()] = rows["byte"].to_numpy()
-    return out
-
-
 def truncated_values(df: DataFrame, group: str, key: str, text: str, probe: str | None = None) -> DataFrame:
     """``group, key`` (as strings) of the values that break off inside a word or a sentence; each once.
 
@@ -224,8 +205,8 @@ def truncated_values(df: DataFrame, group: str, key: str, text: str, probe: str
     distinct = tail.where("state = 'open'").groupBy("g", "whole", "len").agg(F.first("hs").alias("hs"), F.bool_and("probe").alias("probe"))
     distinct = materialize(distinct, "tail-values")
     each = distinct.select("g", "whole", "len", "probe", F.posexplode("hs").alias("k", "h"))
-    want = sc.broadcast(_bits(each.select("h").distinct(), "h"))
-    wholes = sc.broadcast(_bits(distinct.where(F.col("len") >= PREFIX), "whole"))
+    want = sc.broadcast(bit_table(each.select("h").distinct(), "h"))
+    wholes = sc.broadcast(bit_table(distinct.where(F.col("len") >= PREFIX), "whole"))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How often looked-for tails go on (c) among all (n), and values that a longer copy goes on after."""

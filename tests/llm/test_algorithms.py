@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.llm import setjoin
+from lodestream.llm import capping, duplicates, setjoin
 from lodestream.llm.capping import cap_contributors, usable_judgments
 from lodestream.llm.duplicates import cross_split_pairs, duplicate_pairs, near_duplicates, split_class
 from lodestream.llm.queries import oracle_sql, queries
@@ -43,6 +43,15 @@ def test_capping_equals_brute_force(spark, limit, salts, bins):
     assert sorted(((r[0], r[1], r[3]) for r in got.collect()), key=str) == want
 
 
+def test_capping_by_ranges_equals_brute_force(spark, monkeypatch):
+    """All of one quality, so that the cutoff bin holds whole contributors."""
+    monkeypatch.setattr(capping, "LEADERS", 0)
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["hot", "hot", "hot", "b", None]), f"p{rnd.randrange(250):04}", rnd.choice([0.5, 0.5, 0.5, 0.9]), 1, 2, "x") for _ in range(500)]
+    got = cap_contributors(spark.createDataFrame(rows, ROWS), "contributor", "pair_id", "q", max_count=90, salts=3)
+    assert sorted(((r[0], r[1], r[3]) for r in got.collect()), key=str) == ranked(rows, 90)
+
+
 def test_capping_by_share_and_empty(spark):
     df = spark.createDataFrame([("a", f"p{i}", i / 10, 0, 0, "") for i in range(8)] + [("b", "x", 1.0, 0, 0, ""), ("b", "y", 1.0, 0, 0, "")], ROWS)
     got = cap_contributors(df, "contributor", "pair_id", "q", max_share=0.3)
@@ -141,10 +150,11 @@ def test_empty_and_split_names(spark):
 
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
+    mark = lambda v: np.frombuffer(setjoin.sketches(np.zeros(len(v), dtype=np.int64), v, np.array([len(v)]))[0].as_py(), dtype=np.uint64)
     for n in (3, 100, 200, 500, 3000):
-        a = rng.integers(0, 2**63, n).astype(np.uint64)
-        b = np.concatenate([a[: n // 2], rng.integers(0, 2**63, n // 2).astype(np.uint64)])
-        x, y = (np.frombuffer(setjoin.sketch(np.unique(v)), dtype=np.uint64) for v in (a, b))
+        a = rng.integers(0, 2**52, n).astype(np.uint64)
+        b = np.concatenate([a[: n // 2], rng.integers(0, 2**52, n // 2).astype(np.uint64)])
+        x, y = (mark(np.unique(v)) for v in (a, b))
         while len(x) > len(y):
             x = x[: len(x) // 2] ^ x[len(x) // 2 :]
         while len(y) > len(x):
@@ -152,15 +162,33 @@ def test_sketches_bound_the_difference():
         assert np.bitwise_count(x ^ y).sum() <= len(set(a) ^ set(b))
 
 
-def test_segments_are_apart_and_cheapest():
-    rng = np.random.default_rng(2)
-    for length in (36, 47, 60, 100, 333):
-        cost = rng.integers(0, 50, length - setjoin.SEGMENT + 1).astype(float)
-        s = setjoin.segments(cost, length)
-        assert len(s) == length // 12 + 1 and (np.diff(s) >= 9).all() and s[0] >= 0 and s[-1] + 7 <= length
-    cost = np.array([5, 1, 9, 2, 9, 9, 9, 9, 9, 9, 0, 9, 9, 3, 9, 9, 9, 9, 9, 9.0])
-    best = min(sum(cost[i] for i in c) for c in itertools.combinations(range(20), 3) if all(b - a >= 9 for a, b in itertools.pairwise(c)))
-    assert cost[setjoin.segments(cost, 26)].sum() == best
+def test_short_lists_and_occurrences():
+    """The more it costs to probe a list, the fewer are left to probe; T - L never falls with the size of a text."""
+    n = np.arange(1, 400)
+    for ratio in (1.0, 1.14, 2.0):
+        short, want = setjoin.short_lists(n, 0.5, ratio)
+        least = np.ceil(n / 2)
+        assert (want >= 1).all() and (np.diff(want) >= 0).all() and (short == n - (least - want)).all()
+    assert (setjoin.short_lists(n, 0.5, 1.0)[1] == 1).all() and setjoin.short_lists(n, 0.5, 1.14)[1][110] > 5
+    assert setjoin.cost_ratio(10**6) > setjoin.cost_ratio(10) > 1
+
+
+@pytest.mark.parametrize("mu", [0.0, 0.05])
+def test_any_number_of_probed_lists_gives_all_pairs(spark, monkeypatch, mu):
+    monkeypatch.setattr(setjoin, "MU", mu)
+    rows = corpus(4)
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], FRAME)
+    assert {tuple(r) for r in duplicate_pairs(df).collect()} == brute(rows)
+
+
+def test_large_classes_in_blocks(spark, monkeypatch):
+    rows = corpus(6)
+    df = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], FRAME)
+    want = {tuple(r) for r in cross_split_pairs(df).collect()}
+    monkeypatch.setattr(duplicates, "BLOCK", 2)
+    got = duplicate_pairs(df)
+    assert {tuple(r) for r in got.collect()} == brute(rows) and got.count() == len(brute(rows))
+    assert {tuple(r) for r in cross_split_pairs(df).collect()} == want
 
 
 def test_links_query(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestream.llm import leaks, mixing
 from lodestream.llm.defects import first_defect, label_model, language, response_defects
 from lodestream.llm.leaks import leaked_items, template
-from lodestream.llm.lookalike import SpellingTrie, consistent, fold, hidden_spans
+from lodestream.llm.lookalike import SpellingTrie, consistent, consistent_spans, fold, hidden_spans, skeleton, spellings
 from lodestream.llm.mixing import flight, land, mix_shares, mix_sources, plan_mix
 from lodestream.llm.queries import queries
 from lodestream.llm.reading import reading_levels
@@ -99,13 +99,8 @@ def test_language(text, want):
 def test_lookalikes(spark):
     assert fold("ＡΒ​С１㎎⽤é") == "ABC1mg用é"
     trie = SpellingTrie(["ABC", "mg", "café"])
-    assert trie.find("А​ВС") == "ABC" and trie.find("㎎") == "mg" and trie.find("café") == "café" and trie.find("abc") is None
+    assert consistent("", trie) == "" and trie.find("А​ВС") == "ABC" and trie.find("㎎") == "mg" and trie.find("café") == "café" and trie.find("abc") is None
     assert trie.find("ABX", budget=1.0) == "ABC" and trie.find("AC", budget=1.0) == "ABC"
-    rnd = random.Random(4)
-    alphabet = "aА​οé１㎎，,用⽤ 　\xa0"
-    for _ in range(500):
-        t = "".join(rnd.choices(alphabet, k=12))
-        assert consistent(t, trie) == fold(t)
     case = "近7天胸闷，用过A药。 CREME样"
     spans = [("E1", "近７天​胸闷"), ("E2", "近7天胸闷"), ("E3", "creme样"), ("E4", "用过А药"), ("E5", "用过B药"), ("E6", None), ("E7", "​"), ("E8", ""), ("E9", "长" * 100_000), (None, "⽤过A药")]
     a = spark.createDataFrame([("s", {"evidence": spans}, "q"), ("t", {"evidence": None}, "q"), ("gone", {"evidence": spans}, "q"), (None, None, "q")], "source_id string, target struct<evidence:array<struct<id:string,span:string>>>, span string")
@@ -114,6 +109,22 @@ def test_lookalikes(spark):
     assert hidden_spans(a.where("false"), c).count() == 0
 
 
+def test_vocabulary_decides_between_twins(spark):
+    """l, I and 1, and O and 0 are left as they are by the table; the most frequent spelling of the corpus decides."""
+    assert fold("HlNl") == "HlNl" and skeleton("HlNl") == skeleton("ＨINI") == skeleton("H1N1")
+    rows = [("s", "既往感染H1N1，吸入CO2，1型，用药l0ml"), ("t", "曾有HINI感染，用药10ml，C02升高，10ml"), ("u", "H1N1阳性，CO2正常，只写一次的Ola")]
+    c = spark.createDataFrame(rows, "source_id string, case_text string")
+    words = spellings(c, "case_text")
+    assert words == ["10ml", "CO2", "H1N1"]
+    trie = SpellingTrie(words)
+    assert consistent("Н​lＮ1与C０2，I型，OIa", trie) == "H1N1与CO2,I型,OIa"
+    spans = [("E1", "HlNl"), ("E2", "I型"), ("E3", "Ｉ0ml"), ("E4", "co2"), ("E5", "H1N2")]
+    a = spark.createDataFrame([("s", {"evidence": spans})], "source_id string, target struct<evidence:array<struct<id:string,span:string>>>")
+    assert {tuple(r) for r in hidden_spans(a, c).collect()} == {("s", "E1"), ("s", "E3")}
+    x = {r["evidence_id"]: r for r in consistent_spans(a, c).collect()}
+    assert {k for k, r in x.items() if r["found_same"]} == {"E1", "E3"} and x["E1"]["span_same"] == "H1N1"
+
+
 @pytest.mark.parametrize("most", [20_000, 0])
 def test_leaks_equal_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(leaks, "BROADCAST_ITEMS", most)
@@ -147,6 +158,17 @@ def test_leaks_without_a_common_template_window(spark, monkeypatch, most):
     assert {(r["doc_id"], r["id"]) for r in got.collect()} == {(1, "short"), (2, "short"), (1, "half"), (2, "half")}
 
 
+def test_slots_must_be_replaced_consistently(spark):
+    """A re-parameterised copy puts one value wherever the item has one; other numbers in another order are no copy of it."""
+    q = "张先生36岁，血压150mmHg，服药后血压150mmHg，心率88次，体温36度，张先生现在最应该做的检查是哪一项"
+    fits = q.replace("张先生", "李女士").replace("36", "51").replace("150", "170").replace("88", "90")
+    not_fits = q.replace("36岁", "51岁").replace("服药后血压150", "服药后血压120").replace("150mmHg，服", "170mmHg，服")
+    docs = spark.createDataFrame([(1, "题目：" + fits), (2, not_fits)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["kind"] for r in leaked_items(docs, spark.createDataFrame([("e", q)], "id string, question string"), "doc_id", "text", "id", "question", share=0.99).collect()}
+    assert got == {1: "reparameterised"}
+    assert template("张某某36岁查wbc11mg") == ("@#岁查@#~", ["张某某", "36", "wbc", "11mg"])
+
+
 def test_reparameterised_question(spark):
     q = "患者41岁，总觉得下颌角瘙痒五年，肛周连着胸骨后都钝痛，偶有大便不成形，体检RF 100.7ng/mL，血压123/95mmHg，既往有心房颤动15年，对判断预后最有价值的指标是"
     other = q
@@ -188,6 +210,8 @@ def test_mix(spark, monkeypatch):
     got = mix.toPandas()
     assert got[got["source"] == "a"]["copies"].max() <= 2 and got["copies"].max() <= 3 and set(got["source"]) == {"a", "b"}
     assert {r["source"]: round(r["actual_share"], 2) for r in mix_shares(mix, t).collect()} == {"a": 0.4, "b": 0.6}
+    full = {r["source"]: r for r in mix_shares(mix_sources(docs, t, total=2.0, relative=True), t).collect()}
+    assert full["a"]["most_copies"] == 2 and full["b"]["most_copies"] == 3
     again = mix_sources(docs.repartition(7), t).toPandas()
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, again.values.tolist()))
     assert mix_sources(docs.where("false"), t).count() == 0 and mix_sources(docs, t.where("false")).count() == 0
