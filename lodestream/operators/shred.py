@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from lodestream.session import materialize, spread
 
 NODES = "doc_key bigint, table_name string, node_id string, parent_table string, parent_id string, ord int, fields map<string,string>"
 DELIMITERS = re.compile(r"[,;|，；、\s]+")
+TOKEN = re.compile(r"[\w.:#/-]{1,64}")
 #: More distinct paths than this mean that keys are data, not schema.
 MAX_PATHS = 20_000
 
@@ -59,22 +61,27 @@ def _below(path: str, key: str) -> str:
     return ".".join(parts[: parts.index(key) + 1]) if key in parts else ".".join([*parts, key])
 
 
-def _facts(value: object, path: str, out: set[tuple[str, str, str]]) -> None:
+def _facts(value: object, path: str, out: set[tuple[str, str, str]], known: dict[tuple[str, str], str]) -> None:
+    """Add the keys and lists of a value; ``known`` has the path below each (path, key) met so far."""
     stack = [(value, path)]
     while stack:
         v, p = stack.pop()
-        v = _opened(v)
+        if isinstance(v, str):
+            v = _opened(v)
         if isinstance(v, dict):
             for k, x in v.items():
-                key = k.replace(".", "_")
-                out.add((p, "key", key))
-                q = _below(p, key)
-                if q != (f"{p}.{key}" if p else key):
-                    out.add((q, "list", ""))  # recursive
-                stack.append((x, q))
+                q = known.get((p, k))
+                if q is None:
+                    key = k.replace(".", "_")
+                    out.add((p, "key", key))
+                    q = known[p, k] = _below(p, key)
+                    if q != (f"{p}.{key}" if p else key):
+                        out.add((q, "list", ""))  # recursive
+                if isinstance(x, (dict, list, str)):
+                    stack.append((x, q))
         elif isinstance(v, list):
             out.add((p, "list", ""))
-            stack.extend((x, p) for x in v)
+            stack.extend((x, p) for x in v if isinstance(x, (dict, list, str)))
 
 
 @dataclass
@@ -83,6 +90,15 @@ class Plan:
 
     tables: set[str] = field(default_factory=set)
     alias: dict[str, str] = field(default_factory=dict)
+    _children: dict[tuple[str, str], tuple[str, bool]] = field(default_factory=dict)
+
+    def child(self, path: str, key: str) -> tuple[str, bool]:
+        """(path of a child by its key, whether it has a table)."""
+        got = self._children.get((path, key))
+        if got is None:
+            p = self.resolve(_below(path, key.replace(".", "_")))
+            got = self._children[path, key] = (p, p in self.tables)
+        return got
 
     def resolve(self, path: str) -> str:
         """The path that stands for ``path``, aliases of its ancestors included."""
@@ -105,11 +121,12 @@ def analyse(df: DataFrame, json_col: str, alike: float = 0.5) -> Plan:
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: set[tuple[str, str, str]] = set()
+        known: dict[tuple[str, str], str] = {}
         for b in batches:
             for text in b[json_col]:
                 ok, v = parse_json(text)
                 if ok:
-                    _facts(v, "", out)
+                    _facts(v, "", out, known)
         yield pd.DataFrame(sorted(out), columns=["path", "kind", "name"])
 
     found = df.select(json_col).mapInPandas(facts, "path string, kind string, name string").distinct().limit(MAX_PATHS + 1).collect()
@@ -132,8 +149,13 @@ def analyse(df: DataFrame, json_col: str, alike: float = 0.5) -> Plan:
     return plan
 
 
-def shred(df: DataFrame, key_col: str, json_col: str, plan: Plan | None = None) -> DataFrame:
-    """All rows of all tables of a JSON column, in one frame.
+ROWS = pa.schema(
+    [("k", pa.string()), ("doc_key", pa.int64()), ("table_name", pa.string()), ("node_id", pa.string()), ("parent_table", pa.string()), ("parent_id", pa.string()), ("ord", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))]
+)
+
+
+def shred(df: DataFrame, key_col: str, json_col: str, plan: Plan | None = None, only: set[str] | None = None) -> DataFrame:
+    """All rows of all tables of a JSON column, or of the tables in ``only``, in one frame.
 
     Columns: ``key_col, doc_key, table_name, node_id, parent_table, parent_id, ord, fields``. ``doc_key`` tells apart
     payloads of one key; repeated (key, payload) rows count once. The record itself has the table ``record``.
@@ -144,32 +166,39 @@ def shred(df: DataFrame, key_col: str, json_col: str, plan: Plan | None = None)
     """
     plan = plan or analyse(df, json_col)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for key, doc, text in zip(b["k"], b["doc_key"], b["t"], strict=True):
+            for key, doc, text in zip(b.column("k").to_pylist(), b.column("doc_key").to_pylist(), b.column("t").to_pylist(), strict=True):
                 ok, top = parse_json(text)
                 if ok:
                     for i, rec in enumerate(top if isinstance(top, list) else [top]):
                         if isinstance(rec, dict):
                             _walk(plan, out, key, doc, rec, i)
-            cols = ["k", "doc_key", "table_name", "node_id", "parent_table", "parent_id", "ord", "fields"]
-            yield pd.DataFrame(out, columns=cols)
+            if only is not None:
+                out = [x for x in out if x[2] in only]
+            columns = list(zip(*out, strict=True)) or [[]] * len(ROWS)
+            columns[-1] = [list(x.items()) for x in columns[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, ROWS, strict=True)], schema=ROWS)
 
     kind = df.schema[key_col].dataType
     src = df.select(F.col(key_col).cast("string").alias("k"), F.col(json_col).alias("t")).distinct().withColumn("doc_key", F.xxhash64("t"))  # keys pass as text, exact
-    out = src.mapInPandas(rows, f"k string, {NODES}")
+    out = src.mapInArrow(rows, f"k string, {NODES}")
     return out.select(F.col("k").cast(kind).alias(key_col), *[c for c in out.columns if c != "k"])
 
 
 def _walk(plan: Plan, out: list[tuple], key: object, doc: int, rec: dict, i: int) -> None:
-    stack: list[tuple] = []
-    count: dict[tuple[str, str], int] = defaultdict(int)
+    stack: deque[tuple] = deque()
+    count: dict[tuple[str | None, str], int] = defaultdict(int)
+    child = plan.child
 
     def node(table: str, parent_table: str | None, parent_id: str | None, value: object) -> None:
-        n = count[(parent_id or "", table)] if parent_id is not None else i
-        count[(parent_id or "", table)] += 1
-        nid = f"{parent_id}/{table.rpartition('.')[2]}:{n}" if parent_id is not None else str(i)
+        if parent_id is None:
+            n, nid = i, str(i)
+        else:
+            n = count[parent_id, table]
+            count[parent_id, table] = n + 1
+            nid = f"{parent_id}/{table.rpartition('.')[2]}:{n}"
         fields: dict[str, str] = {}
         out.append((key, doc, table, nid, parent_table, parent_id, n, fields))
         path = "" if table == "record" else table
@@ -180,28 +209,36 @@ def _walk(plan: Plan, out: list[tuple], key: object, doc: int, rec: dict, i: int
 
     node("record", None, None, rec)
     while stack:
-        value, path, base, table, nid, fields = stack.pop(0)
+        value, path, base, table, nid, fields = stack.popleft()
         for k, x in value.items():
-            x = _opened(x)
+            if isinstance(x, str):
+                x = _opened(x)
             if x is None:
                 continue
-            p = plan.resolve(_below(path, k.replace(".", "_")))
-            if p in plan.tables:
-                if isinstance(x, dict) and any(plan.resolve(_below(p, c.replace(".", "_"))) == p for c in x):
-                    stack.insert(0, (x, p, base, table, nid, fields))  # a wrapper of the list
+            p, has_table = child(path, k)
+            if has_table:
+                if isinstance(x, dict) and any(child(p, c)[0] == p for c in x):
+                    stack.appendleft((x, p, base, table, nid, fields))  # a wrapper of the list
                     continue
                 items = x if isinstance(x, list) else [x]
                 if isinstance(x, str):
-                    items = [y for y in DELIMITERS.split(x) if y]
-                flat = [y for item in items for y in (item if isinstance(item, list) else [item])]
-                for item in flat:
-                    if (item := _opened(item)) is not None:
-                        node(p, table, nid, item)
+                    items = _items(x)
+                for item in items:
+                    for y in item if isinstance(item, list) else (item,):
+                        if (y := _opened(y)) is not None:
+                            node(p, table, nid, y)
             elif isinstance(x, dict):
-                stack.insert(0, (x, p, base, table, nid, fields))
+                stack.appendleft((x, p, base, table, nid, fields))
             else:
                 name = p[len(base) + 1 :] if base and p.startswith(base + ".") else p
-                fields.setdefault(name, x if isinstance(x, str) else json.dumps(x, ensure_ascii=False))
+                if name not in fields:
+                    fields[name] = x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+
+
+def _items(text: str) -> list[str]:
+    """Items of a list given as text: parts between delimiters if each is one token such as an id, else the text as one item."""
+    parts = [y for y in DELIMITERS.split(text) if y]
+    return parts if all(TOKEN.fullmatch(y) for y in parts) else [text]
 
 
 def plain_id(col: Column) -> Column:
@@ -209,6 +246,10 @@ def plain_id(col: Column) -> Column:
     return F.upper(F.regexp_replace(col, r"(?U)^[\s﻿​]+|[\s﻿​]+$", ""))
 
 
+_TARGET = "candidates.audit.parsed_output."
+TABLES = {"record", "candidates", _TARGET + "evidence", _TARGET + "critical_evidence_ids"}
+
+
 def candidate_tables(df: DataFrame, key_col: str = "raw_id", json_col: str = "payload") -> dict[str, DataFrame]:
     """Flat tables of a nested candidate payload: ``records, candidates, evidence, critical_ids``.
 
@@ -217,7 +258,7 @@ def candidate_tables(df: DataFrame, key_col: str = "raw_id", json_col: str = "pa
     form beside ``*_key``, the form in which they are compared.
     """
     src = materialize(df.select(key_col, json_col).where(F.col(json_col).isNotNull()), "shred-in")
-    nodes = materialize(shred(spread(src), key_col, json_col, analyse(spread(src), json_col)), "shred-nodes")
+    nodes = materialize(shred(spread(src), key_col, json_col, analyse(spread(src), json_col), TABLES), "shred-nodes")
     keys = [key_col, "doc_key"]
     records = nodes.where("table_name = 'record'").select(
         *keys, F.col("node_id").alias("record_node"), *[F.col("fields")[c].alias(c) for c in ("source_id", "split", "base_model")]
@@ -228,14 +269,13 @@ def candidate_tables(df: DataFrame, key_col: str = "raw_id", json_col: str = "pa
         F.col("fields")["audit.parsed_output.final_answer"].alias("final_answer"),
         F.col("fields")["audit.parsed_output.evidence_sufficiency"].alias("evidence_sufficiency"),
     )
-    target = "candidates.audit.parsed_output."
-    evidence = nodes.where(F.col("table_name") == target + "evidence").select(
+    evidence = nodes.where(F.col("table_name") == _TARGET + "evidence").select(
         *keys, F.col("parent_id").alias("candidate_node"), F.col("node_id").alias("evidence_node"), F.col("ord").alias("evidence_no"),
         *[F.col("fields")[a].alias(b) for a, b in (("id", "evidence_id"), ("span", "span"), ("importance", "importance"), ("role", "role"))],
         *[F.col("fields")[c].cast("int").alias(f"span_{c}") for c in ("start", "end")], plain_id(F.col("fields")["id"]).alias("evidence_key"),
     )
     named = F.coalesce(F.col("fields")["value"], F.col("fields")["id"])
-    critical = nodes.where(F.col("table_name") == target + "critical_evidence_ids").select(
+    critical = nodes.where(F.col("table_name") == _TARGET + "critical_evidence_ids").select(
         *keys, F.col("parent_id").alias("candidate_node"), F.col("ord").alias("critical_no"), named.alias("critical_id"), plain_id(named).alias("critical_key")
     )
     return {"records": records, "candidates": candidates, "evidence": evidence, "critical_ids": critical}
