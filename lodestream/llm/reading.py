@@ -22,7 +22,7 @@ BLOCK = 1024
 #: One in so many distinct words (by hash) is counted to size the graph.
 COUNTED = 256
 #: Widths of the character windows that serve as words, in Chinese and in Latin script.
-HAN, LATIN = (2, 3), (5, 8)
+HAN, LATIN = (2,), (5,)
 LEVELS = (1, 2, 3, 4, 5)
 #: Pull of a word's value to the mean, weight of an ungraded document, and floor of a word's variance.
 PULL, FREE, FLOOR = 0.5, 0.3, 0.15
