@@ -85,21 +85,39 @@ def length_within(prompt: Column, answer: Column, most: int) -> Column:
 
 
 _CALL = re.compile(r"<tool_call>\s*(.*?)\s*</tool_call>", re.S)
-_ACTION = re.compile(r"Action:\s*([A-Za-z0-9_-]+)\s*Action Input:\s*(.+?)(?=\s*Action:|\s*$)", re.S)
+_DECODER = json.JSONDecoder()
 TOOL_CALLS = "array<struct<name:string,arguments:string>>"
 
 
+def _dumped(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _actions(text: str) -> list[dict]:
+    """Calls in blocks of a line ``Action: name`` and a line ``Action Input: JSON``; the JSON may stand in quotes or a code fence."""
+    out = []
+    for block in text.split("Action:")[1:]:
+        name, found, given = block.partition("Action Input:")
+        name = name.strip()
+        if not found or not re.fullmatch(r"[\w-]+", name, re.A):
+            continue
+        given = given.strip().strip('"`')
+        value, _ = _DECODER.raw_decode(given.removeprefix("json").lstrip())
+        out.append({"name": name, "arguments": _dumped(value)})
+    return out
+
+
 def calls_in(text: str | None, style: str) -> list[dict] | None:
     """Tool calls of a text in order; null if there are none or one is not valid JSON (the text is then plain)."""
     try:
         if style == "tags":
             found = [json.loads(x) for x in _CALL.findall(text or "")]
-            out = [{"name": x["name"], "arguments": json.dumps(x["arguments"], ensure_ascii=False)} for x in found]
+            out = [{"name": x["name"], "arguments": _dumped(x["arguments"])} for x in found]
         elif style == "action":
-            out = [{"name": n, "arguments": json.dumps(json.loads(a.strip().strip('"').strip("```")), ensure_ascii=False)} for n, a in _ACTION.findall(text or "")]
+            out = _actions(text or "")
         else:
             got = json.loads(text or "null")
-            out = [{"name": x["name"], "arguments": json.dumps(x.get("parameters", x.get("arguments")), ensure_ascii=False)} for x in (got if isinstance(got, list) else [got])]
+            out = [{"name": x["name"], "arguments": _dumped(x.get("parameters", x.get("arguments")))} for x in (got if isinstance(got, list) else [got])]
     except (ValueError, KeyError, TypeError, AttributeError):
         return None
     return out or None

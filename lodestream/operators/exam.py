@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.stats import mcnemar, paired_interval, wilson
 from lodestream.functions.text import extract_choice, normalized_choice
 
 
+def first_rows(exam: DataFrame) -> DataFrame:
+    """One whole row a non-null id: of repeated ids one with an answer, the least in code-point order."""
+    rank = Window.partitionBy("id").orderBy(F.col("answer").asc_nulls_last(), "question", "question_type")
+    return exam.where("id is not null").withColumn("_n", F.row_number().over(rank)).where("_n = 1").drop("_n")
+
+
 def questions(exam: DataFrame) -> DataFrame:
     """One row a non-null id with ``keys``, the letters of its choices, and normalised ``gold``."""
     keys = F.array_join(F.array_sort(F.map_keys("choices")), "")
-    x = exam.where("id is not null").select("id", "exam_type", "exam_class", "exam_subject", "question_type", "question", keys.alias("keys"), normalized_choice(F.col("answer"), keys).alias("gold"))
-    return x.groupBy("id").agg(*[F.max(c).alias(c) for c in x.columns if c != "id"])
+    return first_rows(exam).select("id", "exam_type", "exam_class", "exam_subject", "question_type", "question", keys.alias("keys"), normalized_choice(F.col("answer"), keys).alias("gold"))
 
 
 def score(q: DataFrame, predictions: DataFrame) -> DataFrame:

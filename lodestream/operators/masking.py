@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.arrays import by_importance, overlapping
 from lodestream.functions.hashing import digest
-from lodestream.functions.text import delete_spans, occurrences
+from lodestream.functions.text import delete_spans, occurrences, stripped
 
 # What a clause is, and marks of a question.
-CLAUSE = r"[^，,。；;！？!?\n]+"
-QUERY_MARKS = "怎么 如何 请问 是否 是不是 什么 吗 呢 ？ ?".split()
+CLAUSE = r"[^，,。；;！？!?：:\n]+"
+QUERY_MARKS = "请问 想得到的帮助 想问 怎么办 怎么治疗 如何治疗 是否 是不是 ？ ?".split()
 
 
 def located(case: Column, evidence: Column) -> Column:
@@ -41,7 +41,7 @@ def nearest_supporting(record_id: Column, evidence: Column, seed: int = 42) -> C
 
 def random_clause(record_id: Column, case: Column, evidence: Column, aim: Column, seed: int = 42) -> Column:
     """A clause outside all evidence, unique, no question, of a length near ``aim``; null if there is none."""
-    clauses = F.transform(F.regexp_extract_all(case, F.lit(f"({CLAUSE})"), 1), lambda c: F.trim(c))
+    clauses = F.filter(F.transform(F.regexp_extract_all(case, F.lit(f"({CLAUSE})"), 1), stripped), lambda c: c != "")
     low, high = F.greatest(F.lit(2), F.floor(aim * 0.5)), F.greatest(aim * 2, aim + 8)
     at = F.transform(F.array_distinct(clauses), lambda c: F.struct(c.alias("span"), (F.position(c, case) - 1).alias("s"), (F.position(c, case) - 1 + F.length(c)).alias("e")))
     asks = "|".join(m if m != "?" else r"\?" for m in QUERY_MARKS)
@@ -50,24 +50,31 @@ def random_clause(record_id: Column, case: Column, evidence: Column, aim: Column
     return F.array_min(ranked)
 
 
+def once(*columns: Column) -> Column:
+    """Generator of one row with the values of the columns: what follows reads them, instead of computing them again at each use."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def mask_variants(audited: DataFrame, candidate: DataFrame, seed: int = 42) -> DataFrame:
-    """``source_id, variant_id, mask_type, removed, case_text``: up to three masked copies of each eligible record.
+    """``source_id, split, variant_id, mask_type, removed, case_text``: up to three masked copies of each eligible record.
 
-    critical removes the critical span, supporting the supporting span nearest to it in length, random a clause outside the
-    evidence. Evidence is located by text, as stored offsets may be missing. One record a source_id is taken.
+    Eligible are accepted records with one critical and at least one supporting item, none overlapping. critical removes the
+    critical span, supporting the supporting span nearest to it in length, random a clause outside the
+    evidence. Evidence is located by text, as stored offsets may be missing. Of several targets of a source_id the earliest counts, and the
+    case that was loaded first. Records without a case or evidence give none.
     """
-    case = candidate.where("case_text is not null").groupBy("source_id").agg(F.max("case_text").alias("case_text"))
-    rows = audited.where("source_id is not null and target.evidence is not null").groupBy("source_id").agg(F.min(F.struct("target.evidence")).alias("t"))
-    x = rows.join(case, "source_id").select("source_id", "case_text", located(F.col("case_text"), F.filter(F.col("t.evidence"), lambda e: e["id"].isNotNull())).alias("evidence"))
+    case = candidate.where("case_text is not null and source_id is not null").groupBy("source_id").agg(F.min(F.struct("loaded_at", "case_text")).alias("c"))
+    rows = audited.where("source_id is not null and target.evidence is not null and validation_status = 'accepted'").groupBy("source_id").agg(F.min(F.struct("created_at", "split", "target.evidence")).alias("t"))
+    x = rows.join(case, "source_id").select("source_id", "t.split", "c.case_text", F.filter("t.evidence", lambda e: e["id"].isNotNull()).alias("stored"))
+    x = x.select("source_id", "split", "case_text", once(located(F.col("case_text"), F.col("stored")).alias("evidence")))
     x = x.where(eligible(F.col("case_text"), F.col("evidence")))
-    crit = F.element_at(by_importance(F.col("evidence"), "critical"), 1)
-    sup = nearest_supporting(F.col("source_id"), F.col("evidence"), seed)
-    rnd = random_clause(F.col("source_id"), F.col("case_text"), F.col("evidence"), F.length(crit["span"]), seed)
-    one = lambda kind, letter, c, i: F.struct(F.lit(kind).alias("mask_type"), F.concat(F.col("source_id"), F.lit(f"::{letter}:"), i).alias("variant_id"), c["span"].alias("removed"), c["span_start"].alias("span_start"), c["span_end"].alias("span_end"))
-    kinds = F.array(one("critical", "C", crit, crit["id"]), one("supporting", "S", sup, sup["id"]), one("random", "R", rnd, F.lit("R1")))
-    v = x.select("source_id", "case_text", F.explode(F.filter(kinds, lambda k: k["removed"].isNotNull())).alias("k"))
-    masked = delete_spans(F.col("case_text"), F.array(F.struct(F.col("k.span_start").alias("span_start"), F.col("k.span_end").alias("span_end"))))
-    v = v.select("source_id", "k.variant_id", "k.mask_type", "k.removed", masked.alias("case_text"))
+    aim = F.length(F.element_at(by_importance(F.col("evidence"), "critical"), 1)["span"])
+    found = [F.element_at(by_importance(F.col("evidence"), "critical"), 1).alias("crit"), nearest_supporting(F.col("source_id"), F.col("evidence"), seed).alias("sup"), random_clause(F.col("source_id"), F.col("case_text"), F.col("evidence"), aim, seed).alias("rnd")]
+    x = x.select("source_id", "split", "case_text", once(*found))
+    one = lambda kind, letter, c, i: F.struct(F.lit(kind).alias("mask_type"), F.concat(F.col("source_id"), F.lit(f"::{letter}:"), i).alias("variant_id"), F.col(c)["span"].alias("removed"), F.col(c)["span_start"].alias("span_start"), F.col(c)["span_end"].alias("span_end"))
+    kinds = F.array(one("critical", "C", "crit", F.col("crit.id")), one("supporting", "S", "sup", F.col("sup.id")), one("random", "R", "rnd", F.lit("R1")))
+    v = x.select("source_id", "split", "case_text", F.inline(kinds)).where("removed is not null")
+    v = v.select("source_id", "split", "variant_id", "mask_type", "removed", once(delete_spans(F.col("case_text"), F.array(F.struct("span_start", "span_end"))).alias("case_text")))
     return v.where((F.col("case_text") != "") & ~F.contains("case_text", "removed"))
 
 

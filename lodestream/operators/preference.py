@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.hashing import first_position, stable_id, stable_number
+from lodestream.functions.hashing import stable_id, stable_number
 
 # Dimensions of a judgment with their highest scores, its decisions and failure codes.
 SCORES = {"medical_correctness": 3, "evidence_faithfulness": 3, "answer_completeness": 3, "calibration": 3, "missing_information": 2, "actionability_safety": 2, "expression": 1}
 DECISIONS = ("A_better", "B_better", "tie", "both_bad", "unjudgeable")
 FAILURES = ("H1", "H2", "H3", "H4", "H5", "H6")
-PAIR_GROUPS = {"target_vs_model": "target_vs_model", "target_vs_new": "target_vs_model", "model_vs_model": "model_vs_model", "best_existing_vs_new": "model_vs_model", "controlled_negative": "controlled_negative"}
+PAIR_GROUPS = {
+    "target_vs_model": "target_vs_model",
+    "model_vs_model": "model_vs_model",
+    "controlled_negative": "controlled_negative",
+    "target_vs_new": "target_vs_model",
+    "best_existing_vs_new": "model_vs_model",
+}
 ANSWER_FIELDS = ("missing_information", "clinical_reasoning", "final_answer")
 
 
+def pair_group(kind: Column) -> Column:
+    """The group whose quota a pair type counts for; null for unknown types."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in PAIR_GROUPS.items() for x in kv]), kind)
+
+
 def score_total(scores: Column) -> Column:
     """Sum over the dimensions; null scores give null."""
     return F.aggregate(F.map_values(scores), F.lit(0), lambda a, x: a + x)
@@ -74,36 +88,47 @@ def swapped(j: Column) -> Column:
 
 
 def reconcile(first: Column, second: Column, min_confidence: float = 0.85, min_margin: int = 2, b_confidence: float = 0.9, b_direction: float = 1, b_average: float = 2.0) -> tuple[Column, Column]:
-    """(tier, reason) of two valid judgments of one pair, the second with swapped sides.
+    """(tier, reason) of two judged rows of one pair, the second with swapped sides.
 
-    Tier A: the second picks the same answer with confidence, margin and without a hard failure on it. Tier B: both confident,
-    scores lean the same way, mean margin large enough and no hard failure. Else the first reason that fails.
+    A row is a struct of status, source_id, split, judge_model and j (its judgment); a null second row is missing. The first must pass
+    all gates on its own, the second be valid and of the same pair and judge. Tier A: the second picks the same answer with confidence, margin and
+    without a hard failure on it. Tier B: both confident, scores lean the same way, mean margin large enough and no hard
+    failure. Else the first reason that fails, with original: or swap: before the reasons of one row.
     """
-    s = swapped(second)
-    side = winner(first["decision"])
-    lean = lambda j: F.when(side == "a", score_total(j["scores"]["a"]) - score_total(j["scores"]["b"])).otherwise(score_total(j["scores"]["b"]) - score_total(j["scores"]["a"]))
-    hard = lambda j: F.when(side == "a", F.size(j["hard_failures"]["a"])).otherwise(F.size(j["hard_failures"]["b"])) > 0
-    strict = (winner(s["decision"]) == side) & (s["confidence"] >= min_confidence) & (lean(s) >= min_margin) & ~hard(s)
-    sure = (first["confidence"] >= b_confidence) & (s["confidence"] >= b_confidence)
-    same = (lean(first) >= b_direction) & (lean(s) >= b_direction)
-    far = (lean(first) + lean(s)) / 2.0 >= b_average
-    strict = F.coalesce(strict, F.lit(False))
+    j, other = first["j"], second["j"]
+    gate = qualification(first["status"], j, min_confidence, min_margin)
+    same_pair = first["source_id"].eqNullSafe(second["source_id"]) & first["split"].eqNullSafe(second["split"])
+    s = swapped(other)
+    side = winner(j["decision"])
+    lean = lambda x: F.when(side == "a", score_total(x["scores"]["a"]) - score_total(x["scores"]["b"])).otherwise(score_total(x["scores"]["b"]) - score_total(x["scores"]["a"]))
+    hard = lambda x: F.when(side == "a", F.size(x["hard_failures"]["a"])).otherwise(F.size(x["hard_failures"]["b"])) > 0
+    strict = F.coalesce((winner(s["decision"]) == side) & (s["confidence"] >= min_confidence) & (lean(s) >= min_margin) & ~hard(s), F.lit(False))
+    sure = (j["confidence"] >= b_confidence) & (s["confidence"] >= b_confidence)
+    same = (lean(j) >= b_direction) & (lean(s) >= b_direction)
+    far = (lean(j) + lean(s)) / 2.0 >= b_average
     reason = (
-        F.when(strict, "strict_bidirectional_decision").when(~sure, "tier_b:low_confidence").when(~same, "tier_b:score_direction_inconsistent")
-        .when(~far, "tier_b:low_average_margin").when(hard(first) | hard(s), "tier_b:winner_hard_failure").otherwise("score_consistent_bidirectional")
+        F.when(gate != "qualified", F.concat(F.lit("original:"), gate)).when(second.isNull(), "swap:missing").when(~same_pair, "swap:metadata_mismatch")
+        .when(~second["status"].eqNullSafe(F.lit("ok")), "swap:not_ok").when(F.size(judgment_errors(other)) > 0, "swap:invalid_judgment")
+        .when(first["judge_model"].isNotNull() & ~first["judge_model"].eqNullSafe(second["judge_model"]), "swap:judge_model_mismatch")
+        .when(strict, "strict_bidirectional_decision").when(~sure, "tier_b:low_confidence").when(~same, "tier_b:score_direction_inconsistent")
+        .when(~far, "tier_b:low_average_margin").when(hard(j) | hard(s), "tier_b:winner_hard_failure").otherwise("score_consistent_bidirectional")
     )
-    return F.when(strict, "A").when(reason == "score_consistent_bidirectional", "B"), reason
-
-
-def double_presentation(first_winner: Column, second_winner: Column) -> Column:
-    """The winner both presentations agree on, or inconsistent."""
-    return F.when(first_winner.eqNullSafe(second_winner), first_winner).otherwise("inconsistent")
+    return F.when(reason == "strict_bidirectional_decision", "A").when(reason == "score_consistent_bidirectional", "B"), reason
 
 
 def make_pair(source_id: Column, kind: Column, x: Column, y: Column, seed: int = 42) -> Column:
     """Struct pair_id, a, b: two candidates in a blind order by hash."""
-    x_first = first_position(source_id, kind, F.lit("position"), seed=seed)
-    return F.struct(stable_id("pair", source_id, kind, x, y, seed=seed).alias("pair_id"), F.when(x_first, x).otherwise(y).alias("a"), F.when(x_first, y).otherwise(x).alias("b"))
+    pair_id = stable_id("pair", source_id, kind, x, y, seed=seed)
+    x_first = stable_number(pair_id, "blind_position", seed=seed) % 2 == 0
+    return F.struct(pair_id.alias("pair_id"), F.when(x_first, x).otherwise(y).alias("a"), F.when(x_first, y).otherwise(x).alias("b"))
+
+
+# Texts of the answer-level defects that are written on purpose: missing information, reasoning and answer.
+NEGATIVES = {
+    "overconfident_answer": ([], "现有资料已经足以形成明确判断，不需要再核对关键病史、体征或检查结果。", "根据当前描述已经可以得出确定结论，无需补充关键检查或病史，可直接按照该判断处理。"),
+    "unnecessary_uncertainty": (["仍需补充所有相关病史和检查后才能进行任何判断"], "虽然现有证据已经较充分，但仍拒绝基于这些信息形成有针对性的判断或建议。", "目前完全无法提供任何有针对性的结论或下一步建议，只能等待更多信息后再作判断。"),
+    "generic_non_answer": (None, "未结合病例中的关键证据进行分析，仅给出缺乏针对性的笼统建议。", "建议结合自身情况继续观察，并在需要时咨询专业人员以获得进一步帮助和处理建议。"),
+}
 
 
 def controlled_negative(source_id: Column, sufficiency: Column, seed: int = 42) -> Column:
@@ -112,29 +137,49 @@ def controlled_negative(source_id: Column, sufficiency: Column, seed: int = 42)
     return F.when(pick, F.when(sufficiency == "sufficient", "unnecessary_uncertainty").otherwise("overconfident_answer")).otherwise("generic_non_answer")
 
 
+def negative_answer(target: Column, defect: Column) -> Column:
+    """Struct of the answer fields (missing_information, clinical_reasoning, final_answer) of a target with a defect written into them.
+
+    A defect that says nothing of missing information leaves the target's own. Unknown defects give null.
+    """
+    fields = []
+    for i, name in enumerate(ANSWER_FIELDS):
+        value = None
+        for k, texts in NEGATIVES.items():
+            new = target[name] if texts[i] is None else F.array(*[F.lit(x) for x in texts[i]]).cast("array<string>") if i == 0 else F.lit(texts[i])
+            value = F.when(defect == k, new) if value is None else value.when(defect == k, new)
+        fields.append(value.alias(name))
+    return F.when(defect.isin(*NEGATIVES), F.struct(*fields))
+
+
 def select_pairs(pairs: DataFrame, target: int, weights: dict[str, float], per_source: int = 2, low: float = 0.45, high: float = 0.55, tier_b: float = 0.2) -> DataFrame:
     """``split, pair_id, pair_type, source_id, position, tier``: the largest feasible selection of each split, at most ``target``.
 
     Columns of ``pairs``: split, pair_id, pair_type, source_id, position (a or b), tier, confidence, margin. Types get
-    largest-remainder quotas of the weights, each split between the positions within ``low`` to ``high``; at most ``per_source`` pairs
+    largest-remainder quotas of the weights; those of natural types are split between the positions within ``low`` to ``high``, and at
+    most a tenth are controlled; at most ``per_source`` pairs
     a source; of the natural pairs at most the share ``tier_b`` is of tier B. Pairs are taken by tier, confidence and margin,
-    highest first, then by the greater pair_id. The choice depends on all earlier ones, so a split is one task; it gets
+    highest first, then by the greater pair_id, once with either natural type first. The choice depends on all earlier ones, so a split is one task; it gets
     only the best pairs that could enter: ``target`` of each type, position and tier after a source's best ``per_source``.
+    Null tiers count as A. An empty selection gives no rows.
     """
-    from pyspark.sql import Window
-
     best = [F.asc("tier"), F.desc("confidence"), F.desc("margin"), F.desc("pair_id")]
     cells = Window.partitionBy("split", "pair_type", "position", "tier")
-    x = pairs.where(F.col("pair_type").isin(*weights))
+    x = pairs.where(F.col("pair_type").isin(*weights)).withColumn("tier", F.coalesce("tier", F.lit("A")))
     x = x.withColumn("_s", F.row_number().over(Window.partitionBy("split", "pair_type", "position", "tier", "source_id").orderBy(*best))).where(F.col("_s") <= per_source)
     x = x.withColumn("_c", F.row_number().over(cells.orderBy(*best))).where(F.col("_c") <= target * per_source).drop("_s", "_c")
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("pair_id", ascending=False).sort_values(["tier", "confidence", "margin"], ascending=[True, False, False], kind="stable")
+        b = b.sort_values("pair_id", ascending=False).sort_values(["confidence", "margin"], ascending=False, kind="stable").sort_values("tier", key=lambda t: t == "B", kind="stable").reset_index(drop=True)
+        cells = _Cells(b, weights)
         for size in range(min(target, len(b)), 0, -1):
-            got = _attempt(b, size, weights, per_source, low, high, tier_b)
-            if got is not None:
-                return b.loc[got, cols]
+            quotas = type_quotas(size, weights)
+            if quotas.get(CONTROLLED, 0) > int(size * MOST_CONTROLLED + 1e-9) or not cells.enough(quotas, low, high):
+                continue
+            for order in itertools.permutations(sorted(k for k in weights if k != CONTROLLED)):
+                got = cells.attempt(quotas, (*order, CONTROLLED), per_source, low, high, tier_b)
+                if got is not None:
+                    return b.loc[got, cols]
         return b.iloc[:0][cols]
 
     cols = ["split", "pair_id", "pair_type", "source_id", "position", "tier"]
@@ -150,36 +195,77 @@ def type_quotas(size: int, weights: dict[str, float]) -> dict[str, int]:
     return base
 
 
-def _attempt(b: pd.DataFrame, size: int, weights: dict[str, float], per_source: int, low: float, high: float, tier_b: float) -> list | None:
-    """Row labels of a selection of exactly ``size`` pairs, or None. Rare types choose first; A-counts nearest to half first."""
-    quotas = type_quotas(size, weights)
-    have = b["pair_type"].value_counts()
-    if any(have.get(k, 0) < q for k, q in quotas.items()):
-        return None
-    allowed_b = int(sum(q for k, q in quotas.items() if k != "controlled_negative") * tier_b)
-    used: dict[str, int] = {}
-    taken: list = []
-    spent = 0
-    for kind in sorted(quotas, key=lambda k: (have.get(k, 0) / max(1, quotas[k]), k)):
-        q = quotas[kind]
-        lo, hi = int(-(-q * low // 1)), int(q * high)
-        options = sorted(range(lo, hi + 1), key=lambda a: (abs(a - q // 2), a)) or [q // 2]
-        for n_a in options:
-            trial, count, b_spent, ok = [], dict(used), spent, True
-            for pos, need in (("a", n_a), ("b", q - n_a)):
-                for i, row in b[(b["pair_type"] == kind) & (b["position"] == pos)].iterrows():
-                    if need == 0:
-                        break
-                    late = row["tier"] == "B"
-                    if count.get(row["source_id"], 0) < per_source and not (late and b_spent >= allowed_b):
-                        trial.append(i)
-                        count[row["source_id"]] = count.get(row["source_id"], 0) + 1
-                        b_spent += late
-                        need -= 1
-                ok = ok and need == 0
-            if ok:
-                taken, used, spent = taken + trial, count, b_spent
-                break
-        else:
-            return None
-    return taken
+CONTROLLED, MOST_CONTROLLED = "controlled_negative", 0.10
+
+
+class _Cells:
+    """The pairs of one split by type and position, best first, as (row, source, of tier B)."""
+
+    def __init__(self, b: pd.DataFrame, weights: dict[str, float]) -> None:
+        source = pd.factorize(b["source_id"])[0].tolist()
+        self.cells: dict[tuple[str, str], list[tuple[int, int, bool]]] = {(k, p): [] for k in weights for p in ("a", "b", "")}
+        for i, kind, pos, late in zip(range(len(b)), b["pair_type"], b["position"], (b["tier"] == "B").tolist(), strict=True):
+            self.cells[kind, "" if kind == CONTROLLED else pos].append((i, source[i], late))
+
+    def shares(self, kind: str, quota: int, low: float, high: float) -> list[int]:
+        """Numbers of pairs in position a that the cells can give, nearest to half first."""
+        lo, hi = math.ceil(quota * low), math.floor(quota * high)
+        if lo > hi:
+            return []
+        aim = min(max(quota // 2, lo), hi)
+        n_a, n_b = len(self.cells[kind, "a"]), len(self.cells[kind, "b"])
+        return sorted((n for n in range(lo, hi + 1) if n <= n_a and quota - n <= n_b), key=lambda n: (abs(n - aim), n))
+
+    def enough(self, quotas: dict[str, int], low: float, high: float) -> bool:
+        """Whether each type has pairs enough, whatever their sources and tiers."""
+        return all(len(self.cells[k, ""]) >= q if k == CONTROLLED else bool(self.shares(k, q, low, high)) for k, q in quotas.items())
+
+    def attempt(self, quotas: dict[str, int], order: tuple[str, ...], per_source: int, low: float, high: float, tier_b: float) -> list[int] | None:
+        """Rows of a selection that meets all quotas, or None; types choose in the given order, and do not choose again."""
+        allowed = math.floor(sum(q for k, q in quotas.items() if k != CONTROLLED) * tier_b)
+        used: dict[int, int] = {}
+        taken: list[int] = []
+        spent = 0
+
+        def take(cell: list[tuple[int, int, bool]], need: int) -> tuple[list[int], dict[int, int], int] | None:
+            rows, more, late = [], {}, 0
+            for i, src, b_tier in cell:
+                if len(rows) == need:
+                    break
+                if used.get(src, 0) + more.get(src, 0) >= per_source or (b_tier and spent + late >= allowed):
+                    continue
+                rows.append(i)
+                more[src] = more.get(src, 0) + 1
+                late += b_tier
+            return (rows, more, late) if len(rows) == need else None
+
+        def settle(got: tuple[list[int], dict[int, int], int], sign: int = 1) -> None:
+            nonlocal spent
+            for src, n in got[1].items():
+                used[src] = used.get(src, 0) + sign * n
+            spent += sign * got[2]
+
+        for kind in order:
+            if kind == CONTROLLED:
+                got = take(self.cells[kind, ""], quotas.get(kind, 0)) if kind in quotas else ([], {}, 0)
+                if got is None:
+                    return None
+                settle(got)
+                taken += got[0]
+                continue
+            for n_a in self.shares(kind, quotas[kind], low, high):
+                need = {"a": n_a, "b": quotas[kind] - n_a}
+                scarce = sorted(need, key=lambda p: (len(self.cells[kind, p]) - need[p], p))
+                first = take(self.cells[kind, scarce[0]], need[scarce[0]])
+                if first is None:
+                    continue
+                settle(first)
+                second = take(self.cells[kind, scarce[1]], need[scarce[1]])
+                if second is not None:
+                    settle(second)
+                    taken += first[0] + second[0]
+                    break
+                settle(first, -1)
+            else:
+                return None
+        return taken

@@ -43,11 +43,15 @@ def to_conversation(df: DataFrame, labels: tuple[str, ...] = ("label", "category
 
 
 def training_rows(audited: DataFrame, candidate: DataFrame, instruction: str) -> DataFrame:
-    """``source_id, split, task_type, conversations``: instruction and case against the target as JSON without offsets."""
+    """``source_id, split, task_type, conversations``: instruction and case against the target as JSON without offsets.
+
+    Of several targets of a source_id the earliest counts, then the least as text; null source_ids and targets give none.
+    """
     case = candidate.where("case_text is not null").groupBy("source_id").agg(F.max("case_text").alias("case_text"))
     target = F.col("target").withField("evidence", without_offsets(F.col("target.evidence")))
-    x = audited.where("target is not null").dropDuplicates(["source_id"]).join(case, "source_id")
-    return x.select("source_id", "split", F.col("target.task_type").alias("task_type"), two_turns(F.concat(F.lit(instruction), F.col("case_text")), compact(target)).alias("conversations"))
+    row = F.struct("created_at", compact(target).alias("answer"), "split", F.col("target.task_type").alias("task_type"))
+    x = audited.where("target is not null and source_id is not null").groupBy("source_id").agg(F.min(row).alias("t")).join(case, "source_id")
+    return x.select("source_id", "t.split", "t.task_type", two_turns(F.concat(F.lit(instruction), F.col("case_text")), F.col("t.answer")).alias("conversations"))
 
 
 def overlay_answer(target: Column, answer: Column) -> Column:

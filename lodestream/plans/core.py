@@ -63,10 +63,12 @@ def _count(col: str, terms: list[str]) -> str:
 
 
 _TASK = f"CASE WHEN {_any('case_text', T.CONFIRMED)} OR {_count('case_text', T.MANAGEMENT)} > {_count('case_text', T.DIAGNOSTIC)} THEN 'confirmed_management' ELSE 'diagnostic_reasoning' END"
+_DEPARTMENT = T.DEPARTMENT.replace("'", "''")
+_CASE = f"CASE WHEN regexp_matches(case_text, '{_DEPARTMENT}') THEN {_STRIP.format(f"substr(case_text, length(regexp_extract(case_text, '{_DEPARTMENT}')) + 1)")} ELSE {_STRIP.format('case_text')} END"
 _LATEST = "SELECT source_id, case_text, original_answer, category, split, loaded_at FROM candidate WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY loaded_at, source_file, source_line) = 1"
 _SIGNS = f"{_any('case_text', T.PATIENT)} AS p, {_any('case_text', T.SYMPTOM)} AS s, {_any('case_text', T.EXAM)} AS e, {_any('case_text', T.TIME)} AS t, {_any('case_text', T.QUESTION)} AS q"
 _MINED = f"""
-WITH c AS ({_LATEST}), g AS (SELECT *, {_SIGNS} FROM c WHERE case_text IS NOT NULL AND original_answer IS NOT NULL), x AS (
+WITH c0 AS ({_LATEST}), c AS (SELECT * REPLACE ({_CASE} AS case_text) FROM c0), g AS (SELECT *, {_SIGNS} FROM c WHERE case_text IS NOT NULL AND original_answer IS NOT NULL), x AS (
   SELECT *, CASE WHEN length(case_text) < 35 OR length(case_text) > 1800 THEN 'question_length_out_of_range'
     WHEN length({_STRIP.format('original_answer')}) < 20 THEN 'answer_too_short'
     WHEN regexp_matches(case_text, '{T.KNOWLEDGE_ONLY}') AND NOT (p OR e) THEN 'knowledge_only_question'
@@ -93,7 +95,7 @@ def latest(s: SparkSession, d: str) -> DataFrame:
 
 @query(_MINED)
 def mine_candidates(s: SparkSession, d: str) -> DataFrame:
-    x = latest(s, d).where("case_text is not null and original_answer is not null")
+    x = latest(s, d).where("case_text is not null and original_answer is not null").withColumn("case_text", T.split_department(F.col("case_text"))[1])
     score, reasons = T.score_case(F.col("case_text"), F.col("original_answer"))
     b = H.bucket(F.col("source_id"))
     return x.select("source_id", big(score).alias("score"), F.array_join(reasons, ",").alias("reasons"), T.classify_task(F.col("case_text")).alias("task_type"), big(b).alias("bucket"), H.assign_split(b).alias("new_split"))
@@ -337,22 +339,170 @@ def set_f1(s: SparkSession, d: str) -> DataFrame:
     return evidence(s, d).select("source_id", F.round(A.overlap_f1(_predicted(g), g), 6).alias("f1"))
 
 
-@query()
+
+def _valid(f: str) -> str:
+    return f"(target.{f} IS NOT NULL AND len(list_filter(target.{f}, lambda i: i IS NULL OR trim(i) = '')) = 0)"
+
+
+def _list(f: str) -> str:
+    return f"CASE WHEN {_valid(f)} THEN list_transform(target.{f}, lambda i: {_STRIP.format('i')}) ELSE [] END"
+
+
+def _dup(c: str) -> str:
+    return f"len(list_distinct({c})) < len({c})"
+
+
+def _some(c: str, cond: str) -> str:
+    return f"len(list_filter({c}, lambda e: coalesce({cond}, false))) > 0"
+
+
+def _len(c: str) -> str:
+    return f"coalesce(length({_STRIP.format(c)}), 0)"
+
+
+def _coded(rules: dict[str, str]) -> str:
+    return "list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in rules.items()) + "], lambda x: x IS NOT NULL))"
+
+
+def _codepoints(pattern: str) -> str:
+    """A pattern in the dialect of the SQL engine: any decimal digit, wide white space."""
+    wide = r"\s\x{3000}\x{a0}"
+    return pattern.replace(r"\d", r"\p{Nd}").replace(r"[\s", "[\0").replace(r"\s", f"[{wide}]").replace("\0", wide)
+
+
+_NUMBER_SQL = "'(?i)" + _codepoints(T.NUMBER.removeprefix("(?<![A-Za-z])")) + "'"
+_NUMBERS = "regexp_extract_all(regexp_replace({0}, '([A-Za-z])\\p{{Nd}}', '\\1#', 'g'), " + _NUMBER_SQL.replace("{", "{{").replace("}", "}}") + ")"
+_ITEM_OK = f"{_len('e.id')} > 0 AND coalesce(e.span, '') <> '' AND contains(body, e.span) AND coalesce(e.importance IN ('critical', 'supporting'), false) AND {_len('e.role')} >= {AU.SHORT_ROLE}"
+_AUDIT_ERRORS = _coded(
+    {
+        "source_id_missing": "coalesce(source_id, '') = ''", "duplicate_source_id": "times > 1 AND source_id IS NOT NULL", "source_id_not_in_candidates": "NOT known", "case_text_missing": "known AND case_text IS NULL",
+        "invalid_split": "coalesce(split, '') NOT IN ('train', 'validation', 'test')", "teacher_model_missing": "coalesce(teacher_model, '') = ''", "candidate_split_mismatch": "known AND split IS DISTINCT FROM csplit",
+        "target_missing": "target IS NULL",
+    }
+    | {
+        k: f"target IS NOT NULL AND ({c})"
+        for k, c in (
+            {
+                "invalid_task_type": "coalesce(target.task_type, '') NOT IN ('diagnostic_reasoning', 'confirmed_management')", "invalid_evidence_sufficiency": "level NOT IN ('sufficient', 'partial', 'insufficient', 'conflicting')",
+                "query_intent_empty": "coalesce(len(target.query_intent) = 0, false)",
+            }
+            | {f"{f}_not_list": f"target.{f} IS NULL" for f in ("query_intent", "missing_information", "critical_evidence_ids", "evidence")}
+            | {f"{f}_contains_invalid_item": f"target.{f} IS NOT NULL AND NOT {_valid(f)}" for f in ("query_intent", "missing_information", "critical_evidence_ids")}
+            | {
+                "duplicate_critical_evidence_id": _dup("critical"), "clinical_reasoning_too_short": f"{_len('target.clinical_reasoning')} < {AU.SHORT_REASONING}", "final_answer_too_short": f"{_len('target.final_answer')} < {AU.SHORT_ANSWER}",
+                "evidence_item_not_object": "len(ev) < n_items", "evidence_id_missing": _some("ev", f"{_len('e.id')} = 0"), "evidence_span_missing": _some("ev", "coalesce(e.span, '') = ''"),
+                "evidence_span_not_in_case": _some("ev", "e.span <> '' AND NOT contains(body, e.span)"), "invalid_evidence_importance": _some("ev", "coalesce(e.importance, '') NOT IN ('critical', 'supporting')"),
+                "evidence_role_too_short": _some("ev", f"{_len('e.role')} < {AU.SHORT_ROLE}"), "duplicate_evidence_id": _dup("ids"), "duplicate_evidence_span": _dup("spans"),
+                "sufficient_without_evidence": "level = 'sufficient' AND n_items = 0", "partial_without_evidence": "level = 'partial' AND n_items = 0", "conflicting_without_multiple_evidence": "level = 'conflicting' AND n_items < 2",
+                "critical_evidence_id_not_found": "len(list_filter(critical, lambda i: NOT list_contains(ids, i))) > 0", "critical_importance_mismatch": "list_sort(list_distinct(critical)) <> list_sort(list_distinct(marked))",
+            }
+        ).items()
+    }
+)
+_AUDIT_REVIEW = _coded(
+    {
+        k: f"target IS NOT NULL AND ({c})"
+        for k, c in {
+            "duplicate_query_intent": _dup("intent"), "duplicate_missing_information": _dup("missing"), "noncanonical_evidence_id": "len(list_filter(ids, lambda i: NOT regexp_full_match(i, 'E[1-9][0-9]*'))) > 0",
+            "ambiguous_repeated_evidence_span": "len(list_filter(spans, lambda x: (length(body) - length(replace(body, x, ''))) / length(x) > 1)) > 0", "evidence_span_too_short": "len(list_filter(spans, lambda x: length(x) = 1)) > 0",
+            "long_evidence_span_requires_atomicity_review": f"len(list_filter(spans, lambda x: length(x) > {AU.LONG_SPAN})) > 0", "query_like_evidence_span": f"len(list_filter(spans, lambda x: regexp_matches(x, '{T.QUERY_LIKE}'))) > 0",
+            "nonsequential_evidence_ids": "ids <> list_transform(range(1, len(ids) + 1), lambda n: 'E' || n)", "overlapping_evidence_spans": "len(list_filter(range(1, len(places)), lambda n: places[n + 1].a < places[n].b)) > 0",
+            "partial_without_missing_information": "level = 'partial' AND len(missing) = 0", "insufficient_without_missing_information": "level = 'insufficient' AND len(missing) = 0",
+        }.items()
+    }
+)
+_AUDIT_WARNINGS = _coded(
+    {
+        "candidate_category_mismatch": "known AND category IS DISTINCT FROM ccategory", "task_type_changed_by_teacher": "target IS NOT NULL AND coalesce(hint, '') <> '' AND target.task_type IS DISTINCT FROM hint",
+        "too_many_missing_information_items": f"target IS NOT NULL AND len(missing) > {AU.MAX_MISSING}", "too_many_evidence_items": f"target IS NOT NULL AND n_items > {AU.MAX_EVIDENCE}",
+        "strong_role_claim_requires_review": "target IS NOT NULL AND " + _some("ev", f"{_len('e.role')} >= {AU.SHORT_ROLE} AND regexp_matches(e.role, '{risk.STRONG_ROLE}')"),
+    }
+)
+_AUDIT = f"""WITH c AS (SELECT * FROM candidate WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY loaded_at NULLS FIRST, source_file NULLS FIRST, source_line NULLS FIRST, case_text NULLS FIRST, original_answer NULLS FIRST, split NULLS FIRST) = 1),
+r AS (SELECT DISTINCT source_id, split, category, teacher_model, prompt_version, target FROM audited), t AS (SELECT r.*, count(*) OVER (PARTITION BY r.source_id) AS times, c.source_id IS NOT NULL AS known,
+  CASE WHEN {_len('c.case_text')} > 0 THEN c.case_text END AS case_text, c.split AS csplit, c.category AS ccategory, c.task_type_hint AS hint FROM r LEFT JOIN c ON r.source_id = c.source_id),
+b AS (SELECT *, coalesce(case_text, '') AS body, coalesce(target.evidence_sufficiency, '') AS level, coalesce(len(target.evidence), 0) AS n_items, list_filter(coalesce(target.evidence, []), lambda e: e IS NOT NULL) AS ev,
+  {_list('query_intent')} AS intent, {_list('missing_information')} AS missing, {_list('critical_evidence_ids')} AS critical, target.clinical_reasoning || chr(10) || target.final_answer AS written FROM t),
+x AS (SELECT *, list_transform(list_filter(ev, lambda e: {_len('e.id')} > 0), lambda e: e.id) AS ids, list_transform(list_filter(ev, lambda e: coalesce(e.span <> '' AND contains(body, e.span), false)), lambda e: e.span) AS spans,
+  list_transform(list_filter(ev, lambda e: coalesce(e.importance = 'critical' AND e.id IS NOT NULL, false)), lambda e: e.id) AS marked,
+  list_sort(list_transform(list_filter(ev, lambda e: {_ITEM_OK}), lambda e: {{'a': instr(body, e.span), 'b': instr(body, e.span) + length(e.span)}})) AS places,
+  list_sort(list_distinct(list_filter({_NUMBERS.format('written')}, lambda n: NOT list_contains({_NUMBERS.format('body')}, n)))) AS new FROM b),
+i AS (SELECT *, {_AUDIT_ERRORS} AS errors, {_AUDIT_REVIEW} AS review, list_sort(list_concat({_AUDIT_WARNINGS}, CASE WHEN len(new) > 0 THEN ['generated_numbers_require_review:' || array_to_string(new[1:8], ',')] ELSE [] END)) AS warnings FROM x),
+audit AS (SELECT *, CASE WHEN len(errors) > 0 THEN 'rejected' WHEN len(review) > 0 THEN 'review' ELSE 'accepted' END AS status FROM i)"""
+
+
+def _audit(s: SparkSession, d: str) -> DataFrame:
+    """The audit without the rule on copied original answers, which needs NFKC (``copied_answers`` has it)."""
+    return AU.audit(table(s, d, "audited"), table(s, d, "candidate"), copies=False)
+
+
+@query(_AUDIT + " SELECT source_id, split, status, array_to_string(errors, '|') AS errors, array_to_string(review, '|') AS review, array_to_string(warnings, '|') AS warnings FROM audit")
 def audit_rows(s: SparkSession, d: str) -> DataFrame:
-    x = AU.audit(table(s, d, "audited"), table(s, d, "candidate"))
-    return x.select("source_id", "split", "status", *[F.array_join(c, "|").alias(c) for c in ("errors", "review", "warnings")])
+    return _audit(s, d).select("source_id", "split", "status", *[F.array_join(c, "|").alias(c) for c in ("errors", "review", "warnings")])
 
 
-@query()
+_CODES = "list_distinct(list_transform({0}, lambda w: split_part(w, ':', 1)))"
+
+
+@query(_AUDIT + ", u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS severity, unnest({_CODES.format(c)}) AS code FROM audit" for c in ("errors", "review", "warnings")) + ') SELECT severity, code, count(*) AS "rows" FROM u GROUP BY ALL')
 def audit_report(s: SparkSession, d: str) -> DataFrame:
-    return AU.issue_report(AU.audit(table(s, d, "audited"), table(s, d, "candidate")))
+    return AU.issue_report(_audit(s, d))
+
+
+@query(_AUDIT + f""", u AS (SELECT 'all' AS section, 'total' AS name FROM audit UNION ALL SELECT 'status', status FROM audit UNION ALL SELECT 'split_status', split || ':' || status FROM audit WHERE split IN ('train', 'validation', 'test')
+UNION ALL SELECT 'reject_reason', unnest({_CODES.format('errors')}) FROM audit WHERE status = 'rejected' UNION ALL SELECT 'review_reason', unnest({_CODES.format('review')}) FROM audit WHERE status = 'review' UNION ALL SELECT 'warning', unnest({_CODES.format('warnings')}) FROM audit
+UNION ALL SELECT 'teacher_model', coalesce(teacher_model, 'None') FROM audit UNION ALL SELECT 'prompt_version', coalesce(prompt_version, 'None') FROM audit UNION ALL SELECT 'task_type', coalesce(target.task_type, 'None') FROM audit WHERE target IS NOT NULL
+UNION ALL SELECT 'evidence_sufficiency', coalesce(target.evidence_sufficiency, 'None') FROM audit WHERE target IS NOT NULL UNION ALL SELECT 'evidence_importance', coalesce(e.importance, 'None') FROM (SELECT unnest(target.evidence) AS e FROM audit))
+SELECT section, name, count(*) AS "rows", CASE WHEN section = 'status' THEN round(count(*) / (SELECT count(*) FROM audit), 6) END AS rate FROM u GROUP BY section, name""")
+def validation_report(s: SparkSession, d: str) -> DataFrame:
+    return AU.validation_report(_audit(s, d))
 
 
 @query()
+def copied_answers(s: SparkSession, d: str) -> DataFrame:
+    """Targets whose final answer is the original answer of their candidate in canonical form (NFKC, which SQL lacks)."""
+    x = AU.audit(table(s, d, "audited"), table(s, d, "candidate"))
+    return x.where(F.array_contains("errors", "final_answer_copies_original")).select("source_id")
+
+
+
+def _mended(text: str) -> str:
+    """The clean-up of ``delete_spans``; a repeated mark is named once for each mark, as the engine has no back-references in patterns."""
+    for pattern, put in T.MENDED:
+        if r"\1" in pattern:
+            for mark in "，,。；;！？!?：:":
+                text = f"regexp_replace({text}, '[{mark}]{{2,}}', '{mark}', 'g')"
+        else:
+            text = f"regexp_replace({text}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
+    return _STRIP.format(text)
+
+
+_ONCE = "length({0}) > 0 AND length(case_text) - length(replace(case_text, {0}, '')) = length({0})"
+_ASKS = "|".join(m.replace("?", r"\?") for m in masking.QUERY_MARKS)
+_VARIANTS = f"""WITH c AS (SELECT source_id, case_text FROM candidate WHERE case_text IS NOT NULL AND source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY loaded_at NULLS FIRST, case_text) = 1),
+a AS (SELECT source_id, split, target.evidence AS ev FROM audited WHERE source_id IS NOT NULL AND target.evidence IS NOT NULL AND validation_status = 'accepted' QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY created_at NULLS FIRST, split NULLS FIRST) = 1),
+l AS (SELECT a.source_id, split, case_text, list_transform(list_filter(ev, lambda e: e.id IS NOT NULL AND coalesce({_ONCE.format('e.span')}, false)), lambda e: {{'id': e.id, 'span': e.span, 'importance': e.importance, 'a': instr(case_text, e.span) - 1, 'b': instr(case_text, e.span) - 1 + length(e.span)}}) AS ev FROM a JOIN c ON a.source_id = c.source_id),
+k AS (SELECT *, list_filter(ev, lambda e: coalesce(e.importance = 'critical', false)) AS crit, list_filter(ev, lambda e: coalesce(e.importance = 'supporting', false)) AS sup, list_sort(list_transform(ev, lambda e: {{'a': e.a, 'b': e.b}})) AS places FROM l),
+e AS (SELECT *, length(crit[1].span) AS aim FROM k WHERE len(crit) = 1 AND len(sup) > 0 AND len(list_filter(range(1, len(places)), lambda n: places[n + 1].a < places[n].b)) = 0),
+r AS (SELECT *, list_sort(list_transform(sup, lambda e: {{'far': abs(length(e.span) - aim), 'tie': sha256('42:' || source_id || ':' || e.id), 'id': e.id, 'span': e.span, 'a': e.a, 'b': e.b}}))[1] AS s1,
+ list_sort(list_transform(list_filter(list_transform(list_distinct(list_filter(list_transform(regexp_extract_all(case_text, '{masking.CLAUSE}'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')), lambda x: {{'span': x, 'a': instr(case_text, x) - 1, 'b': instr(case_text, x) - 1 + length(x)}}),
+  lambda x: length(x.span) BETWEEN greatest(2, floor(aim * 0.5)) AND greatest(aim * 2, aim + 8) AND {_ONCE.format('x.span')} AND NOT regexp_matches(x.span, '{_ASKS}') AND len(list_filter(ev, lambda e: x.a < e.b AND e.a < x.b)) = 0),
+  lambda x: {{'far': abs(length(x.span) - aim), 'tie': sha256('42:' || source_id || ':' || x.a || ':' || x.span), 'span': x.span, 'a': x.a, 'b': x.b}}))[1] AS r1 FROM e),
+v AS (SELECT source_id, split, case_text, 'critical' AS mask_type, source_id || '::C:' || crit[1].id AS variant_id, crit[1].span AS removed, crit[1].a AS a, crit[1].b AS b FROM r UNION ALL SELECT source_id, split, case_text, 'supporting', source_id || '::S:' || s1.id, s1.span, s1.a, s1.b FROM r
+ UNION ALL SELECT source_id, split, case_text, 'random', source_id || '::R:R1', r1.span, r1.a, r1.b FROM r WHERE r1 IS NOT NULL),
+m AS (SELECT source_id, split, variant_id, mask_type, removed, {_mended("left(case_text, a) || substr(case_text, b + 1)")} AS case_text FROM v), variants AS (SELECT * FROM m WHERE case_text <> '' AND NOT contains(case_text, removed))"""
+
+
+@query(_VARIANTS + " SELECT * FROM variants")
 def masked_variants(s: SparkSession, d: str) -> DataFrame:
     return masking.mask_variants(table(s, d, "audited"), table(s, d, "candidate"))
 
 
+@query(_VARIANTS + " SELECT split, mask_type, count(*) AS n FROM variants GROUP BY ALL")
+def variant_counts(s: SparkSession, d: str) -> DataFrame:
+    return masked_variants(s, d).groupBy("split", "mask_type").agg(rows_as("n"))
+
+
 # Preference ----------------------------------------------------------------------------------------------------------
 
 
@@ -377,10 +527,10 @@ _LIMITS = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in P.SCORES.items()) + "}"
 _NAMES = "[" + ", ".join(f"'{k}'" for k in sorted(P.SCORES)) + "]"
 _TOTAL = "list_sum(map_values(j.scores.{0}))"
 _BADSIDE = f"(j.scores.{{0}} IS NULL OR list_sort(map_keys(j.scores.{{0}})) <> {_NAMES} OR len(list_filter(map_entries(j.scores.{{0}}), lambda e: NOT coalesce(e.value BETWEEN 0 AND {_LIMITS}[e.key], false))) > 0 OR j.hard_failures.{{0}} IS NULL OR len(list_filter(j.hard_failures.{{0}}, lambda h: NOT list_contains(['H1','H2','H3','H4','H5','H6'], h))) > 0)"
-_GATE = f"""CASE WHEN status IS DISTINCT FROM 'ok' THEN 'judgment_not_ok'
- WHEN j IS NULL OR j.decision IS NULL OR j.decision NOT IN ('A_better','B_better','tie','both_bad','unjudgeable') OR NOT coalesce(j.confidence BETWEEN 0 AND 1 AND NOT isnan(j.confidence), false) OR trim(coalesce(j.reason, '')) = ''
+_INVALID = f"""(j IS NULL OR j.decision IS NULL OR j.decision NOT IN ('A_better','B_better','tie','both_bad','unjudgeable') OR NOT coalesce(j.confidence BETWEEN 0 AND 1 AND NOT isnan(j.confidence), false) OR trim(coalesce(j.reason, '')) = ''
   OR j.decisive_dimensions IS NULL OR (len(j.decisive_dimensions) = 0 AND j.decision NOT IN ('tie','unjudgeable')) OR len(list_filter(j.decisive_dimensions, lambda x: NOT list_contains({_NAMES}, x))) > 0
-  OR {_BADSIDE.replace('{0}', 'a')} OR {_BADSIDE.replace('{0}', 'b')} THEN 'invalid_judgment'
+  OR {_BADSIDE.replace('{0}', 'a')} OR {_BADSIDE.replace('{0}', 'b')})"""
+_GATE = f"""CASE WHEN status IS DISTINCT FROM 'ok' THEN 'judgment_not_ok' WHEN {_INVALID} THEN 'invalid_judgment'
  WHEN j.decision NOT IN ('A_better','B_better') THEN 'decision:' || j.decision WHEN j.confidence < 0.85 THEN 'low_confidence'
  WHEN len(CASE WHEN j.decision = 'A_better' THEN j.hard_failures.a ELSE j.hard_failures.b END) > 0 THEN 'chosen_judge_hard_failure'
  WHEN (CASE WHEN j.decision = 'A_better' THEN 1 ELSE -1 END) * ({_TOTAL.format('a')} - {_TOTAL.format('b')}) < 2 THEN 'low_score_margin' ELSE 'qualified' END"""
@@ -392,20 +542,62 @@ def qualification_gates(s: SparkSession, d: str) -> DataFrame:
     return x.groupBy("split", P.qualification(F.col("status"), F.col("j")).alias("gate")).agg(rows_as("n"))
 
 
-@query()
-def judgment_errors(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "judgment").where("status = 'ok'").select(F.explode(P.judgment_errors(F.col("parsed_judgment"))).alias("code"))
-    return x.groupBy("code").agg(rows_as("n"))
 
+def _side_errors(x: str) -> dict[str, str]:
+    return {
+        f"invalid_hard_failures:{x}": f"j.hard_failures.{x} IS NULL OR len(list_filter(j.hard_failures.{x}, lambda h: NOT coalesce(list_contains(['H1','H2','H3','H4','H5','H6'], h), false))) > 0",
+        f"invalid_scores:{x}": f"j.scores.{x} IS NULL OR list_sort(map_keys(j.scores.{x})) <> {_NAMES} OR len(list_filter(map_entries(j.scores.{x}), lambda e: NOT coalesce(e.value BETWEEN 0 AND {_LIMITS}[e.key], false))) > 0",
+    }
 
-@query()
+
+_JUDGED = _coded(
+    {
+        "judgment_missing": "j IS NULL", "invalid_decision": "j IS NOT NULL AND coalesce(j.decision NOT IN ('A_better','B_better','tie','both_bad','unjudgeable'), true)",
+        "invalid_confidence": "j IS NOT NULL AND NOT coalesce(j.confidence BETWEEN 0 AND 1 AND NOT isnan(j.confidence), false)", "missing_reason": "j IS NOT NULL AND trim(coalesce(j.reason, '')) = ''",
+        "invalid_decisive_dimensions": f"j IS NOT NULL AND (j.decisive_dimensions IS NULL OR (len(j.decisive_dimensions) = 0 AND coalesce(j.decision NOT IN ('tie','unjudgeable'), true)) OR len(list_filter(j.decisive_dimensions, lambda x: NOT coalesce(list_contains({_NAMES}, x), false))) > 0)",
+    }
+    | {k: f"j IS NOT NULL AND ({c})" for x in "ab" for k, c in _side_errors(x).items()}
+)
+
+
+@query(f"SELECT status, code, count(*) AS n FROM (SELECT status, unnest({_JUDGED}) AS code FROM (SELECT status, parsed_judgment AS j FROM judgment)) GROUP BY ALL")
+def judgment_errors(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "judgment").select("status", F.explode(P.judgment_errors(F.col("parsed_judgment"))).alias("code"))
+    return x.groupBy("status", "code").agg(rows_as("n"))
+
+
+_LEAN = "(CASE WHEN f.j.decision = 'A_better' THEN 1 ELSE -1 END) * (list_sum(map_values({0}.j.scores.a)) - list_sum(map_values({0}.j.scores.b)))"
+_HARD = "len(CASE WHEN f.j.decision = 'A_better' THEN {0}.j.hard_failures.a ELSE {0}.j.hard_failures.b END) > 0"
+_ORDERED = "created_at {0}, loaded_at {0}, attempt {0}, status {0}"
+_RECONCILED = f"""WITH r AS (SELECT pair_id, source_id, split, judge_model, status, j, created_at, loaded_at, attempt, {_GATE} AS gate, coalesce({_INVALID}, true) AS bad FROM (SELECT *, parsed_judgment AS j FROM judgment WHERE pair_id IS NOT NULL)),
+n AS (SELECT pair_id, count(DISTINCT (created_at, loaded_at, attempt, status)) AS n FROM r GROUP BY pair_id),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY {_ORDERED.format('NULLS FIRST')}) = 1), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY {_ORDERED.format('DESC NULLS LAST')}) = 1),
+x AS (SELECT f.pair_id, f.split, CASE WHEN f.gate <> 'qualified' THEN 'original:' || f.gate WHEN n <= 1 THEN 'swap:missing' WHEN f.source_id IS DISTINCT FROM l.source_id OR f.split IS DISTINCT FROM l.split THEN 'swap:metadata_mismatch'
+  WHEN l.status IS DISTINCT FROM 'ok' THEN 'swap:not_ok' WHEN l.bad THEN 'swap:invalid_judgment' WHEN f.judge_model IS NOT NULL AND f.judge_model IS DISTINCT FROM l.judge_model THEN 'swap:judge_model_mismatch'
+  WHEN l.j.decision = f.j.decision AND l.j.confidence >= 0.85 AND {_LEAN.format('l')} >= 2 AND NOT {_HARD.format('l')} THEN 'strict_bidirectional_decision'
+  WHEN NOT (f.j.confidence >= 0.9 AND l.j.confidence >= 0.9) THEN 'tier_b:low_confidence' WHEN NOT ({_LEAN.format('f')} >= 1 AND {_LEAN.format('l')} >= 1) THEN 'tier_b:score_direction_inconsistent'
+  WHEN ({_LEAN.format('f')} + {_LEAN.format('l')}) / 2.0 < 2 THEN 'tier_b:low_average_margin' WHEN {_HARD.format('f')} OR {_HARD.format('l')} THEN 'tier_b:winner_hard_failure' ELSE 'score_consistent_bidirectional' END AS reason
+  FROM f JOIN l ON f.pair_id = l.pair_id JOIN n ON f.pair_id = n.pair_id), reconciled AS (SELECT pair_id, split, CASE reason WHEN 'strict_bidirectional_decision' THEN 'A' WHEN 'score_consistent_bidirectional' THEN 'B' END AS tier, reason FROM x)"""
+
+
+def _reconciled(s: SparkSession, d: str) -> DataFrame:
+    """First against last judged row of a pair, the last taken as the swapped presentation."""
+    o = F.struct("created_at", "loaded_at", "attempt", "status")
+    row = F.struct("status", "source_id", "split", "judge_model", F.col("parsed_judgment").alias("j"))
+    x = table(s, d, "judgment").where("pair_id is not null").groupBy("pair_id").agg(F.min_by(row, o).alias("f"), F.max_by(row, o).alias("l"), F.min(o).alias("o1"), F.max(o).alias("o2"))
+    second = F.when(~F.col("o1").eqNullSafe(F.col("o2")), F.struct("l.status", "l.source_id", "l.split", "l.judge_model", P.swapped(F.col("l.j")).alias("j")))
+    tier, reason = P.reconcile(F.col("f"), second)
+    return x.select("pair_id", "f.split", tier.alias("tier"), reason.alias("reason"))
+
+
+@query(_RECONCILED + " SELECT pair_id, tier, reason FROM reconciled")
 def reconciled_pairs(s: SparkSession, d: str) -> DataFrame:
-    """First against last valid judgment of a pair, the last taken as the swapped presentation."""
-    j = table(s, d, "judgment").where("status = 'ok' and pair_id is not null").select("pair_id", "created_at", F.col("parsed_judgment").alias("j"))
-    j = j.where((F.size(P.judgment_errors(F.col("j"))) == 0) & P.winner(F.col("j.decision")).isNotNull()).withColumn("o", F.struct("created_at", F.xxhash64(F.to_json("j"))))
-    x = j.groupBy("pair_id").agg(F.min_by("j", "o").alias("a"), F.max_by("j", "o").alias("b"), rows_as("n")).where("n > 1")
-    tier, reason = P.reconcile(F.col("a"), P.swapped(F.col("b")))
-    return x.select("pair_id", tier.alias("tier"), reason.alias("reason"))
+    return _reconciled(s, d).select("pair_id", "tier", "reason")
+
+
+@query(_RECONCILED + " SELECT split, tier, reason, count(*) AS n FROM reconciled GROUP BY ALL")
+def reconciliation_report(s: SparkSession, d: str) -> DataFrame:
+    return _reconciled(s, d).groupBy("split", "tier", "reason").agg(rows_as("n"))
 
 
 @query()
@@ -420,7 +612,7 @@ def exported_pairs(s: SparkSession, d: str) -> DataFrame:
     return P.select_pairs(x.where("split is not null"), 400, {"target_vs_model": 0.55, "model_vs_model": 0.35, "controlled_negative": 0.1})
 
 
-@query(f"""SELECT source_id, 'pair_' || substr(sha256('42:' || source_id || ':target_vs_model:x:y'), 1, 16) AS pair_id, CASE WHEN {_HEAD.format("'42:' || source_id || ':target_vs_model:position'")} % 2 = 0 THEN 'x' ELSE 'y' END AS a,
+@query(f"""SELECT source_id, 'pair_' || substr(sha256('42:' || source_id || ':target_vs_model:x:y'), 1, 16) AS pair_id, CASE WHEN {_HEAD.format("'42:pair_' || substr(sha256('42:' || source_id || ':target_vs_model:x:y'), 1, 16) || ':blind_position'")} % 2 = 0 THEN 'x' ELSE 'y' END AS a,
 CASE WHEN {_HEAD.format("'42:' || source_id || ':controlled'")} % 2 = 0 THEN CASE WHEN level = 'sufficient' THEN 'unnecessary_uncertainty' ELSE 'overconfident_answer' END ELSE 'generic_non_answer' END AS defect
 FROM (SELECT source_id, max(target.evidence_sufficiency) AS level FROM audited WHERE source_id IS NOT NULL GROUP BY source_id)""")
 def blind_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -431,17 +623,24 @@ def blind_pairs(s: SparkSession, d: str) -> DataFrame:
 
 # Exam and statistics -------------------------------------------------------------------------------------------------
 
-_EXAM = "SELECT id, max(exam_class) AS exam_class, max(exam_type) AS exam_type, max(question_type) AS question_type, max(answer) AS answer FROM exam_question WHERE id IS NOT NULL GROUP BY id"
-_GOLD = "CASE WHEN regexp_matches(upper(answer), '[A-F]') THEN array_to_string(list_sort(list_distinct(regexp_extract_all(upper(answer), '[A-F]'))), '') END"
+
+_EXAM = "SELECT id, exam_type, exam_class, exam_subject, question_type, question, choices, answer FROM exam_question WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY answer NULLS LAST, question, question_type) = 1"
+_LETTERS = "array_to_string(list_sort(list_distinct(regexp_extract_all({0}, '[A-F]'))), '')"
+_NORM = f"CASE WHEN regexp_matches({{0}}, '[A-F]') AND len(list_filter(regexp_extract_all({{0}}, '[A-F]'), lambda l: NOT contains(keys, l))) = 0 THEN {_LETTERS} END"
 
 
 def _answers(q: DataFrame, salt: str) -> DataFrame:
-    """Stand-in model outputs in four styles, the last without an answer."""
-    n = H.stable_number(F.col("id"), salt)
-    letter = F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (n % 4 + 1).cast("int"))
-    style = (H.stable_number(F.col("id"), salt, "style") % 4).cast("int")
-    out = F.when(style == 0, letter).when(style == 1, F.concat(letter, F.lit(". 如上所述"))).when(style == 2, F.concat(F.lit("分析略。最终答案："), letter)).otherwise("A项似乎合理，但B项也可能。")
-    return q.select("id", F.when(style == 3, out).otherwise(F.coalesce(F.when(H.stable_number(F.col("id"), salt, "right") % 2 == 0, F.replace(out, letter, F.col("gold"))), out)).alias("output"))
+    """Stand-in model outputs in many styles, half of them with the right letters; some give no answer or one that is none."""
+    n = lambda *x: H.stable_number(F.col("id"), salt, *x)
+    pick = lambda k: F.element_at(F.array(*[F.lit(x) for x in "ABCDE"]), (k % 5 + 1).cast("int"))
+    one = F.when((n("right") % 2 == 0) & F.col("gold").isNotNull(), F.col("gold")).otherwise(pick(n()))
+    two = pick(n("other"))
+    c = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    styles = [
+        one, c(one, ". 如上所述"), c("分析略。最终答案：", one), F.lit("A项似乎合理，但B项也可能。"), c("分析如下\n", one, "\n以上"), c("选", one, "为宜"), c("（", one, "、", two, "）"),
+        c("答案是 ", F.lower(one)), c("选项：", one, "和", two), c("逐项排除\n答：", one, "。"), F.lit(" \n"), c("答案：F，", one),
+    ]
+    return q.select("id", F.element_at(F.array(*styles), (n("style") % len(styles) + 1).cast("int")).alias("output"))
 
 
 def _scored(s: SparkSession, d: str, salt: str) -> DataFrame:
@@ -450,16 +649,27 @@ def _scored(s: SparkSession, d: str, salt: str) -> DataFrame:
 
 
 def _sql_scored(salt: str) -> str:
-    n = lambda *x: _HEAD.format("'42:' || id" + "".join(f" || ':{y}'" for y in x))
-    letter = f"substr('ABCD', CAST({n(salt)} % 4 + 1 AS INT), 1)"
-    pick = f"CASE WHEN {n(salt, 'right')} % 2 = 0 AND {_GOLD} IS NOT NULL THEN {_GOLD} ELSE {letter} END"
-    one = f"CASE WHEN {n(salt, 'style')} % 4 = 3 THEN NULL WHEN contains(question_type, '单项') AND length({pick}) <> 1 THEN NULL ELSE {pick} END"
-    return f"SELECT id, exam_class, exam_type, {one} AS answer, coalesce({one} = {_GOLD}, false) AS correct FROM ({_EXAM})"
-
-
-@query(_sql_scored("m1").replace("exam_class, exam_type, ", ""))
+    n = lambda *x: _HEAD.format("'42:' || id" + "".join(f" || ':{y}'" for y in (salt, *x)))
+    pick = lambda *x: f"substr('ABCDE', CAST({n(*x)} % 5 + 1 AS INT), 1)"
+    styles = (
+        "one", "one || '. 如上所述'", "'分析略。最终答案：' || one", "'A项似乎合理，但B项也可能。'", "'分析如下' || chr(10) || one || chr(10) || '以上'", "'选' || one || '为宜'", "'（' || one || '、' || two || '）'",
+        "'答案是 ' || lower(one)", "'选项：' || one || '和' || two", "'逐项排除' || chr(10) || '答：' || one || '。'", "' ' || chr(10)", "'答案：F，' || one",
+    )
+    styled = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(styles))
+    found = "list_concat(" + ", ".join(f"regexp_extract_all(src, '{_codepoints(p)}', 1)" for p in T.ANSWER_PATTERNS) + ")"
+    return f"""SELECT id, exam_class, exam_type, exam_subject, question_type, CASE WHEN src <> '' AND NOT (contains(coalesce(question_type, ''), '单项') AND length(got) <> 1) THEN got END AS answer,
+CASE WHEN src = '' THEN 'empty' WHEN got IS NULL THEN 'no_answer_pattern' WHEN contains(coalesce(question_type, ''), '单项') AND length(got) <> 1 THEN 'multiple_for_single' WHEN exact IS NOT NULL THEN 'exact' WHEN lead_norm IS NOT NULL THEN 'leading_option' ELSE 'answer_pattern' END AS method,
+coalesce(CASE WHEN src <> '' AND NOT (contains(coalesce(question_type, ''), '单项') AND length(got) <> 1) THEN got END = gold, false) AS correct FROM (
+SELECT *, coalesce(exact, lead_norm, valid[-1]) AS got FROM (SELECT *, CASE WHEN compact <> '' AND len(list_filter(string_split(compact, ''), lambda x: NOT contains(keys, x))) = 0 THEN array_to_string(list_sort(list_distinct(string_split(compact, ''))), '') END AS exact,
+ CASE WHEN lead <> '' THEN {_NORM.format('lead')} END AS lead_norm, list_filter(list_transform({found}, lambda f: {_NORM.format('f')}), lambda f: f IS NOT NULL) AS valid FROM (
+SELECT *, rtrim(regexp_replace(src, '{_codepoints(T.JOINERS)}', '', 'g'), '。.') AS compact, regexp_extract(src, '{_codepoints(T.LEADING_OPTION)}', 1) AS lead FROM (
+SELECT *, upper({_STRIP.format('output')}) AS src FROM (SELECT *, CASE CAST({n('style')} % {len(styles)} AS INT) {styled} END AS output FROM (
+SELECT *, CASE WHEN {n('right')} % 2 = 0 AND gold IS NOT NULL THEN gold ELSE {pick()} END AS one, {pick('other')} AS two FROM (SELECT *, {_NORM.format('upper(answer)')} AS gold FROM (SELECT *, array_to_string(list_sort(map_keys(choices)), '') AS keys FROM ({_EXAM}))))))))) """
+
+
+@query("SELECT id, answer, method, correct FROM (" + _sql_scored("m1") + ")")
 def exam_scores(s: SparkSession, d: str) -> DataFrame:
-    return _scored(s, d, "m1").select("id", "answer", "correct")
+    return _scored(s, d, "m1").select("id", "answer", "method", "correct")
 
 
 @query(f"""WITH x AS ({_sql_scored("m1")}), g AS (SELECT exam_class, exam_type, count(*) AS total, count(*) FILTER (correct) AS correct, grouping_id(exam_class, exam_type) AS gi FROM x GROUP BY GROUPING SETS ((), (exam_class), (exam_type)))
@@ -486,7 +696,8 @@ def paired_systems(s: SparkSession, d: str) -> DataFrame:
     return exam.paired_comparison(_scored(s, d, "m1"), _scored(s, d, "m2")).drop("p")
 
 
-@query()
+@query(f"""WITH a AS ({_sql_scored("m1")}), b AS ({_sql_scored("m2")}), c AS (SELECT count(*) FILTER (b.correct AND NOT a.correct) AS better, count(*) FILTER (a.correct AND NOT b.correct) AS worse FROM a JOIN b USING (id)), n AS (SELECT *, better + worse AS n FROM c),
+k AS (SELECT better, worse, n, unnest(range(0, least(better, worse) + 1)) AS k FROM n) SELECT better, worse, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))) END, 8) AS p FROM k GROUP BY better, worse, n""")
 def mcnemar_test(s: SparkSession, d: str) -> DataFrame:
     return exam.paired_comparison(_scored(s, d, "m1"), _scored(s, d, "m2")).select("better", "worse", "p")
 
@@ -540,10 +751,11 @@ def paired_effect(s: SparkSession, d: str) -> DataFrame:
     return masking.paired_effect(x, "id", "arm", "correct", "a", "b")
 
 
-@query("""WITH q AS (SELECT id, question, map_entries(choices) AS o FROM exam_question WHERE id IS NOT NULL AND choices IS NOT NULL) SELECT DISTINCT id, question || chr(10) || array_to_string(list_transform(list_sort(list_transform(o, lambda e: e.key || '. ' || e.value)), lambda x: x), chr(10)) AS prompt FROM q""")
+@query(f"""SELECT id, '以下是中国' || coalesce(exam_type, '') || '中' || coalesce(exam_class, '') || '考试的一道' || coalesce(question_type, '选择题') || '。{T.PLAIN_INSTRUCTION}' || chr(10) || chr(10) || coalesce(question, '') || chr(10) ||
+array_to_string(list_transform(map_entries(choices), lambda e: e.key || '. ' || coalesce(e.value, '')), chr(10)) || chr(10) || chr(10) || '答案：' AS prompt FROM ({_EXAM}) WHERE choices IS NOT NULL AND cardinality(choices) > 0""")
 def exam_prompts(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "exam_question").where("id is not null and choices is not null")
-    return x.select("id", T.exam_prompt(F.col("question"), F.col("choices")).alias("prompt")).distinct()
+    x = exam.first_rows(table(s, d, "exam_question"))
+    return x.select("id", T.exam_prompt(F.col("exam_type"), F.col("exam_class"), F.col("question_type"), F.col("question"), F.col("choices")).alias("prompt")).where("prompt is not null")
 
 
 # Retrieval, chat, JSON, reports --------------------------------------------------------------------------------------
@@ -651,7 +863,13 @@ def preference_records(s: SparkSession, d: str) -> DataFrame:
     return records.preference_record(latest(s, d), "case_text", "original_answer", "category")
 
 
-@query()
+_CASES = "SELECT source_id, max(case_text) AS case_text FROM candidate WHERE case_text IS NOT NULL AND source_id IS NOT NULL GROUP BY source_id"
+
+
+@query(f"""WITH c AS ({_CASES}), a AS (SELECT source_id, split, target, CAST(to_json({{'task_type': target.task_type, 'query_intent': target.query_intent, 'evidence_sufficiency': target.evidence_sufficiency,
+'evidence': list_transform(target.evidence, lambda e: {{'id': e.id, 'span': e.span, 'importance': e.importance, 'role': e.role}}), 'critical_evidence_ids': target.critical_evidence_ids, 'missing_information': target.missing_information, 'clinical_reasoning': target.clinical_reasoning, 'final_answer': target.final_answer}}) AS VARCHAR) AS answer, created_at
+FROM audited WHERE target IS NOT NULL AND source_id IS NOT NULL), o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY created_at NULLS FIRST, answer) = 1)
+SELECT o.source_id, split, target.task_type AS task_type, '请根据病例回答：' || case_text AS prompt, answer FROM o JOIN c ON o.source_id = c.source_id""")
 def training_rows(s: SparkSession, d: str) -> DataFrame:
     x = records.training_rows(table(s, d, "audited"), table(s, d, "candidate"), "请根据病例回答：")
     return x.select("source_id", "split", "task_type", F.col("conversations")[0]["value"].alias("prompt"), F.col("conversations")[1]["value"].alias("answer"))
@@ -693,9 +911,78 @@ def export_checks(s: SparkSession, d: str) -> DataFrame:
     return x.agg(rows_as("errors"), F.array_join(F.array_sort(F.collect_set("error")), ",").alias("codes"))
 
 
-@query()
+
+_MARK = "'(?i)(" + _codepoints(T.NUMBER_WITH_UNIT.removeprefix("(?<![A-Za-z0-9])")) + ")'"
+_W = r"'[\s\x{3000}\x{a0}]+'"
+
+
+def _measures(text: str) -> str:
+    """SQL list of (key, label, unit, listed) of the numbers in a text."""
+    marked = f"regexp_replace(regexp_replace({text}, '([A-Za-z])\\p{{Nd}}+', '\\1#', 'g'), {_MARK}, chr(1) || '\\1' || chr(2), 'g')"
+    raw = f"list_transform(string_split({marked}, chr(1))[2:], lambda p: {{'raw': split_part(p, chr(2), 1), 'nxt': left(split_part(p, chr(2), 2), 1)}})"
+    unit = f"lower(regexp_replace(regexp_extract(m.raw, '[^\\p{{Nd}}.\\s\\x{{3000}}\\x{{a0}}].*$'), {_W}, '', 'g'))"
+    label = f"CASE WHEN {unit} IN ('小时', '分钟', '秒') THEN lower(regexp_replace(m.raw, {_W}, '', 'g')) ELSE lower(regexp_extract(m.raw, {_NUMBER_SQL.replace('(?i)', '(?i)^')})) END"
+    return f"list_transform({raw}, lambda m: {{'key': regexp_extract(m.raw, '^\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?'), 'label': {label}, 'unit': {unit}, 'listed': {unit} = '' AND m.nxt IN ('.', '、', ')', '）')}})"
+
+
+_UNITS = "[" + ", ".join(f"'{u}'" for u in T.MEDICAL_UNITS) + "]"
+_RISK = f"""m AS (SELECT *, {_measures("coalesce(case_text, '')")} AS known, {_measures("coalesce(written, '')")} AS said FROM a),
+k AS (SELECT *, list_filter(said, lambda x: NOT x.listed AND CASE WHEN x.unit <> '' THEN NOT list_contains(list_transform(known, lambda y: y.key), x.key) ELSE NOT list_contains(list_transform(known, lambda y: y.label), x.label) END) AS new FROM m),
+n AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(new, lambda x: list_contains({_UNITS}, x.unit)), lambda x: x.label))) AS high, list_sort(list_distinct(list_transform(list_filter(new, lambda x: NOT list_contains({_UNITS}, x.unit)), lambda x: x.label))) AS medium FROM k)"""
+
+
+@query(f"WITH c AS ({_CASES}), a AS (SELECT DISTINCT a.source_id, concat_ws(chr(10), target.clinical_reasoning, target.final_answer) AS written, c.case_text FROM audited a JOIN c ON a.source_id = c.source_id WHERE target.final_answer IS NOT NULL), {_RISK} SELECT source_id, array_to_string(high, ',') AS high, array_to_string(medium, ',') AS medium FROM n")
 def number_risks(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "candidate").where("case_text is not null").groupBy("source_id").agg(F.max("case_text").alias("case_text"))
     a = table(s, d, "audited").where("source_id is not null and target.final_answer is not null").select("source_id", F.concat_ws("\n", "target.clinical_reasoning", "target.final_answer").alias("text")).distinct()
-    r = a.join(c, "source_id").select("source_id", risk.unsupported_numbers("case_text", "text").alias("r"))
+    r = a.join(c, "source_id").select("source_id", risk.number_risk(F.col("case_text"), F.col("text")).alias("r"))
     return r.select("source_id", F.array_join("r.high", ",").alias("high"), F.array_join("r.medium", ",").alias("medium"))
+
+
+_CLAUSES = f"list_transform(range(1, len(pieces)), lambda i: regexp_split_to_array(array_to_string(pieces[1:i], '#'), '{risk.CLAUSE_END}')[-1])"
+_ROLE = f"""CASE WHEN span IS NULL OR role IS NULL THEN 'clean' WHEN len(list_filter({_CLAUSES}, lambda c: NOT regexp_matches(c, '{risk.HEDGED_PREFIX}'))) = 0 OR regexp_matches(role, '{risk.NONCLINICAL}') OR regexp_matches(role, '{risk.RESOLVED}')
+ OR (regexp_matches(span, '{risk.DIRECT_DIAGNOSIS}') AND regexp_matches(role, '诊断|确诊')) OR contains(span, '排除') THEN 'clean' WHEN regexp_matches(span, '{risk.NEGATIVE_FINDING}') OR regexp_matches(span, '没|不是') THEN 'medium' ELSE 'high' END"""
+
+
+# roles of the data make few claims, so each role is also judged with a claim before and after it
+_CLAIMS = ("", "可以排除其他疾病，", "不能证实，但确定为该病，")
+
+
+@query(f"""WITH e AS (SELECT DISTINCT source_id, e.id AS evidence_id, e.span AS span, e.role AS plain FROM (SELECT source_id, unnest(target.evidence) AS e FROM audited)), v AS (SELECT *, unnest({list(_CLAIMS)}) AS claim FROM e),
+r AS (SELECT *, claim || plain AS role, regexp_split_to_array(claim || plain, '{risk.STRONG_ROLE}') AS pieces FROM v) SELECT source_id, evidence_id, span, role, {_ROLE} AS risk FROM r""")
+def role_risks(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "audited").select("source_id", F.explode("target.evidence").alias("e")).select("source_id", F.col("e.id").alias("evidence_id"), F.col("e.span").alias("span"), F.col("e.role").alias("plain")).distinct()
+    x = e.withColumn("claim", F.explode(F.array(*[F.lit(c) for c in _CLAIMS]))).select("source_id", "evidence_id", "span", F.concat("claim", "plain").alias("role"))
+    return x.withColumn("risk", risk.role_risk(F.col("span"), F.col("role")))
+
+
+_TARGET_RISK = f"""WITH c AS ({_CASES}), a AS (SELECT DISTINCT a.source_id, a.split, a.target, a.validation_warnings AS warnings, c.case_text, target.clinical_reasoning || chr(10) || target.final_answer AS written FROM audited a JOIN c ON a.source_id = c.source_id WHERE target IS NOT NULL), {_RISK},
+e AS (SELECT row_number() OVER () AS rid, * FROM n), i AS (SELECT rid, coalesce(e.id, 'unknown') AS id, e.span AS span, e.role AS role, regexp_split_to_array(e.role, '{risk.STRONG_ROLE}') AS pieces, place FROM (SELECT rid, unnest(target.evidence) AS e, generate_subscripts(target.evidence, 1) AS place FROM e)),
+g AS (SELECT rid, coalesce(list(id ORDER BY place) FILTER (risk = 'high'), []) AS high_ids, coalesce(list(id ORDER BY place) FILTER (risk = 'medium'), []) AS medium_ids FROM (SELECT rid, id, place, {_ROLE} AS risk FROM i) GROUP BY rid),
+w AS (SELECT e.*, coalesce(high_ids, []) AS high_ids, coalesce(medium_ids, []) AS medium_ids, list_transform(coalesce(warnings, []), lambda w: split_part(w, ':', 1)) AS codes FROM e LEFT JOIN g USING (rid)),
+z AS (SELECT *, list_filter([CASE WHEN list_contains(codes, 'task_type_changed_by_teacher') THEN {{'r': 1, 'why': 'teacher_task_type_correction_audit_only'}} END, CASE WHEN len(high_ids) > 0 THEN {{'r': 3, 'why': 'unsupported_unhedged_strong_role:' || array_to_string(high_ids, ',')}} END,
+ CASE WHEN len(medium_ids) > 0 THEN {{'r': 2, 'why': 'context_supported_strong_role_requires_review:' || array_to_string(medium_ids, ',')}} END, CASE WHEN len(high_ids) + len(medium_ids) = 0 AND list_contains(codes, 'strong_role_claim_requires_review') THEN {{'r': 1, 'why': 'strong_role_warning_resolved_by_context'}} END,
+ CASE WHEN written IS NOT NULL AND len(high) > 0 THEN {{'r': 3, 'why': 'unsupported_medical_parameter:' || array_to_string(high[1:8], ',')}} END, CASE WHEN written IS NOT NULL AND len(medium) > 0 THEN {{'r': 2, 'why': 'unsupported_time_or_unitless_number:' || array_to_string(medium[1:8], ',')}} END,
+ CASE WHEN list_contains(codes, 'generated_numbers_require_review') AND (written IS NULL OR len(high) + len(medium) = 0) THEN {{'r': 1, 'why': 'generated_number_warning_resolved_as_enumeration'}} END], lambda x: x IS NOT NULL) AS rules FROM w),
+target_risk AS (SELECT *, ['clean', 'low', 'medium', 'high'][coalesce(list_max(list_transform(rules, lambda x: x.r)), 0) + 1] AS level, array_to_string(list_transform(rules, lambda x: x.why), '|') AS reasons FROM z)"""
+
+
+def _risks(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "candidate").where("case_text is not null and source_id is not null").groupBy("source_id").agg(F.max("case_text").alias("case_text"))
+    a = table(s, d, "audited").where("target is not null").select("source_id", "split", "target", "validation_warnings").distinct().join(c, "source_id")
+    return a.withColumn("risk", risk.target_risk(F.col("case_text"), F.col("target"), F.col("validation_warnings")))
+
+
+@query(_TARGET_RISK + " SELECT source_id, level, reasons FROM target_risk")
+def target_risks(s: SparkSession, d: str) -> DataFrame:
+    return _risks(s, d).select("source_id", "risk.level", F.array_join("risk.reasons", "|").alias("reasons"))
+
+
+@query(_TARGET_RISK + f""" SELECT source_id, split, level, CASE WHEN split IS NULL OR split NOT IN ('train', 'validation') THEN 'locked_split' WHEN len(list_filter(coalesce(warnings, []), lambda w: regexp_matches(w, '^(?:{"|".join(risk.HIGH_RISK_WARNINGS)})'))) > 0 THEN 'warning_policy' ELSE 'kept' END AS strict,
+CASE WHEN split IS NULL OR split NOT IN ('train', 'validation') THEN 'locked_split' WHEN level = 'high' THEN 'warning_risk' ELSE 'kept' END AS tiered, CASE WHEN split IS NULL OR split NOT IN ('train', 'validation') THEN 'locked_split' ELSE 'kept' END AS "all" FROM target_risk""")
+def warning_policies(s: SparkSession, d: str) -> DataFrame:
+    """What each of the three warning policies makes of a target; test and unknown splits are locked."""
+    x = _risks(s, d)
+    open_ = F.coalesce(F.col("split").isin("train", "validation"), F.lit(False))
+    gate = lambda veto, name: F.when(~open_, "locked_split").when(veto, name).otherwise("kept")
+    return x.select("source_id", "split", "risk.level", gate(risk.has_high_risk_warning(F.col("validation_warnings")), "warning_policy").alias("strict"), gate(F.col("risk.level") == "high", "warning_risk").alias("tiered"), gate(F.lit(False), "").alias("all"))

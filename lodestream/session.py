@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,11 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read.
 
     The cluster names it in ``spark.checkpoint.dir``. A private temporary folder is made only where that is unset,
-    as in tests on one machine.
+    as in tests on one machine; on a cluster, whose executors could not read it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _PRIVATE:
         own = tempfile.mkdtemp(prefix="lodestream-")
