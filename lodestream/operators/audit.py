@@ -107,7 +107,7 @@ def target_issues(case: Column, target: Column, original: Column | None = None)
 
 
 def audit(audited: DataFrame, candidate: DataFrame, copies: bool = True) -> DataFrame:
-    """``source_id, split, category, teacher_model, prompt_version, target, errors, review, warnings, status`` of each target row against its candidate.
+    """``source_id, split, category, teacher_model, prompt_version, target, case_text, errors, review, warnings, status`` of each target row against its candidate.
 
     Whole rows that are repeated count once. Errors of the record: source_id_missing, duplicate_source_id (all copies are rejected),
     source_id_not_in_candidates, case_text_missing, invalid_split, teacher_model_missing, candidate_split_mismatch; a category
@@ -131,7 +131,7 @@ def audit(audited: DataFrame, candidate: DataFrame, copies: bool = True) -> Data
     }
     hint = F.coalesce(F.col("c.task_type_hint"), F.lit(""))
     soft = {"candidate_category_mismatch": known & ~F.col("category").eqNullSafe(F.col("c.category")), "task_type_changed_by_teacher": F.col("target").isNotNull() & (hint != "") & ~F.col("target.task_type").eqNullSafe(hint)}
-    x = x.select(*cols, F.array_sort(F.concat(_flags(own), e)).alias("errors"), r.alias("review"), F.array_sort(F.concat(_flags(soft), w)).alias("warnings"))
+    x = x.select(*cols, case.alias("case_text"), F.array_sort(F.concat(_flags(own), e)).alias("errors"), r.alias("review"), F.array_sort(F.concat(_flags(soft), w)).alias("warnings"))
     return x.withColumn("status", F.when(F.size("errors") > 0, "rejected").when(F.size("review") > 0, "review").otherwise("accepted"))
 
 

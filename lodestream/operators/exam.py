@@ -52,3 +52,18 @@ def paired_comparison(a: DataFrame, b: DataFrame, margin: float = 0.01) -> DataF
     d, low, high = paired_interval(F.col("better"), F.col("worse"), F.col("n"))
     x = x.select("n", "better", "worse", "both", F.round(d, 6).alias("delta"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
     return x.withColumn("p", F.round(mcnemar("better", "worse"), 8)).withColumn("not_inferior", F.col("low") >= -margin)
+
+
+def scorecard(runs: DataFrame, base: str, kinds: dict[str, str]) -> DataFrame:
+    """``model, correct, total, accuracy, delta_vs_base, macro_accuracy``, accuracy of each kind of question (null where a model has none) and ``invalid_predictions``.
+
+    Columns of ``runs``: model, question_type, exam_class, correct, invalid. macro_accuracy is the mean over classes. An unknown base gives null deltas.
+    """
+    right = F.count_if("correct")
+    of = lambda v: F.try_divide(F.count_if(F.col("correct") & (F.col("question_type") == v)), F.count_if(F.col("question_type") == v))
+    n = F.count(F.lit(1))
+    a = runs.groupBy("model").agg(right.alias("correct"), n.alias("total"), (right / n).alias("acc"), *[F.round(of(v), 6).alias(k) for k, v in kinds.items()], F.count_if("invalid").alias("invalid_predictions"))
+    macro = runs.groupBy("model", "exam_class").agg((F.count_if("correct") / n).alias("acc")).groupBy("model").agg(F.round(F.avg("acc"), 6).alias("macro_accuracy"))
+    b = runs.where(F.col("model") == base).agg((F.count_if("correct") / F.nullif(n, F.lit(0))).alias("base"))
+    x = a.join(macro, "model").crossJoin(b)  # one row
+    return x.select("model", "correct", "total", F.round("acc", 6).alias("accuracy"), F.round(F.col("acc") - F.col("base"), 6).alias("delta_vs_base"), "macro_accuracy", *kinds, "invalid_predictions")

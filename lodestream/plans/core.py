@@ -418,16 +418,18 @@ _AUDIT_WARNINGS = _coded(
         "strong_role_claim_requires_review": "target IS NOT NULL AND " + _some("ev", f"{_len('e.role')} >= {AU.SHORT_ROLE} AND regexp_matches(e.role, '{risk.STRONG_ROLE}')"),
     }
 )
-_AUDIT = f"""WITH c AS (SELECT * FROM candidate WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY loaded_at NULLS FIRST, source_file NULLS FIRST, source_line NULLS FIRST, case_text NULLS FIRST, original_answer NULLS FIRST, split NULLS FIRST) = 1),
-r AS (SELECT DISTINCT source_id, split, category, teacher_model, prompt_version, target FROM audited), t AS (SELECT r.*, count(*) OVER (PARTITION BY r.source_id) AS times, c.source_id IS NOT NULL AS known,
-  CASE WHEN {_len('c.case_text')} > 0 THEN c.case_text END AS case_text, c.split AS csplit, c.category AS ccategory, c.task_type_hint AS hint FROM r LEFT JOIN c ON r.source_id = c.source_id),
-b AS (SELECT *, coalesce(case_text, '') AS body, coalesce(target.evidence_sufficiency, '') AS level, coalesce(len(target.evidence), 0) AS n_items, list_filter(coalesce(target.evidence, []), lambda e: e IS NOT NULL) AS ev,
+#: Rules over a table t of targets with their case; the result is the table i.
+_ISSUES = f"""b AS (SELECT *, coalesce(case_text, '') AS body, coalesce(target.evidence_sufficiency, '') AS level, coalesce(len(target.evidence), 0) AS n_items, list_filter(coalesce(target.evidence, []), lambda e: e IS NOT NULL) AS ev,
   {_list('query_intent')} AS intent, {_list('missing_information')} AS missing, {_list('critical_evidence_ids')} AS critical, target.clinical_reasoning || chr(10) || target.final_answer AS written FROM t),
 x AS (SELECT *, list_transform(list_filter(ev, lambda e: {_len('e.id')} > 0), lambda e: e.id) AS ids, list_transform(list_filter(ev, lambda e: coalesce(e.span <> '' AND contains(body, e.span), false)), lambda e: e.span) AS spans,
   list_transform(list_filter(ev, lambda e: coalesce(e.importance = 'critical' AND e.id IS NOT NULL, false)), lambda e: e.id) AS marked,
   list_sort(list_transform(list_filter(ev, lambda e: {_ITEM_OK}), lambda e: {{'a': instr(body, e.span), 'b': instr(body, e.span) + length(e.span)}})) AS places,
   list_sort(list_distinct(list_filter({_NUMBERS.format('written')}, lambda n: NOT list_contains({_NUMBERS.format('body')}, n)))) AS new FROM b),
-i AS (SELECT *, {_AUDIT_ERRORS} AS errors, {_AUDIT_REVIEW} AS review, list_sort(list_concat({_AUDIT_WARNINGS}, CASE WHEN len(new) > 0 THEN ['generated_numbers_require_review:' || array_to_string(new[1:8], ',')] ELSE [] END)) AS warnings FROM x),
+i AS (SELECT *, {_AUDIT_ERRORS} AS errors, {_AUDIT_REVIEW} AS review, list_sort(list_concat({_AUDIT_WARNINGS}, CASE WHEN len(new) > 0 THEN ['generated_numbers_require_review:' || array_to_string(new[1:8], ',')] ELSE [] END)) AS warnings FROM x),"""
+_AUDIT = f"""WITH c AS (SELECT * FROM candidate WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY loaded_at NULLS FIRST, source_file NULLS FIRST, source_line NULLS FIRST, case_text NULLS FIRST, original_answer NULLS FIRST, split NULLS FIRST) = 1),
+r AS (SELECT DISTINCT source_id, split, category, teacher_model, prompt_version, target FROM audited), t AS (SELECT r.*, count(*) OVER (PARTITION BY r.source_id) AS times, c.source_id IS NOT NULL AS known,
+  CASE WHEN {_len('c.case_text')} > 0 THEN c.case_text END AS case_text, c.split AS csplit, c.category AS ccategory, c.task_type_hint AS hint FROM r LEFT JOIN c ON r.source_id = c.source_id),
+{_ISSUES}
 audit AS (SELECT *, CASE WHEN len(errors) > 0 THEN 'rejected' WHEN len(review) > 0 THEN 'review' ELSE 'accepted' END AS status FROM i)"""
 
 
@@ -956,7 +958,7 @@ def role_risks(s: SparkSession, d: str) -> DataFrame:
     return x.withColumn("risk", risk.role_risk(F.col("span"), F.col("role")))
 
 
-_TARGET_RISK = f"""WITH c AS ({_CASES}), a AS (SELECT DISTINCT a.source_id, a.split, a.target, a.validation_warnings AS warnings, c.case_text, target.clinical_reasoning || chr(10) || target.final_answer AS written FROM audited a JOIN c ON a.source_id = c.source_id WHERE target IS NOT NULL), {_RISK},
+_RISK_RULES = f"""{_RISK},
 e AS (SELECT row_number() OVER () AS rid, * FROM n), i AS (SELECT rid, coalesce(e.id, 'unknown') AS id, e.span AS span, e.role AS role, regexp_split_to_array(e.role, '{risk.STRONG_ROLE}') AS pieces, place FROM (SELECT rid, unnest(target.evidence) AS e, generate_subscripts(target.evidence, 1) AS place FROM e)),
 g AS (SELECT rid, coalesce(list(id ORDER BY place) FILTER (risk = 'high'), []) AS high_ids, coalesce(list(id ORDER BY place) FILTER (risk = 'medium'), []) AS medium_ids FROM (SELECT rid, id, place, {_ROLE} AS risk FROM i) GROUP BY rid),
 w AS (SELECT e.*, coalesce(high_ids, []) AS high_ids, coalesce(medium_ids, []) AS medium_ids, list_transform(coalesce(warnings, []), lambda w: split_part(w, ':', 1)) AS codes FROM e LEFT JOIN g USING (rid)),
@@ -965,6 +967,7 @@ z AS (SELECT *, list_filter([CASE WHEN list_contains(codes, 'task_type_changed_b
  CASE WHEN written IS NOT NULL AND len(high) > 0 THEN {{'r': 3, 'why': 'unsupported_medical_parameter:' || array_to_string(high[1:8], ',')}} END, CASE WHEN written IS NOT NULL AND len(medium) > 0 THEN {{'r': 2, 'why': 'unsupported_time_or_unitless_number:' || array_to_string(medium[1:8], ',')}} END,
  CASE WHEN list_contains(codes, 'generated_numbers_require_review') AND (written IS NULL OR len(high) + len(medium) = 0) THEN {{'r': 1, 'why': 'generated_number_warning_resolved_as_enumeration'}} END], lambda x: x IS NOT NULL) AS rules FROM w),
 target_risk AS (SELECT *, ['clean', 'low', 'medium', 'high'][coalesce(list_max(list_transform(rules, lambda x: x.r)), 0) + 1] AS level, array_to_string(list_transform(rules, lambda x: x.why), '|') AS reasons FROM z)"""
+_TARGET_RISK = f"""WITH c AS ({_CASES}), a AS (SELECT DISTINCT a.source_id, a.split, a.target, a.validation_warnings AS warnings, c.case_text, target.clinical_reasoning || chr(10) || target.final_answer AS written FROM audited a JOIN c ON a.source_id = c.source_id WHERE target IS NOT NULL), {_RISK_RULES}"""
 
 
 def _risks(s: SparkSession, d: str) -> DataFrame:
