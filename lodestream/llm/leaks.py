@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.textkeys import bit_table, canonical, distinct_windows, in_table, runs, split_windows
+from lodestream.llm.textkeys import bit_table, bits_of, canonical, distinct_windows, in_table, runs, split_windows
 from lodestream.session import materialize, spread
 
 #: Characters of a piece by which containment is measured, and symbols of a template window.
@@ -63,6 +63,7 @@ class ItemIndex:
         self.templates, self.slots = [t for t, _ in tmpl], [v for _, v in tmpl]
         self.pieces, self.piece_item, self.size = self._flat(texts, PIECE)
         self.windows, self.window_item, self.template_size = self._flat(self.templates, WINDOW)
+        self.piece_bits, self.window_bits = bits_of(self.pieces), bits_of(self.windows)
 
     @staticmethod
     def _flat(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,8 +92,8 @@ class ItemIndex:
         canon = [canonical(t) for t in texts]
         for part in runs(canon):
             tmpl = [template(c) for c in canon[part]]
-            p, pn = self.common(self.pieces, self.piece_item, *split_windows(distinct_windows(canon[part], PIECE)), n)
-            w, wn = self.common(self.windows, self.window_item, *split_windows(distinct_windows([t for t, _ in tmpl], WINDOW)), n)
+            p, pn = self.common(self.pieces, self.piece_item, *split_windows(distinct_windows(canon[part], PIECE, self.piece_bits)), n)
+            w, wn = self.common(self.windows, self.window_item, *split_windows(distinct_windows([t for t, _ in tmpl], WINDOW, self.window_bits)), n)
             both = np.union1d(p, w)
             whole, form = np.zeros(len(both), dtype=np.int64), np.zeros(len(both), dtype=np.int64)
             whole[np.searchsorted(both, p)], form[np.searchsorted(both, w)] = pn, wn

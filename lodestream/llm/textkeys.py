@@ -65,14 +65,17 @@ def runs(texts: list[str]) -> Iterator[slice]:
             start, size = i + 1, 0
 
 
-def distinct_windows(texts: list[str], width: int) -> np.ndarray:
-    """Sorted ``number of the text << HASH_BITS | hash`` of the distinct windows of each of at most TEXTS texts."""
+def distinct_windows(texts: list[str], width: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Sorted ``number of the text << HASH_BITS | hash`` of the distinct windows of each of at most TEXTS texts, or of those in a table of bits."""
     code = codes("".join(texts))
     length = np.array([len(t) for t in texts], dtype=np.int64)
     start = np.cumsum(length) - length
     text = np.repeat(np.arange(len(texts)), length)
     at = np.flatnonzero(np.arange(len(code)) - start[text] <= length[text] - width)
     h = windows(code, width)[at] >> np.uint64(64 - HASH_BITS)
+    if wanted is not None:
+        hit = in_table(wanted, h)
+        at, h = at[hit], h[hit]
     return np.unique(text[at].astype(np.uint64) << np.uint64(HASH_BITS) | h)
 
 
@@ -102,6 +105,14 @@ def bit_table(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def bits_of(h: np.ndarray) -> np.ndarray:
+    """``bit_table`` of hashes that are at hand."""
+    size = min(MOST, max(FEWEST, 1 << max(SPARSE * len(h) - 1, 1).bit_length()))
+    out = np.zeros(size, dtype=np.uint8)
+    out[(h & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little")
+
+
 def in_table(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes have their place taken."""
     at = h & np.uint64(8 * len(bits) - 1)
