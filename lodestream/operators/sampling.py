@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions.hashing import order_key, stable_number
+from lodestream.session import broadcast_within
+
+#: Groups whose quotas are sent to all executors; with more of them they are joined by shuffle.
+FEW_GROUPS = 100_000
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -48,8 +52,8 @@ def round_robin(df: DataFrame, group: str, key: str, seed: int = 42) -> DataFram
     """``df`` with ``turn`` (place within its group in hash order) and ``group_rank`` (place of its group): the interleaved order."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(stable_number(F.col(key), seed=seed), key))
     groups = df.select(group).distinct().withColumn("_g", order_key(F.col(group), seed))
-    ranked = groups.withColumn("group_rank", F.row_number().over(Window.orderBy("_g"))).drop("_g")  # one row a group
-    return df.withColumn("turn", turn).join(F.broadcast(ranked), group)
+    ranked = groups.withColumn("group_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_g"))).drop("_g")  # one row a group
+    return df.withColumn("turn", turn).join(broadcast_within(ranked, FEW_GROUPS), group)
 
 
 def top_by_hash(df: DataFrame, group: str, key: str, k: int, *salt: str, seed: int = 42) -> DataFrame:
@@ -85,7 +89,7 @@ def stratified(df: DataFrame, group: str, key: str, count: int, seed: int = 42)
     """``count`` rows in proportion to their groups, by hash order within each."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(order_key(F.col(key), seed), key))
     q = remainder_quotas(df, group, count).select(F.col(group).alias("_g"), "quota")
-    return df.withColumn("_n", n).join(F.broadcast(q), F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_n") <= F.col("quota")).drop("_n", "_g", "quota")
+    return df.withColumn("_n", n).join(broadcast_within(q, FEW_GROUPS), F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_n") <= F.col("quota")).drop("_n", "_g", "quota")
 
 
 def weighted_fill(df: DataFrame, group: str, key: str, count: int, weights: dict[str, float], seed: int = 42) -> DataFrame:

@@ -167,13 +167,10 @@ def category_cap(s: SparkSession, d: str) -> DataFrame:
     return sampling.category_cap(docs(s, d), "category", "doc_id", 300, 20)
 
 
-@query(f"""WITH a AS ({_CAP}), b AS (SELECT doc_id, category FROM {_D} WHERE doc_id NOT IN (SELECT doc_id FROM a) ORDER BY sha256('43:' || doc_id) LIMIT (SELECT greatest(0, 900 - count(*)) FROM a))
+@query(f"""WITH a AS ({_CAP.replace('LIMIT 300', 'LIMIT 900')}), b AS (SELECT doc_id, category FROM {_D} WHERE doc_id NOT IN (SELECT doc_id FROM a) ORDER BY sha256('43:' || doc_id) LIMIT (SELECT greatest(0, 900 - count(*)) FROM a))
 SELECT doc_id, category, 'capped' AS origin FROM a UNION ALL SELECT doc_id, category, 'backfill' AS origin FROM b""")
 def capped_backfill(s: SparkSession, d: str) -> DataFrame:
-    first = sampling.category_cap(docs(s, d), "category", "doc_id", 300, 20).withColumn("origin", F.lit("capped"))
-    rest = docs(s, d).join(first.select("doc_id"), "doc_id", "left_anti")
-    more = rest.orderBy(H.order_key(F.col("doc_id"), 43)).limit(max(0, 900 - first.count())).withColumn("origin", F.lit("backfill"))
-    return first.unionByName(more)
+    return sampling.capped_with_backfill(docs(s, d), "category", "doc_id", 900, 20)
 
 
 @query(f"""WITH g AS (SELECT category, row_number() OVER (ORDER BY sha256('42:' || category)) AS group_rank FROM (SELECT DISTINCT category FROM {_D})),
@@ -197,7 +194,8 @@ def stratified_sample(s: SparkSession, d: str) -> DataFrame:
     return sampling.stratified(docs(s, d), "category", "doc_id", 240)
 
 
-@query("SELECT * FROM (VALUES ('controlled_negative', CAST(105 AS BIGINT)), ('model_vs_model', CAST(369 AS BIGINT)), ('target_vs_model', CAST(580 AS BIGINT))) AS t(name, quota)")
+@query("""WITH w AS (SELECT * FROM (VALUES ('target_vs_model', 0.55), ('model_vs_model', 0.35), ('controlled_negative', 0.1)) AS t(name, w)), q AS (SELECT *, 1054 * w AS exact, floor(1054 * w + 1e-9) AS base FROM w)
+SELECT name, CAST(base + CAST(row_number() OVER (ORDER BY round(exact - base, 9) DESC, w DESC, name DESC) <= 1054 - sum(base) OVER () AS INT) AS BIGINT) AS quota FROM q""")
 def type_quotas(s: SparkSession, d: str) -> DataFrame:
     w = s.createDataFrame([("target_vs_model", 0.55), ("model_vs_model", 0.35), ("controlled_negative", 0.1)], "name string, weight double")
     return sampling.weight_quotas(w, 1054)
@@ -323,10 +321,11 @@ def _predicted(spans: Column) -> Column:
     return F.filter(spans, lambda x: F.substring(H.order_key(x), 1, 1) < "d")
 
 
-@query(_EV + f""", y AS (SELECT source_id, list_transform(list_filter(ev, lambda e: e.span IS NOT NULL), lambda e: e.span) AS spans FROM x), z AS (SELECT len(spans) AS g, len({_PRED}) AS p FROM y)
-SELECT CAST(sum(g) AS BIGINT) AS gold, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(p) AS BIGINT) AS overlap, round_even(sum(p) / sum(p), 6) AS precision_micro, round_even(sum(p) / sum(g), 6) AS recall_micro, round_even(2 * sum(p) / (sum(p) + sum(g)), 6) AS f1_micro FROM z""")
+@query(_EV + f""", y AS (SELECT source_id, list_transform(list_filter(ev, lambda e: e.span IS NOT NULL), lambda e: e.span) AS spans FROM x), h AS (SELECT spans, list_transform({_PRED}, lambda x: CASE WHEN ascii(substr(sha256('42:' || x), 2, 1)) < 52 THEN x || '。' ELSE x END) AS pred FROM y),
+z AS (SELECT len(spans) AS g, len(pred) AS p, coalesce(list_sum(list_transform(list_distinct(pred), lambda x: least(len(list_filter(pred, lambda y: y = x)), len(list_filter(spans, lambda y: y = x))))), 0) AS o FROM h)
+SELECT CAST(sum(g) AS BIGINT) AS gold, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(o) AS BIGINT) AS overlap, round_even(sum(o) / sum(p), 6) AS precision_micro, round_even(sum(o) / sum(g), 6) AS recall_micro, round_even(2 * sum(o) / (sum(p) + sum(g)), 6) AS f1_micro FROM z""")
 def micro_spans(s: SparkSession, d: str) -> DataFrame:
-    x = evidence(s, d).select(A.spans_of(F.col("ev")).alias("g")).withColumn("p", _predicted(F.col("g")))
+    x = evidence(s, d).select(A.spans_of(F.col("ev")).alias("g")).withColumn("p", F.transform(_predicted(F.col("g")), lambda x: F.when(F.substring(H.order_key(x), 2, 1) < "4", F.concat(x, F.lit("。"))).otherwise(x)))
     x = x.agg(F.sum(F.size("g")).alias("gold"), F.sum(F.size("p")).alias("predicted"), F.sum(A.multiset_overlap(F.col("g"), F.col("p"))).alias("overlap"))
     o, p, g = F.col("overlap"), F.col("predicted"), F.col("gold")
     return x.select(big(g).alias("gold"), big(p).alias("predicted"), big(o).alias("overlap"), stats.rate(o, p).alias("precision_micro"), stats.rate(o, g).alias("recall_micro"), stats.rate(2 * o, p + g).alias("f1_micro"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import hashing as H
 from lodestream.operators import evaluation as EV
-from lodestream.operators import exam, masking
+from lodestream.operators import exam, masking, sampling
+from lodestream.operators import prompts as PM
 from lodestream.plans import core
 from lodestream.plans.core import Query, big, rows_as
 from lodestream.session import materialize, table
@@ -282,3 +283,14 @@ def export_mix(s: SparkSession, d: str) -> DataFrame:
     n = lambda split, status=None: F.count_if((F.col("split") == split) & (F.lit(True) if status is None else F.col("validation_status") == status))
     stats = table(s, d, "audited").agg(F.struct(n("train").alias("train"), n("validation").alias("validation")).alias("exported"), F.struct(F.struct(n("train", "accepted").alias("accepted"), n("train", "review").alias("review")).alias("train")).alias("statuses"))
     return stats.selectExpr("exported.train as train_rows", "exported.validation as validation_rows", "statuses.train.accepted as train_accepted", "statuses.train.review as train_review")
+
+
+def _quoted(c: str) -> str:
+    return f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
+
+
+@query(f"""SELECT source_id, '{PM.OPENINGS["teacher"]}' || '{{' || chr(10) || '  "task_type_hint": ' || {_quoted('task_type_hint')} || ',' || chr(10) || '  "case_text": ' || {_quoted('case_text')} || ',' || chr(10) || '  "original_answer": ' || {_quoted('original_answer')} || chr(10) || '}}' AS prompt
+FROM (SELECT * FROM candidate WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY loaded_at, source_file, source_line) = 1)""")
+def teacher_prompts(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "candidate").where("source_id is not null").select("source_id", "task_type_hint", "case_text", "original_answer", "loaded_at", "source_file", "source_line")
+    return PM.teacher_prompts(sampling.keep_first(c, ["source_id"], F.col("loaded_at"), F.col("source_file"), F.col("source_line")), "source_id")

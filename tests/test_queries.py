@@ -1,13 +1,16 @@
 import pytest
 
-from lodestream.plans import core, nested
+from lodestream.plans import core, evaluation, nested, preference
 from tests.compare import both
 from tests.conftest import DATA
 
 
-@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
+MODULES = {n: m for m in (core, preference, evaluation) for n in m.oracle_sql()}
+
+
+@pytest.mark.parametrize("name", sorted(MODULES))
 def test_query_equals_sql(spark, name):
-    got, want = both(spark, core.queries()[name], core.oracle_sql()[name], DATA)
+    got, want = both(spark, MODULES[name].queries()[name], MODULES[name].oracle_sql()[name], DATA)
     assert got == want
 
 
