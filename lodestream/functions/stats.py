@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lodestream.functions.hashing import digest, head64
+
 Z95 = 1.959963984540054
 
 
@@ -101,7 +103,7 @@ def poisson_bootstrap(df: DataFrame, group: str, value: str, key: str, rounds: i
 
     Sums per round merge map-side, so only ``groups * rounds`` rows are shuffled.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.col("round")), F.lit(1 << 30)) / float(1 << 30)
+    u = head64(digest(F.col(key), F.col("round"))).cast("double") / float(1 << 64)
     cum, p, times = 0.0, math.exp(-1), F.lit(0)
     for k in range(8):
         cum += p

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -461,9 +462,9 @@ def validation_report(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def copied_answers(s: SparkSession, d: str) -> DataFrame:
-    """Targets whose final answer is the original answer of their candidate in canonical form (NFKC, which SQL lacks)."""
+    """By status: targets, and those whose final answer is the original answer of their candidate in canonical form (NFKC, which SQL lacks)."""
     x = AU.audit(table(s, d, "audited"), table(s, d, "candidate"))
-    return x.where(F.array_contains("errors", "final_answer_copies_original")).select("source_id")
+    return x.groupBy("status").agg(rows_as("n"), F.count_if(F.array_contains("errors", "final_answer_copies_original")).alias("copied"))
 
 
 
@@ -727,12 +728,15 @@ def bootstrap_intervals(s: SparkSession, d: str) -> DataFrame:
     return stats.bootstrap(x, "exam_class", "value", "id", rounds=1000)
 
 
-@query()
-def poisson_intervals(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "documents").select("source", F.length("text").alias("n"), F.col("doc_id").cast("string").alias("k"))
-    return stats.poisson_bootstrap(x.where("source is not null"), "source", "n", "k", rounds=50)
+_CUM = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
 
 
+@query(f"""WITH x AS (SELECT source, length(text) AS n, doc_id FROM documents WHERE source IS NOT NULL AND text IS NOT NULL), r AS (SELECT *, unnest(range(1, 21)) AS round FROM x), u AS (SELECT source, n, round, CAST({_HEAD.format("doc_id || ':' || round")} AS DOUBLE) / {float(1 << 64)} AS u FROM r),
+w AS (SELECT source, n, round, {" + ".join(f"CAST(u >= {c!r} AS INT)" for c in _CUM)} AS w FROM u), m AS (SELECT source, round, sum(w * n) / nullif(sum(w), 0) AS m FROM w GROUP BY source, round)
+SELECT source, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY source""")
+def poisson_intervals(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").where("source is not null and text is not null").select("source", F.length("text").alias("n"), F.col("doc_id").cast("string").alias("k"))
+    return stats.poisson_bootstrap(x, "source", "n", "k", rounds=20).select("source", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query(f"""WITH u AS (SELECT id, exam_class AS c FROM ({_EXAM})), x AS (SELECT substr(id, 1, 9) AS unit, sys, CASE WHEN {_HEAD.format("'42:' || id || ':arm'")} % 2 = 0 THEN 'x' ELSE 'y' END AS arm, CAST(correct AS INT) AS v FROM (SELECT id, 'old' AS sys, correct FROM ({_sql_scored('m1')}) UNION ALL SELECT id, 'new', correct FROM ({_sql_scored('m2')}))),
