@@ -207,7 +207,7 @@ def response_defects(audited: DataFrame, candidate: DataFrame, cutoff: float | N
     true = planted([tuple(r) for r in some])
     if true:
         extra = spark.createDataFrame([(f, t, c, n, f"probe {n}") for n, f, t, c, _ in true], "field string, text string, case_text string, probe int, no string")
-        x = materialize(x.unionByName(extra.withColumn("source_id", F.lit(None).cast("string"))), "probed-fields")
+        x = x.unionByName(extra.withColumn("source_id", F.lit(None).cast("string")))
     cut = truncated_values(x.withColumn("planted", F.col("probe").isNotNull()), "field", "no", "text", "planted").withColumn("cut", F.lit(True))
     x = x.join(cut, ["field", "no"], "left").select("source_id", "field", "probe", "text", "case_text", F.coalesce("cut", F.lit(False)).alias("cut"))
 

@@ -20,29 +20,28 @@ def members(df: DataFrame, id_col: str, text_col: str, *extra: str) -> DataFrame
 
 
 def in_blocks(m: DataFrame) -> DataFrame:
-    """``id, ckey`` and further columns with ``part`` and ``parts``: members of a large class of equal texts in blocks of some BLOCK."""
+    """``id, ckey`` and further columns with ``part`` and ``parts``: members of a large class of equal texts in blocks of some BLOCK. Written as a table."""
     size = m.groupBy("ckey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     size = size.select("ckey", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     x = m.join(size, "ckey", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    return x.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return materialize(x.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "class-blocks")
 
 
-def _joined(pairs: DataFrame, m: DataFrame, key: str, name: str) -> DataFrame:
+def _joined(pairs: DataFrame, blocks: DataFrame, key: str, name: str) -> DataFrame:
     """``pairs`` with the columns of the members of the class in ``key``; a row of ``pairs`` meets each block of a large class on its own."""
-    blocks = in_blocks(m)
     large = blocks.where("parts > 1").select(F.col("ckey").alias(key), "parts").distinct()
     p = pairs.join(large, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return p.join(blocks.drop("parts").withColumnsRenamed({"ckey": key, "id": name}), [key, "part"]).drop("part")
 
 
 def expand(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of content keys (and further columns) to pairs of ids ``ia, ib`` with the further columns of both sides."""
+    """Pairs of content keys (and further columns) to pairs of ids ``ia, ib`` with the further columns of both sides, members ``in_blocks``."""
     return _joined(_joined(pairs, left, "ckey_a", "ia"), right, "ckey_b", "ib").drop("ckey_a", "ckey_b")
 
 
-def equal_pairs(m: DataFrame) -> DataFrame:
-    """``ia, ib`` (ia < ib) of members with equal texts; two blocks of a large class meet in a task of their own."""
-    x = in_blocks(m.select("id", "ckey").distinct()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def equal_pairs(blocks: DataFrame) -> DataFrame:
+    """``ia, ib`` (ia < ib) of members ``in_blocks`` with equal texts; two blocks of a large class meet in a task of their own."""
+    x = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     x = x.select("id", "ckey", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     y = x.select(F.col("id").alias("ib"), "ckey", F.col("part").alias("part_b"), "lo", "hi")
     return x.withColumnRenamed("id", "ia").join(y, ["ckey", "lo", "hi"]).where("ia < ib and (lo = hi or part <> part_b)").select("ia", "ib")
@@ -67,7 +66,8 @@ def near_duplicates(df: DataFrame, id_col: str = "source_id", text_col: str = "c
 def duplicate_pairs(df: DataFrame, t: float = 0.5) -> DataFrame:
     """``source_id_a, source_id_b``: all pairs of source_ids with equal or similar case_text."""
     m, pairs = near_duplicates(df, t=t)
-    return ordered(expand(pairs.select("ckey_a", "ckey_b"), m, m).unionByName(equal_pairs(m)))
+    blocks = in_blocks(m)
+    return ordered(expand(pairs.select("ckey_a", "ckey_b"), blocks, blocks).unionByName(equal_pairs(blocks)))
 
 
 def split_class(split: Column) -> Column:
@@ -97,7 +97,7 @@ def cross_split(m: DataFrame, t: float = 0.5, band: float = 0.0) -> DataFrame:
     near = links.where("ckey_a <> ckey_b").select("ckey_a", "ckey_b", "jaccard", "edits")
     both = ev.select("ckey").distinct().join(tr.select("ckey").distinct(), "ckey")
     same = both.select(F.col("ckey").alias("ckey_a"), F.col("ckey").alias("ckey_b"), F.lit(1.0).alias("jaccard"), F.lit(0).alias("edits"))
-    x = expand(near.unionByName(same), ev, tr)
+    x = expand(near.unionByName(same), in_blocks(ev), in_blocks(tr))
     return x.select(F.col("ia").alias("eval_id"), F.col("ib").alias("train_id"), "split", "source_file", "jaccard", "edits")
 
 

@@ -191,7 +191,7 @@ def _by_shuffle(d: DataFrame, q: DataFrame, share: float, template_share: float)
     dk = materialize(d.withColumn("k", F.xxhash64("t")), "leak-docs")
     qk = materialize(q.withColumn("k", F.xxhash64("q")), "leak-items")
     wq = materialize(qk.select("k", F.col("q").alias("x")).dropDuplicates(["k"]).mapInArrow(hashes(None), "k bigint, h bigint").toDF("qk", "h"), "leak-windows")
-    want = d.sparkSession.sparkContext.broadcast(bit_table(wq.select("h").distinct(), "h"))
+    want = d.sparkSession.sparkContext.broadcast(bit_table(wq, "h", wq.count()))
     wd = materialize(dk.select("k", F.col("t").alias("x")).dropDuplicates(["k"]).mapInArrow(hashes(want), "k bigint, h bigint"), "leak-hits")
     has = wd.groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
     own = Window.partitionBy("qk", F.pmod("h", F.lit(2)))

@@ -94,10 +94,9 @@ def pieces(text: str, width: int) -> set[str]:
 SPARSE, FEWEST, MOST = 16, 1 << 16, 1 << 31
 
 
-def bit_table(df: DataFrame, column: str) -> np.ndarray:
-    """Which places the hashes in ``column`` take in a table of bits sized by their number. At most ``MOST`` / 8 bytes reach the driver."""
-    n = df.count() * SPARSE
-    size = min(MOST, max(FEWEST, 1 << max(n - 1, 1).bit_length()))
+def bit_table(df: DataFrame, column: str, n: int) -> np.ndarray:
+    """Which places the hashes in ``column`` take in a table of bits sized for ``n`` different ones. At most ``MOST`` / 8 bytes reach the driver."""
+    size = min(MOST, max(FEWEST, 1 << max(SPARSE * n - 1, 1).bit_length()))
     place = F.pmod(F.col(column), F.lit(size))
     rows = df.select(place.alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(p % 8 as int)))").alias("byte")).toArrow()
     out = np.zeros(size // 8, dtype=np.uint8)

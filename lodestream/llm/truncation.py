@@ -205,8 +205,9 @@ def truncated_values(df: DataFrame, group: str, key: str, text: str, probe: str
     distinct = tail.where("state = 'open'").groupBy("g", "whole", "len").agg(F.first("hs").alias("hs"), F.bool_and("probe").alias("probe"))
     distinct = materialize(distinct, "tail-values")
     each = distinct.select("g", "whole", "len", "probe", F.posexplode("hs").alias("k", "h"))
-    want = sc.broadcast(bit_table(each.select("h").distinct(), "h"))
-    wholes = sc.broadcast(bit_table(distinct.where(F.col("len") >= PREFIX), "whole"))
+    n = distinct.count()
+    want = sc.broadcast(bit_table(each, "h", n * len(TAILS)))
+    wholes = sc.broadcast(bit_table(distinct.where(F.col("len") >= PREFIX), "whole", n))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How often looked-for tails go on (c) among all (n), and values that a longer copy goes on after."""
