@@ -7,7 +7,7 @@ from lodestream.functions import arrays as A
 from lodestream.functions import hashing as H
 from lodestream.functions import jsonx, stats
 from lodestream.functions import text as T
-from lodestream.operators import audit, chat, evaluation, joins, masking, pairs, preference, prompts, retrieval, risk, sampling
+from lodestream.operators import audit, chat, evaluation, joins, masking, pairs, preference, prompts, records, retrieval, risk, sampling
 
 
 def one(spark, expr, **cols):
@@ -308,3 +308,37 @@ def test_prompts_equal_json_dumps(spark):
     x = src.withColumn("k", F.lit("id"))
     one_way, other = (prompts.answer_prompts(x, "k", "response_a", "response_b", "case_text", swapped=w).first()["prompt"] for w in (False, True))
     assert one_way != other and sorted(one_way) == sorted(other)
+
+
+def test_rendering_and_tokens(spark):
+    row = spark.sql("select array(named_struct('user','q1','assistant','a1'), named_struct('user','q2','assistant',cast(null as string))) as h, array(5,6,2,0,0) as t, array(5,0,6,0,0) as u")
+    got = row.select(
+        chat.rendered(F.col("h"), F.lit("sys"), "U: {query} A: ").alias("a"), chat.rendered(F.col("h"), F.lit("")).alias("b"), records.trimmed_tokens(F.col("t"), 2, 0).alias("c"), records.trimmed_tokens(F.col("u"), 2, 0).alias("d"),
+        records.budgets(F.lit(300), F.lit(100), 200).alias("e"), records.budgets(F.lit(30), F.lit(10), 200).alias("f"),
+    ).first()
+    assert got["a"] == "sys\nU: q1 A: a1\nU: q2 A: " and got["b"] == "q1a1\nq2"
+    assert got["c"] == [5, 6] and got["d"] == [5, 0, 6]
+    assert tuple(got["e"]) == (150, 50) and tuple(got["f"]) == (30, 10)
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [('{"conversations": [{"from": "human", "value": "a"}]}', "valid"), ("{bad", "not_json"), ('{"x": 1}', "no_conversations"), ('{"conversations": []}', "no_conversations"), ('{"conversations": [{"from": "human"}]}', "missing_fields"), ('{"conversations": [{"from": "bot", "value": "a"}]}', "unknown_role")],
+)
+def test_conversation_issue(spark, raw, want):
+    assert one(spark, chat.conversation_issue(F.col("t")), t=raw) == want
+
+
+def test_alpaca(spark):
+    row = spark.createDataFrame([("do", "this", "done"), ("do", " ", "done"), ("do", None, "done")], "i string, t string, o string")
+    got = row.select(chat.alpaca(F.col("i"), F.col("t"), F.col("o")).alias("c")).collect()
+    assert [(r["c"][0]["value"], r["c"][1]["value"]) for r in got] == [("do\n\nthis", "done"), ("do", "done"), ("do", "done")]
+
+
+def test_structure_and_signature(spark):
+    ev = target()[3]
+    rows = [(target(), target(final_answer="另一个回答")), (target(), target(evidence=ev[::-1])), (target(), target(evidence_sufficiency="sufficient")), (target(), target(evidence=ev[:1]))]
+    df = spark.createDataFrame(rows, f"a {TARGET}, b {TARGET}")
+    assert [r[0] for r in df.select(records.same_structure(F.col("a"), F.col("b"))).collect()] == [True, True, False, False]
+    sig = [tuple(r) for r in df.select(records.answer_signature(F.col("a")), records.answer_signature(F.col("b"))).collect()]
+    assert sig[0][0] != sig[0][1] and sig[1][0] == sig[1][1] and sig[0][0].startswith('{"clinical_reasoning":')
